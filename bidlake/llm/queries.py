@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_trees, decontaminate, html_text, license_scan, piece_codec, quality_rules, secret_scan
+from . import chat_trees, decontaminate, html_text, license_scan, line_runs, piece_codec, quality_rules, secret_scan, unit_dedup
 
 MODEL, RANKS = "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"
 
@@ -29,10 +29,18 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op4_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unit_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"), vocabulary(RANKS))
 
 
+def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.repeated_runs(table(spark, sf_dir, "documents"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -57,7 +65,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_text": op1_html_text,
         "op3_license_scan": op3_license_scan,
+        "op4_unit_dedup": op4_unit_dedup,
         "op5_secret_scan": op5_secret_scan,
+        "op6_line_runs": op6_line_runs,
         "op7_chat_format": op7_chat_format,
         "op8_decontaminate": op8_decontaminate,
         "op9_piece_codec": op9_piece_codec,
