@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_trees, decontaminate, html_text, license_scan, line_runs, piece_codec, quality_rules, secret_scan, unit_dedup
+from . import chat_trees, decontaminate, html_text, license_scan, line_runs, ngram_join, piece_codec, quality_rules, secret_scan, unit_dedup
 
 MODEL, RANKS = "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"
 
@@ -25,6 +25,10 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_classes(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -64,6 +68,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_text": op1_html_text,
+        "op2_ngram_join": op2_ngram_join,
         "op3_license_scan": op3_license_scan,
         "op4_unit_dedup": op4_unit_dedup,
         "op5_secret_scan": op5_secret_scan,
