@@ -73,7 +73,13 @@ def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
 def use_checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/bidlake-checkpoints")
+        sc.setCheckpointDir(shared_folder(spark))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or where
+    that is unset (a local session, as in tests) one below the system's temporary folder."""
+    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/bidlake-checkpoints"
 
 
 #: Odd multipliers of the 64-bit mixer; fixed values of the splitmix64 finaliser.

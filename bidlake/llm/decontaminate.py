@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import alnum_words, id_and_bytes, schema_of
+from .stages import edit_texts
 
 WINDOW = 13
 #: Words of a shard at most; a shard never splits a document.
@@ -303,11 +304,11 @@ def digest(items: list[int]) -> str:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: bool = True) -> DataFrame:
     """Documents that are not contaminated, with all their columns; with ``cut``, their rarer
     occurrences are cut from the text too. Ids must be unique."""
-    verdict = contamination(find_hits(docs, benchmark, id_col, text_col)).where(F.size("spans") > 0)
-    found = verdict.select(F.col("doc_id").alias("__id"), F.col("contaminated").alias("__bad"), F.col("spans").alias("__spans"))
-    joined = docs.join(found, docs[id_col] == found["__id"], "left").where(~F.coalesce("__bad", F.lit(False)))
-    if not cut:
-        return joined.select(*[docs[c] for c in docs.columns])
-    cleaned = F.udf(lambda body, spans: bytearray(cut_words(bytes(body), spans)), "binary")
-    text = F.when(F.col("__spans").isNull(), docs[text_col]).otherwise(cleaned(docs[text_col].cast("binary"), "__spans").cast("string"))
-    return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])
+    verdict = contamination(find_hits(docs, benchmark, id_col, text_col)).where("n_hit > 0 and doc_id is not null")
+    value = F.when(F.col("contaminated"), F.array().cast("array<bigint>")).otherwise(F.col("spans") if cut else F.lit(None))
+    found = verdict.select("doc_id", value.alias("spans")).where("spans is not null")
+    return edit_texts(docs, found, id_col, text_col, _drop_or_cut)
+
+
+def _drop_or_cut(body: bytes, spans: list[int]) -> bytes | None:
+    return cut_words(body, spans) if spans else None

@@ -35,8 +35,30 @@ def rewrite_texts(docs: DataFrame, text_col: str, kernel: Callable[[], Callable]
     return docs.mapInArrow(run, schema)
 
 
-def keep_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is in the one-column ``ids``."""
-    key = ids.columns[0]
-    small = ids.select(F.col(key).alias(id_col)).distinct()
-    return docs.join(small, id_col, "left_semi").select(*docs.columns)
+def edit_texts(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, edit: Callable) -> DataFrame:
+    """``edit(text bytes, value)`` for the rows whose id is in ``found`` (id, value; ids unique); None
+    drops a row. Other rows, and all other columns, pass as they are."""
+    key, value = found.columns
+    found = found.select(F.col(key).alias("__key"), F.col(value).alias("__value"))
+    joined = docs.join(found, docs[id_col] == found["__key"], "left").drop("__key")
+    schema = docs.schema
+    at = [f.name for f in schema].index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SLICE):
+                part = batch.slice(lo, SLICE)
+                values = part.column(part.num_columns - 1)
+                columns = list(part.columns)[:-1]
+                names = part.schema.names[:-1]
+                if values.null_count < len(values):
+                    old = columns[at]
+                    texts = old.cast(pa.binary() if old.type != pa.large_string() else pa.large_binary()).to_pylist()
+                    new = [t if v is None else edit(t or b"", v) for t, v in zip(texts, values.to_pylist(), strict=True)]
+                    columns[at] = pa.array(new, type=pa.binary()).cast(old.type)
+                    keep = pa.array([v is None or n is not None for v, n in zip(values.to_pylist(), new, strict=True)])
+                    yield pa.RecordBatch.from_arrays(columns, names=names).filter(keep)
+                else:
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return joined.mapInArrow(run, schema)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import id_and_bytes, map_rows, schema_of
+from .stages import edit_texts
 
 UNITS = schema_of(doc_id="long", seq="int", words="int", start="long", end="long", h1="long", h2="long")
 #: Words that a repeated passage must have at least to be removed.
@@ -64,26 +65,25 @@ def runs_of(rows: DataFrame, min_words: int) -> DataFrame:
     )
 
 
-def _cut(text: str, spans) -> str:
-    """The text without the spans and, for each, one of the line breaks beside it."""
+def _cut(body: bytes, spans: list) -> bytes | None:
+    """The text without the spans and, for each, one of the line breaks beside it; None if
+    nothing but white space is left."""
+    text = body.decode("utf-8")
     out, at = [], 0
-    for a, b in sorted((s[0], s[1]) for s in spans):
+    for a, b in sorted((s["start"], s["end"]) for s in spans):
         if b < len(text):
             b += 1
-        elif out or at < a:
-            a = max(at, a - 1)
+        elif a > at:
+            a -= 1
         out.append(text[at:a])
         at = max(at, b)
     out.append(text[at:])
-    return "".join(out)
+    left = "".join(out)
+    return left.encode("utf-8") if left.strip() else None
 
 
 def cut_runs(docs: DataFrame, runs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the runs; documents of which nothing but white space is left go. Documents
     with no run pass as they are, empty ones too. Ids must be unique."""
-    spans = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("__spans")).withColumnRenamed("doc_id", "__id")
-    cut = F.udf(_cut, "string")
-    joined = docs.join(spans, docs[id_col] == spans["__id"], "left")
-    new = F.when(F.col("__spans").isNull(), docs[text_col]).otherwise(cut(docs[text_col], "__spans"))
-    out = joined.select(*[new.alias(c) if c == text_col else docs[c] for c in docs.columns], F.col("__spans").isNotNull().alias("__cut"))
-    return out.where(~F.col("__cut") | (F.length(F.trim(F.col(text_col))) > 0)).drop("__cut")
+    spans = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return edit_texts(docs, spans, id_col, text_col, _cut)
