@@ -34,12 +34,14 @@ from .components import components
 
 #: Buckets of the sketch that finds heavy columns, as a power of two.
 SKETCH_BITS = 18
-#: Bits of the parity bitmap of a set.
-PARITY_BITS = 1024
+#: A set's parity bitmap has at least so many bits, and at least this share of its size, rounded up to a power of two.
+PARITY_BITS, PARITY_SHARE = 256, 0.75
 #: Rows of a tile when a block's unjoined rows are paired.
 TILE = 1024
-#: Members that one task checks against one hub.
+#: Members of a hub that are handled together.
 HUB_SHARE = 4096
+#: Pairs that are formed at once.
+CHUNK = 200_000
 #: Candidates that a row names for itself in the first tiled round, the nearest first. The second takes all.
 NEAREST = 8
 #: Up to so many rows, a list of ids is broadcast to the scan of texts rather than shuffled with it.
@@ -109,57 +111,140 @@ def _lead(n: int, percent: int, heavy):
         lv = level[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
         order = np.argsort(lv, kind="stable") if lv.any() else np.arange(size)
         lead = s[order[: size - -(-percent * size // 100) + 1]]
-        bits = np.bincount((mix64(s) >> np.uint64(54)).astype(np.int64), minlength=PARITY_BITS) & 1
-        return doc_id, size, np.packbits(bits.astype(np.uint8)).tobytes(), lead.view(np.int64).tolist()
+        return doc_id, size, parity(s), lead.view(np.int64).tolist()
 
     return row
 
 
+def parity(s: np.ndarray) -> bytes:
+    """Bit k is the parity of the entries whose mixed hash ends in k: every entry that only one of two
+    sets has flips one bit, so bitmaps differ in no more bits than the sets do in entries."""
+    bits = PARITY_BITS
+    while bits < PARITY_SHARE * len(s):
+        bits *= 2
+    odd = np.bincount((mix64(s) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 def _may_link(percent: int, sx, sy, differ) -> np.ndarray:
     """The size-derived bounds: ratio of sizes, and the largest symmetric difference at the threshold."""
     return (100 * np.minimum(sx, sy) >= percent * np.maximum(sx, sy)) & ((100 + percent) * differ <= (100 - percent) * (sx + sy))
 
 
-def _words_of(column) -> np.ndarray:
-    """Parity bitmaps of an Arrow column as rows of 64-bit words."""
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(len(column), PARITY_BITS // 64)
-
-
-def _bounds(percent: int, batches):
-    """(x, y, sx, px, sy, py) to the pairs that pass the bounds."""
-    arrow = to_arrow_schema(PAIRS)
+def _fold(bitmaps: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (one a row) at a smaller number of words: halves are added until they fit."""
+    while bitmaps.shape[1] > words:
+        half = bitmaps.shape[1] // 2
+        bitmaps = bitmaps[:, :half] ^ bitmaps[:, half:]
+    return bitmaps
+
+
+class Rows:
+    """Rows of blocks in memory: ids, sizes, labels and parity bitmaps by their length."""
+
+    def __init__(self, ids, sizes, labels, bitmaps: list[bytes]):
+        self.ids, self.sizes, self.labels = np.asarray(ids), np.asarray(sizes, dtype=np.int64), labels
+        self.words = np.array([len(b) // 8 for b in bitmaps], dtype=np.int64)
+        self.at = np.zeros(len(bitmaps), dtype=np.int64)  # place in the matrix of its length
+        self.matrix: dict[int, np.ndarray] = {}
+        for w in np.unique(self.words).tolist():
+            those = np.flatnonzero(self.words == w)
+            self.at[those] = np.arange(len(those))
+            self.matrix[w] = np.frombuffer(b"".join([bitmaps[k] for k in those.tolist()]), dtype=np.uint64).reshape(len(those), w)
+
+    def passing(self, percent: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the pairs of rows (a, b) those within the bounds, with the differing bits of each."""
+        sa, sb = self.sizes[a], self.sizes[b]
+        ok = _may_link(percent, sa, sb, np.zeros(len(a), dtype=np.int64))
+        if self.labels is not None:
+            ok &= self.labels[a] != self.labels[b]
+        a, b = a[ok], b[ok]
+        differ = np.zeros(len(a), dtype=np.int64)
+        shape = self.words[a] * (1 << 20) + self.words[b]
+        for key in np.unique(shape).tolist():
+            those = np.flatnonzero(shape == key)
+            wa, wb = key >> 20, key & ((1 << 20) - 1)
+            w = min(wa, wb)
+            x, y = _fold(self.matrix[wa][self.at[a[those]]], w), _fold(self.matrix[wb][self.at[b[those]]], w)
+            differ[those] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        ok = _may_link(percent, self.sizes[a], self.sizes[b], differ)
+        return a[ok], b[ok], differ[ok]
+
+
+def _groups(batches, n_keys: int):
+    """Columns of whole groups, several at a time, from batches sorted by their first ``n_keys`` columns."""
+    held = None
     for batch in batches:
-        if batch.num_rows:
-            x, y, sx, px, sy, py = batch.columns
-            differ = np.bitwise_count(_words_of(px) ^ _words_of(py)).sum(axis=1, dtype=np.int64)
-            keep = pa.array(_may_link(percent, sx.to_numpy().astype(np.int64), sy.to_numpy().astype(np.int64), differ))
-            yield pa.RecordBatch.from_arrays([x.filter(keep), y.filter(keep)], schema=arrow)
-
-
-def _tile(percent: int, nearest: int | None, key, pdf):
-    """Pairs of a tile's rows (its left against its right rows) that are not joined yet and pass the bounds."""
-    import pandas as pd
-
-    left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-    if key[1] == key[2]:
-        right = left
-    if not len(left) or not len(right):
-        return pd.DataFrame({"x": [], "y": []}, dtype="int64")
-    words = lambda d: np.frombuffer(b"".join(d["parity"]), dtype=np.uint64).reshape(len(d), -1)
-    a, b = words(left), words(right)
-    ids_a, ids_b = left["id"].to_numpy(), right["id"].to_numpy()
-    comp_a, comp_b = left["comp"].to_numpy(), right["comp"].to_numpy()
-    size_a, size_b = left["size"].to_numpy().astype(np.int64), right["size"].to_numpy().astype(np.int64)
-    xs, ys = [], []
-    for k in range(len(left)):
-        differ = np.bitwise_count(a[k] ^ b).sum(axis=1, dtype=np.int64)
-        ok = np.flatnonzero(_may_link(percent, size_a[k], size_b, differ) & (comp_a[k] != comp_b))
-        if nearest is not None and len(ok) > nearest:
-            ok = ok[np.argsort(differ[ok], kind="stable")[:nearest]]
-        xs.append(np.full(len(ok), ids_a[k]))
-        ys.append(ids_b[ok])
-    x, y = np.concatenate(xs), np.concatenate(ys)
-    return pd.DataFrame({"x": np.minimum(x, y), "y": np.maximum(x, y)}).drop_duplicates()
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+        keys = [table.column(k).to_numpy() for k in range(n_keys)]
+        change = np.zeros(table.num_rows, dtype=bool)
+        for k in keys:
+            change[1:] |= k[1:] != k[:-1]
+        starts = np.concatenate([[0], np.flatnonzero(change)])
+        last = int(starts[-1])
+        if last:
+            yield table.slice(0, last), starts[:-1]
+        held = table.slice(last).combine_chunks()
+    if held is not None:
+        yield held, np.zeros(1, dtype=np.int64)
+
+
+def _star(percent: int, batches):
+    """(key, salt, id or null, size, parity, hub) in blocks with the hub first: members that may link with it."""
+    arrow = to_arrow_schema(PAIRS)
+    for table, starts in _groups(batches, 2):
+        ends = np.concatenate([starts[1:], [table.num_rows]])
+        rows = Rows(table.column(2).to_numpy(), table.column(3).to_numpy(), None, table.column(4).to_pylist())
+        counts = ends - starts - 1
+        hub = np.repeat(starts, counts)
+        member = np.concatenate([np.arange(a + 1, b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)] or [np.zeros(0, dtype=np.int64)])
+        x, y, _ = rows.passing(percent, member, hub)
+        if len(x):
+            pairs = np.unique(np.stack([rows.ids[x], rows.ids[y]], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=arrow)
+
+
+def _tiles(percent: int, nearest: int | None, batches):
+    """(key, i, j, id, size, parity, comp, side) in tiles: pairs of rows that are not joined yet and pass the bounds."""
+    arrow = to_arrow_schema(PAIRS)
+
+    def emit(rows, found):
+        x, y, differ = (np.concatenate(c) for c in zip(*found, strict=True))
+        if nearest is not None and len(x):
+            order = np.lexsort((differ, x))
+            x, y = x[order], y[order]
+            first = np.concatenate([[True], x[1:] != x[:-1]])
+            since = np.arange(len(x)) - np.maximum.accumulate(np.where(first, np.arange(len(x)), 0))
+            x, y = x[since < nearest], y[since < nearest]
+        a, b = rows.ids[x], rows.ids[y]
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=arrow)
+
+    for table, starts in _groups(batches, 3):
+        rows = Rows(table.column(3).to_numpy(), table.column(4).to_numpy(), table.column(6).to_numpy(), table.column(5).to_pylist())
+        mixed = table.column(1).to_numpy() != table.column(2).to_numpy()
+        side = table.column(7).to_numpy()
+        ends = np.concatenate([starts[1:], [table.num_rows]])
+        # each row meets the rows after it in its tile
+        until = np.repeat(ends, ends - starts)
+        ahead = until - np.arange(len(until)) - 1
+        cut = np.cumsum(ahead)
+        lo, found = 0, []
+        while lo < len(ahead):
+            done = cut[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(cut, done + CHUNK, side="right")))
+            n = ahead[lo:hi]
+            a = np.repeat(np.arange(lo, hi), n)
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+            ok = ~mixed[a] | (side[a] != side[b])
+            kept = rows.passing(percent, a[ok], b[ok])
+            if len(kept[0]):
+                found.append(kept)
+            lo = hi
+        if found:
+            yield emit(rows, found)
 
 
 def _count(n: int, percent: int, batches):
@@ -203,11 +288,14 @@ class NgramJoin:
         lead = map_rows(self.texts, partial(_lead, self.n, self.percent, heavy), LEADING)
         return materialize(lead.join(self.sets.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
 
-    def _bounded(self, pairs: DataFrame, lead: DataFrame) -> DataFrame:
-        x = lead.select(F.col("id").alias("x"), F.col("size").alias("sx"), F.col("parity").alias("px"))
-        y = lead.select(F.col("id").alias("y"), F.col("size").alias("sy"), F.col("parity").alias("py"))
-        rows = pairs.join(x, "x").join(y, "y").select("x", "y", "sx", "px", "sy", "py")
-        return rows.mapInArrow(partial(_bounds, self.percent), PAIRS)
+    def _star_pairs(self, blocks: DataFrame, lead: DataFrame) -> DataFrame:
+        """Distinct (x, y): rows of a block and its smallest document y, within the bounds."""
+        shares = F.ceil(F.col("n") / HUB_SHARE).cast("int")
+        members = blocks.where("id <> hub").select("key", F.pmod(F.xxhash64("id"), shares).cast("int").alias("salt"), "id", F.lit(1).alias("late"))
+        hubs = blocks.where("id = hub").select("key", F.explode(F.sequence(F.lit(0), shares - 1)).alias("salt"), "id", F.lit(0).alias("late"))
+        rows = members.unionByName(hubs).join(lead.select("id", "size", "parity"), "id")
+        rows = rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "late").select("key", "salt", "id", "size", "parity")
+        return rows.mapInArrow(partial(_star, self.percent), PAIRS).distinct()
 
     def _checked(self, pairs: DataFrame) -> DataFrame:
         """Exact overlaps of distinct pairs (x, y): each member's text goes to its hub y."""
@@ -228,9 +316,9 @@ class NgramJoin:
         """(x, y, overlap) links between sets that span all components, and (node, component)."""
         lead = self._leading()
         cells = lead.select("id", F.explode("keys").alias("key"))
-        blocks = cells.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top").drop("top")
+        blocks = cells.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top"), F.count("*").alias("n")).where("hub < top").drop("top")
         blocks = materialize(cells.join(blocks, "key"))
-        star = materialize(self._bounded(blocks.where("id <> hub").select(F.col("id").alias("x"), F.col("hub").alias("y")).distinct(), lead))
+        star = materialize(self._star_pairs(blocks, lead))
         tested = self._checked(star)
         joined = components(tested.where("linked"))
         for nearest in (NEAREST, None):
@@ -246,9 +334,9 @@ class NgramJoin:
     def _tiled(self, blocks: DataFrame, lead: DataFrame, joined: DataFrame, nearest: int | None) -> DataFrame:
         """Pairs (x < y) within blocks between rows of different components that pass the bounds."""
         known = joined.select(F.col("node").alias("id"), F.col("component").alias("known"))
-        rows = materialize(blocks.join(known, "id", "left").select("key", "id", F.coalesce("known", "id").alias("comp")))
-        split = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2")
         # a block's hub has met every other row already
+        rows = blocks.where("id <> hub and n > 2").join(known, "id", "left").select("key", "id", F.coalesce("known", "id").alias("comp"))
+        split = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi")
         rows = rows.join(split.select("key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "key")
         rows = rows.join(lead.select("id", "size", "parity"), "id")
         tile = F.pmod(F.xxhash64("id", F.lit(1)), F.col("tiles")).cast("int")
@@ -259,8 +347,8 @@ class NgramJoin:
             "key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "id", "comp", "size", "parity",
             F.when(F.col("tile") <= F.col("other"), 0).otherwise(1).alias("side"),
         )
-        pairs = placed.groupBy("key", "i", "j").applyInPandas(_grouped(self.percent, nearest), PAIRS)
-        return pairs.distinct()
+        placed = placed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "id", "size", "parity", "comp", "side")
+        return placed.mapInArrow(partial(_tiles, self.percent, nearest), PAIRS).distinct()
 
     def classes(self) -> DataFrame:
         """Every row's doc_id, n_shingles and component_id: the smallest document linked with it
@@ -274,13 +362,6 @@ class NgramJoin:
         return rows.select("doc_id", "n_shingles", own.alias("component_id"))
 
 
-def _grouped(percent: int, nearest: int | None):
-    def pairs(key, pdf):
-        return _tile(percent, nearest, key, pdf)
-
-    return pairs
-
-
 def similar_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return NgramJoin(docs, n, percent, id_col, text_col).classes()
 
