@@ -62,11 +62,11 @@ def ancestors(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     # an unknown parent makes a root
     known = n.join(p, F.col("n.conv").eqNullSafe(F.col("p.conv")) & (F.col("n.parent") == F.col("p.up")), "left")
     state = materialize(known.select("n.conv", "n.node", "p.up", F.lit(1).cast("long").alias("depth"), F.coalesce("n.score", F.lit(0.0)).alias("total")))
-    levels = []
+    levels, size = [], state.count()
     while not state.where(F.col("up").isNotNull()).isEmpty():
         open_ = state.where(F.col("up").isNotNull())
-        if len(levels) > 62:
-            break  # only cycles are left
+        if 2 ** len(levels) > size:
+            break  # no path is that long: only cycles are left
         levels.append(open_.select("conv", "node", "up"))
         a, b = open_.alias("a"), state.alias("b")
         stepped = a.join(b, F.col("a.conv").eqNullSafe(F.col("b.conv")) & (F.col("a.up") == F.col("b.node"))).select(
@@ -88,19 +88,22 @@ def choose_paths(nodes: DataFrame, measured: DataFrame, paths_per_tree: int | No
 
 def path_nodes(chosen: DataFrame, levels: list[DataFrame]) -> DataFrame:
     """(conv, leaf, branch, node): every message of every chosen path, once."""
-    reached = chosen.withColumn("node", F.col("leaf"))
+    reached = materialize(chosen.withColumn("node", F.col("leaf")))
     for level in reversed(levels):
         r, j = reached.alias("r"), level.alias("j")
         more = r.join(j, F.col("r.conv").eqNullSafe(F.col("j.conv")) & (F.col("r.node") == F.col("j.node")))
-        reached = reached.unionByName(more.select("r.conv", "r.leaf", "r.branch", F.col("j.up").alias("node")))
+        # each step uses the last one twice: without a cut the plan would double
+        reached = materialize(reached.unionByName(more.select("r.conv", "r.leaf", "r.branch", F.col("j.up").alias("node"))))
     return reached
 
 
 def format_trees(nodes: DataFrame, paths_per_tree: int | None = None) -> DataFrame:
     """One row per chosen path: conv, branch, n_turns, formatted text and ``loss``, the spans
     [start, end) in code points of the formatted text under the loss mask."""
-    measured, levels = ancestors(nodes)
-    listed = path_nodes(choose_paths(nodes, measured, paths_per_tree), levels)
+    links = materialize(nodes.select("conv", "node", "parent", "score"))  # without texts
+    measured, levels = ancestors(links)
+    measured = materialize(measured)
+    listed = path_nodes(choose_paths(links, measured, paths_per_tree), levels)
     t, d, x = listed.alias("t"), measured.alias("d"), nodes.alias("x")
     rows = t.join(d, F.col("t.conv").eqNullSafe(F.col("d.conv")) & (F.col("t.node") == F.col("d.node"))).join(
         x, F.col("t.conv").eqNullSafe(F.col("x.conv")) & (F.col("t.node") == F.col("x.node"))
