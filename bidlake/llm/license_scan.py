@@ -77,8 +77,11 @@ def to_rpn(text: str) -> list[str]:
                 break
             out.append(token)
             operand = True
-    if not operand and stack and stack[-1] != "(":
-        stack.pop()  # an operator without its right side
+    if not operand:
+        while stack and stack[-1] == "(":
+            stack.pop()
+        if stack:
+            stack.pop()  # an operator without its right side
     out.extend(t for t in reversed(stack) if t != "(")
     return out
 
