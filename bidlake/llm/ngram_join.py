@@ -1,10 +1,21 @@
 """Operator 2: n-gram Jaccard join as a blocked sparse matrix product.
 
 Documents are rows and word n-grams columns of a 0/1 matrix; the product of the matrix
-with its transpose holds the overlaps. Of each row only its leading columns in one global
-order can be the first that two similar rows share: a row of ``a`` entries leads with
-``a - ceil(t a) + 1``. Blocks are the columns; heavy ones, found by a sketch of all rows, come
-last in the order and so lead nowhere else than in rows made of them alone.
+with its transpose holds the overlaps. Rows meet in blocks, of which there are two kinds.
+
+Short n-grams (under ``LONG``), which unrelated texts share by chance: rows that link differ in
+``k`` columns at most, which their sizes bound. The columns are cut by hash into more than ``k``
+ranges, so linked rows agree in all columns of at least one range, and a block is what a
+row has in a range. Sizes fall into classes; a row is cut as its own class asks, and as the
+class below asks if it can link with a row there. With ``k + 1 + spare`` ranges each row can
+leave out its ``spare`` emptiest ones: what one row of a pair leaves out is no more than
+``spare`` of the ``spare + 1`` ranges they agree in. Rows with more than ``spare`` ranges empty
+also lead with single columns, as below, in place of empty ranges.
+
+Long n-grams: of each row only its leading columns in one global order can be the first that
+two similar rows share: a row of ``a`` entries leads with ``a - ceil(t a) + 1``. Blocks are the
+columns; heavy ones, found by a sketch of all rows, come last in the order and so lead
+nowhere else than in rows made of them alone.
 
 Rows with equal sets are one row. In each block the others are first paired with the
 smallest document (a star, never all pairs); pairs must pass bounds derived from their
@@ -21,6 +32,7 @@ depend on order; empty input gives no rows. Only the id and text columns are rea
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from functools import partial
 
 import numpy as np
@@ -32,6 +44,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import SLICE, WordHash, id_and_bytes, map_rows, materialize, mix64, schema_of
 from .components import components
 
+#: Words of an n-gram from which on single columns make the blocks.
+LONG = 5
+#: One range in so many, and one more, may be left out by a row.
+SPARE = 8
 #: Buckets of the sketch that finds heavy columns, as a power of two.
 SKETCH_BITS = 18
 #: A set's parity bitmap has at least so many bits, and at least this share of its size, rounded up to a power of two.
@@ -96,6 +112,63 @@ def _measure(n: int, batches):
         yield emit([(None, None, None, None, int(b), int(load[b])) for b in heavy])
 
 
+class Cut:
+    """How many ranges the rows of each size class are cut into."""
+
+    def __init__(self, percent: int):
+        self.percent = percent
+        #: (largest size, largest size that can link with that, ranges, spare) by class
+        self.classes: list[tuple[int, int, int, int]] = []
+
+    def reach(self, size: int) -> int:
+        return 100 * size // self.percent
+
+    def of(self, size: int) -> int:
+        """The class of a size; classes are made as they are needed."""
+        while not self.classes or self.classes[-1][0] < size:
+            top = self.reach(self.reach(self.classes[-1][0] + 1 if self.classes else 1))
+            differ = (100 - self.percent) * (top + self.reach(top)) // (100 + self.percent)
+            spare = 1 + differ // SPARE
+            self.classes.append((top, self.reach(top), differ + 1 + spare if differ else 0, spare))
+        return bisect_left(self.classes, (size,))
+
+    def keys(self, s: np.ndarray) -> np.ndarray:
+        """The blocks of a row: hashes of what it has in the ranges of its class and the class below."""
+        size, found, sparse = len(s), [], False
+        own = self.of(size)
+        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix64(s ^ np.uint64(0x3333)), dtype=np.uint64)])
+        for c in (own, own - 1):
+            if c < 0:
+                break
+            _, reach, ranges, spare = self.classes[c]
+            if not ranges or size > reach:  # only equal sets can link there
+                continue
+            step = np.uint64((1 << 64) // ranges + 1)
+            ends = np.searchsorted(s // step, np.arange(ranges + 1, dtype=np.uint64))
+            counts = np.diff(ends)
+            least = int(np.partition(counts, spare)[spare])
+            sparse |= least == 0
+            used = np.flatnonzero(counts >= max(1, least))
+            what = sums[ends[used + 1]] - sums[ends[used]]
+            found.append(mix64(what ^ mix64(used.astype(np.uint64) + np.uint64((c + 1) << 32))))
+        if sparse:
+            found.append(s[: size - -(-self.percent * size // 100) + 1])
+        return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
+
+
+def _cut(n: int, percent: int):
+    """Kernel: the row's size, parity bitmap and blocks by ranges of columns."""
+    hashes, cut = WordHash(), Cut(percent)
+
+    def row(doc_id, body):
+        s = shingles(body, n, hashes)
+        if not len(s) or doc_id is None:
+            return doc_id, len(s), b"", []
+        return doc_id, len(s), parity(s), np.unique(cut.keys(s)).view(np.int64).tolist()
+
+    return row
+
+
 def _lead(n: int, percent: int, heavy):
     """Kernel: the row's size, parity bitmap and leading columns."""
     hashes = WordHash()
@@ -283,19 +356,29 @@ class NgramJoin:
         self.sets = self.rows.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(same)
 
     def _leading(self) -> DataFrame:
+        distinct = self.sets.select(F.col("rep").alias("id")).distinct()
+        if self.n < LONG:
+            return materialize(map_rows(self.texts, partial(_cut, self.n, self.percent), LEADING).join(distinct, "id", "left_semi"))
         loads = self.sketch.groupBy("bucket").agg(F.sum("load").alias("load"))  # no more rows than buckets
         heavy = self.spark.sparkContext.broadcast([(r.bucket, r.load) for r in loads.toLocalIterator()])
         lead = map_rows(self.texts, partial(_lead, self.n, self.percent, heavy), LEADING)
-        return materialize(lead.join(self.sets.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
+        return materialize(lead.join(distinct, "id", "left_semi"))
 
     def _star_pairs(self, blocks: DataFrame, lead: DataFrame) -> DataFrame:
-        """Distinct (x, y): rows of a block and its smallest document y, within the bounds."""
-        shares = F.ceil(F.col("n") / HUB_SHARE).cast("int")
-        members = blocks.where("id <> hub").select("key", F.pmod(F.xxhash64("id"), shares).cast("int").alias("salt"), "id", F.lit(1).alias("late"))
-        hubs = blocks.where("id = hub").select("key", F.explode(F.sequence(F.lit(0), shares - 1)).alias("salt"), "id", F.lit(0).alias("late"))
+        """Distinct (x, y): rows of a block and its smallest document y, within the bounds. Bitmaps
+        travel once a pair, after the bound on the ratio of sizes, not once a block."""
+        near = 100 * F.least("size", "hub_size") >= self.percent * F.greatest("size", "hub_size")
+        sizes = lead.select(F.col("id").alias("hub"), F.col("size").alias("hub_size"))
+        pairs = blocks.where("id <> hub").select("id", "size", "hub").distinct()
+        pairs = materialize(pairs.join(sizes, "hub").where(near).select("id", "hub"))
+        shares = pairs.groupBy("hub").agg(F.ceil(F.count("*") / HUB_SHARE).cast("int").alias("shares"))
+        members = pairs.join(shares, "hub").select(
+            F.col("hub").alias("key"), F.pmod(F.xxhash64("id"), F.col("shares")).cast("int").alias("salt"), "id", F.lit(1).alias("late")
+        )
+        hubs = shares.select(F.col("hub").alias("key"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("salt"), F.col("hub").alias("id"), F.lit(0).alias("late"))
         rows = members.unionByName(hubs).join(lead.select("id", "size", "parity"), "id")
         rows = rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "late").select("key", "salt", "id", "size", "parity")
-        return rows.mapInArrow(partial(_star, self.percent), PAIRS).distinct()
+        return rows.mapInArrow(partial(_star, self.percent), PAIRS)
 
     def _checked(self, pairs: DataFrame) -> DataFrame:
         """Exact overlaps of distinct pairs (x, y): each member's text goes to its hub y."""
@@ -315,8 +398,8 @@ class NgramJoin:
     def links(self) -> tuple[DataFrame, DataFrame]:
         """(x, y, overlap) links between sets that span all components, and (node, component)."""
         lead = self._leading()
-        cells = lead.select("id", F.explode("keys").alias("key"))
-        blocks = cells.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top"), F.count("*").alias("n")).where("hub < top").drop("top")
+        cells = lead.select("id", "size", F.explode("keys").alias("key"))
+        blocks = cells.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").cast("int").alias("n")).where("n > 1")
         blocks = materialize(cells.join(blocks, "key"))
         star = materialize(self._star_pairs(blocks, lead))
         tested = self._checked(star)

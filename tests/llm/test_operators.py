@@ -97,6 +97,24 @@ def test_jaccard_small_tiles(spark, monkeypatch):
     assert got == brute.classes(texts, 5, 80)
 
 
+@pytest.mark.parametrize("percent", [80, 90, 100])
+def test_linked_rows_share_a_range(percent):
+    import numpy as np
+
+    rng, cut, linked = np.random.default_rng(percent), ngram_join.Cut(percent), 0
+    for k in range(1500):
+        n = int(rng.integers(1, 40 if k % 2 else 400))
+        pool = rng.integers(0, 2**64, 2 * n, dtype=np.uint64)
+        differ = int(rng.integers(0, n // 5 + 2))
+        gone = int(rng.integers(0, differ + 1))
+        x, y = np.unique(pool[:n]), np.unique(np.concatenate([pool[gone:n], pool[n : n + differ - gone]]))
+        both, either = len(np.intersect1d(x, y)), len(np.union1d(x, y))
+        if both < either and 100 * both >= percent * either:  # equal sets are one row
+            linked += 1
+            assert len(np.intersect1d(cut.keys(x), cut.keys(y)))
+    assert linked or percent == 100
+
+
 def test_jaccard_keeps_one(spark, empty):
     texts = [(1, "a b c d e f"), (2, "a b c d e f"), (3, None), (4, ""), (None, "a b c d e f")]
     kept = ngram_join.keep_one(docs_of(spark, texts))
