@@ -55,7 +55,7 @@ PARITY_BITS, PARITY_SHARE = 256, 0.75
 #: Rows of a tile when a block's unjoined rows are paired.
 TILE = 1024
 #: Members of a hub that are handled together.
-HUB_SHARE = 4096
+HUB_SHARE = 512
 #: Pairs that are formed at once.
 CHUNK = 200_000
 #: Candidates that a row names for itself in the first tiled round, the nearest first. The second takes all.
