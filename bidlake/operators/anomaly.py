@@ -17,6 +17,8 @@ RATIO_POSSIBLE, RATIO_HIGH, Z_POSSIBLE, Z_HIGH, MIN_FOR_Z = 0.35, 0.60, 2.0, 3.0
 FENCE_POSSIBLE, FENCE_HIGH, MIN_FOREST, ZERO_SPREAD = 1.5, 3.0, 20, 0.01
 SEVERITY = {"HIGH_ANOMALY": 3, "POSSIBLE_ANOMALY": 2, "NORMAL": 1, "INSUFFICIENT_DATA": 0}
 TREES, SEED, SAMPLE = 200, 42, 256
+#: SRC-8: newest prices of an item that are looked at.
+NEWEST_PRICES = 1000
 
 
 def ladder(prices: DataFrame, mean="mean", stddev="stddev", n="n", price="unit_price") -> DataFrame:
@@ -121,7 +123,7 @@ def assess(price: float, history: np.ndarray) -> dict | None:
     return {"status": status, "score": score, "ratio": price / median}
 
 
-def forest_status(candidates: DataFrame, history: DataFrame, max_history: int = 1000) -> DataFrame:
+def forest_status(candidates: DataFrame, history: DataFrame, max_history: int = NEWEST_PRICES) -> DataFrame:
     """DOM-11, SRC-8: candidates (item, price) against the newest ``max_history`` prices of their item, a limit
     of the operator itself, which also bounds the group that a task holds."""
     newest = W.partitionBy("item").orderBy(F.desc("created_at"), "unit_price")
