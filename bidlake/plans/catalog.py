@@ -581,8 +581,10 @@ def _(t):
 @query("dom07_item_matching")
 def _(t):
     p = t.raw("part").select("p_partkey", "p_name", (F.col("p_partkey") % 50).alias("request_id"))
-    items = p.select("request_id", F.col("p_partkey").alias("request_item_id"), F.concat(F.col("p_name"), F.lit(" 10mm")).alias("name"), F.lit("pcs").alias("unit")).where("request_item_id % 3 = 0")
-    lines = p.select("request_id", F.lit(1).alias("quotation_id"), F.col("p_partkey").alias("line_id"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.upper("p_name"), F.lit(" 10 MM"))).otherwise(F.concat(F.lit("best "), F.col("p_name"))).alias("name"), F.lit("nos").alias("unit")).where("line_id % 3 <> 1")
+    items = p.select("request_id", F.col("p_partkey").alias("request_item_id"), F.concat(F.col("p_name"), F.lit(" 10mm")).alias("name"), F.lit("pcs").alias("unit"))
+    # a third of the quoted names are spelled backwards, for items that match nothing
+    quoted = F.when(F.col("p_partkey") % 3 == 1, F.reverse("p_name")).when(F.col("p_partkey") % 2 == 0, F.concat(F.upper("p_name"), F.lit(" 10 MM"))).otherwise(F.concat(F.lit("best "), F.col("p_name")))
+    lines = p.select("request_id", F.lit(1).alias("quotation_id"), F.col("p_partkey").alias("line_id"), quoted.alias("name"), F.lit("nos").alias("unit"))
     return matching.match_items(items, lines).select("request_item_id", "quotation_id", "line_id", "score", "method", "ambiguous")
 
 

@@ -13,3 +13,11 @@ def test_newest_prices_up_to_the_limit(spark, small):
     assert max(prices.values()) > 100
     got = collections.Counter(r.item for r in registry.queries()["src08_newest_prices"](spark, small).collect())
     assert got == {item: min(n, anomaly.NEWEST_PRICES) for item, n in prices.items()}
+
+
+def test_matching_takes_every_part(spark, small):
+    parts = {r.p_partkey for r in spark.read.parquet(f"{small}/part.parquet").select("p_partkey").collect()}
+    got = registry.queries()["dom07_item_matching"](spark, small).collect()
+    assert sorted(r.request_item_id for r in got) == sorted(parts)
+    assert {r.method for r in got} >= {"exact", "review", "unmatched"}
+    assert registry.queries()["agg14_match_coverage"](spark, small).first()["items"] == len(parts)
