@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, SparkSession
@@ -176,7 +177,12 @@ def partial_ratio(a: str, b: str) -> float:
 
 def similarity_of(a: str | None, b: str | None) -> float:
     """FN-25: blended score of two descriptions, with sizes that agree or contradict."""
-    x, y = fold_text(a), fold_text(b)
+    return folded_similarity(fold_text(a), fold_text(b))
+
+
+@lru_cache(1 << 16)
+def folded_similarity(x: str, y: str) -> float:
+    """The same of two folded texts."""
     if not x or not y:
         return 0.0
     if x == y:
@@ -197,6 +203,14 @@ def similarity(a: Column | str, b: Column | str) -> Column:
     return F.pandas_udf(_similar, T.DoubleType())(a, b)
 
 
+def _similar_folded(x: pd.Series, y: pd.Series) -> pd.Series:
+    return pd.Series([folded_similarity(a, b) for a, b in zip(x, y, strict=True)], dtype="float64")
+
+
+def similarity_folded(x: Column | str, y: Column | str) -> Column:
+    return F.pandas_udf(_similar_folded, T.DoubleType())(x, y)
+
+
 def detect_language(c: Column) -> Column:
     """FN-14: hint at the script of a text."""
     counts = {k: F.length(F.regexp_replace(c, f"[^{r}]", "")) for k, r in SCRIPTS.items()}

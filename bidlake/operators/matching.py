@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.gstin import normalize_gstin
-from ..functions.text import amounts_in, base_unit, email_key, normalize_text, similarity
+from ..functions.text import amounts_in, base_unit, email_key, normalize_text, similarity_folded
 
 # Fixed values.
 AUTO, REVIEW, AMBIGUOUS_GAP, AMOUNT_TOLERANCE = 0.86, 0.62, 0.15, 0.5
@@ -17,21 +17,25 @@ def match_items(items: DataFrame, lines: DataFrame) -> DataFrame:
     """DOM-7: best quoted line of each requested item: exact by normalised name, else fuzzy.
 
     items (request_id, request_item_id, name, unit), lines (request_id, quotation_id, line_id, name, unit). Exact pairs come from
-    an equi-join; only the rest meet the fuzzy scorer, on candidates that share a word or size. Lines are never used up;
-    ties keep the first line; exact matches are not downgraded when units conflict.
+    an equi-join; each of the rest is scored with every line of the quotation, once per pair of distinct normalised names, on
+    which alone the score depends. Lines are never used up; ties keep the first line; exact matches are not downgraded when
+    units conflict.
     """
-    a = items.select("request_id", "request_item_id", F.col("name").alias("wanted"), F.col("unit").alias("wanted_unit"), normalize_text("name").alias("key"))
-    b = lines.select("request_id", "quotation_id", "line_id", F.col("name").alias("offered"), F.col("unit").alias("offered_unit"), normalize_text("name").alias("key"))
+    a = items.select("request_id", "request_item_id", F.col("unit").alias("wanted_unit"), normalize_text("name").alias("key"))
+    b = lines.select("request_id", "quotation_id", "line_id", F.col("unit").alias("offered_unit"), normalize_text("name").alias("key"))
+    # of the lines with one name the first stands for all
+    names = b.groupBy("request_id", "quotation_id", "key").agg(F.min("line_id").alias("line_id"), F.min_by("offered_unit", "line_id").alias("offered_unit"), F.count("*").alias("n"))
     pairs = items.select("request_id", "request_item_id").join(lines.select("request_id", "quotation_id").distinct(), "request_id")
-    exact = a.join(b, ["request_id", "key"]).groupBy("request_item_id", "quotation_id").agg(F.min("line_id").alias("line_id"))
+    exact = a.join(names, ["request_id", "key"]).groupBy("request_item_id", "quotation_id").agg(F.min("line_id").alias("line_id"))
     exact = exact.select("*", F.lit(1.0).alias("score"), F.lit("exact").alias("method"), F.lit(None).cast("double").alias("gap"), F.lit(None).cast("boolean").alias("units_agree"))
     rest = a.join(pairs, ["request_id", "request_item_id"]).join(exact.select("request_item_id", "quotation_id"), ["request_item_id", "quotation_id"], "left_anti")
-    word = lambda df: df.withColumn("word", F.explode(F.array_distinct(F.split("key", " ")))).where("word <> ''")
-    shared = word(rest).join(word(b).drop("key"), ["request_id", "quotation_id", "word"]).drop("word").dropDuplicates(["request_item_id", "quotation_id", "line_id"])
-    ua, ub = base_unit(F.col("wanted_unit")), base_unit(F.col("offered_unit"))
-    scored = shared.select("request_item_id", "quotation_id", "line_id", similarity("wanted", "offered").alias("score"), (ua == ub).alias("units_agree"))
-    best = W.partitionBy("request_item_id", "quotation_id").orderBy(F.desc("score"), "line_id")
-    top = scored.withColumn("gap", F.col("score") - F.lead("score").over(best)).withColumn("k", F.row_number().over(best)).where("k = 1").drop("k")
+    wanted = rest.select("request_id", "quotation_id", F.col("key").alias("wanted")).distinct()
+    scored = wanted.join(names.withColumnRenamed("key", "offered"), ["request_id", "quotation_id"]).withColumn("score", similarity_folded("wanted", "offered"))
+    best = W.partitionBy("request_id", "quotation_id", "wanted").orderBy(F.desc("score"), "line_id")
+    gap = F.when(F.col("n") > 1, F.lit(0.0)).otherwise(F.col("score") - F.lead("score").over(best))
+    top = scored.withColumn("gap", gap).withColumn("k", F.row_number().over(best)).where("k = 1").withColumnRenamed("wanted", "key")
+    agree = base_unit(F.col("wanted_unit")) == base_unit(F.col("offered_unit"))
+    top = rest.join(top, ["request_id", "quotation_id", "key"]).select("request_item_id", "quotation_id", "line_id", "score", "gap", agree.alias("units_agree"))
     conflict = F.coalesce(~F.col("units_agree"), F.lit(False))
     method = F.when((F.col("score") >= AUTO) & ~conflict, "auto").when(F.col("score") >= REVIEW, "review").otherwise("unmatched")
     found = exact.unionByName(top.withColumn("method", method))

@@ -1,9 +1,13 @@
 """Queries do their whole job: nothing is left out of the tables, no candidate goes unscored."""
 
 import collections
+import random
+
+import pytest
 
 from bidlake import registry
-from bidlake.operators import anomaly
+from bidlake.functions import text
+from bidlake.operators import anomaly, matching
 
 
 def test_newest_prices_up_to_the_limit(spark, small):
@@ -21,3 +25,28 @@ def test_matching_takes_every_part(spark, small):
     assert sorted(r.request_item_id for r in got) == sorted(parts)
     assert {r.method for r in got} >= {"exact", "review", "unmatched"}
     assert registry.queries()["agg14_match_coverage"](spark, small).first()["items"] == len(parts)
+
+
+def test_matching_scores_every_line(spark):
+    rng = random.Random(3)
+    names = ["hexbolt", "hexbolts", "hex bolt 10mm", "HEX BOLT 10 MM", "pvcpipe 2 inch", "PVC pipes 2in", "cementbag", "cement bags", "gasket", "gaskets", "wire", "", "m8 nut 12mm", "m8nuts 15 mm"]
+    items = [(r, 100 * r + k, rng.choice(names), rng.choice(["pcs", "kg", None])) for r in range(6) for k in range(8)]
+    lines = [(r, q, 1000 * q + k, rng.choice(names), rng.choice(["nos", "kg", None])) for r in range(6) for q in (2 * r, 2 * r + 1) for k in range(rng.randint(1, 6))]
+    items += [(9, 900, "hexbolt", "pcs"), (9, 901, "zzzz", "pcs")]
+    lines += [(9, 90, 1, "cementbag", "nos"), (9, 90, 2, "hexbolts", "nos")]
+    got = matching.match_items(spark.createDataFrame(items, "request_id int, request_item_id int, name string, unit string"), spark.createDataFrame(lines, "request_id int, quotation_id int, line_id int, name string, unit string"))
+    got = {(r.request_item_id, r.quotation_id): r for r in got.collect()}
+    count = 0
+    for request, item, name, _ in items:
+        for quotation in {q for r, q, *_ in lines if r == request}:
+            offered = [(i, n) for _, q, i, n, _ in lines if q == quotation]
+            r, count = got[item, quotation], count + 1
+            exact = [i for i, n in offered if text.fold_text(n) == text.fold_text(name)]
+            if exact:
+                assert (r.method, r.line_id, r.score) == ("exact", min(exact), 1.0)
+                continue
+            scores = sorted((-text.similarity_of(name, n), i) for i, n in offered)
+            assert (r.line_id, r.score) == (scores[0][1], -scores[0][0])
+            assert r.gap == (pytest.approx(scores[1][0] - scores[0][0]) if len(scores) > 1 else None)
+    assert count == len(got) and got[900, 90].method == "auto" and got[900, 90].line_id == 2
+    assert got[901, 90].method == "unmatched" and got[901, 90].score is not None
