@@ -26,12 +26,12 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KEYS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 LEAST_VALUE, LEAST_ACCESS = 6, 20
 KINDS = ("assign", "access", "hex", "random")
-#: What the token test looks at, and what it leaves alone.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-DIGEST = re.compile(r"[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}")
-IDENTIFIER = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}|[A-Za-z]+(?:[_/-][A-Za-z]+)*[_/-]?[0-9]{0,4}|[0-9+/=_-]+|[a-z]+(?:[A-Z][a-z]+)+[0-9]*")
-#: Below this many characters a token a string counts as random (prose has 4 or more).
-MAX_CHARS_PER_TOKEN = 2.2
+#: What the token test looks at, and the digests and identifiers of known form that it leaves alone.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+KNOWN = re.compile(r"[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
+#: Below this many characters a token a string counts as random (prose has 4 or more). Letters alone that
+#: are no longer than a long word must be packed worse, as rare words of that length come close.
+MAX_CHARS_PER_TOKEN, MAX_CHARS_PER_TOKEN_OF_WORD, LONG_WORD = 2.2, 1.8, 15
 
 OUTPUT = schema_of(doc_id="long", n_assign="long", n_access="long", n_hex="long", base_sha256="string", spans="string", n_random="long")
 
@@ -56,10 +56,6 @@ def base_spans(text: str, body: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
-def _mixed(s: str) -> bool:
-    return any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
-
-
 def _scanner(shared):
     encoding = _encoding(shared.value)
 
@@ -71,11 +67,12 @@ def _scanner(shared):
         spans = list(base)
         for m in CANDIDATE.finditer(text):
             s = m.group()
-            if not _mixed(s) or DIGEST.fullmatch(s) or IDENTIFIER.fullmatch(s):
+            if KNOWN.fullmatch(s):
                 continue
             if any(a <= m.start() and m.end() <= b for a, _, b in base):
                 continue
-            if len(s) < MAX_CHARS_PER_TOKEN * len(encoding.encode_ordinary(s)):
+            most = MAX_CHARS_PER_TOKEN_OF_WORD if len(s) <= LONG_WORD and s.isalpha() else MAX_CHARS_PER_TOKEN
+            if len(s) < most * len(encoding.encode_ordinary(s)):
                 spans.append((m.start(), 3, m.end()))
         write = lambda xs: ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(xs))
         n = [sum(k == i for _, k, _ in spans) for i in range(4)]

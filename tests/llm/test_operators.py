@@ -2,6 +2,7 @@
 
 import random
 import re
+import string
 
 import pytest
 from pyspark.sql import functions as F
@@ -236,6 +237,20 @@ def test_secrets(spark):
     assert got[23].n_random == 1 and got[23].spans.startswith("random:4:")
 
 
+def test_random_strings_of_any_letters(spark):
+    rng = random.Random(5)
+    letters = string.ascii_letters
+    keys = ["".join(rng.choices(a, k=n)) for a in (letters, letters + string.digits) for n in (12, 14, 16, 19, 20, 32, 44) for _ in range(40)]
+    keys += ["".join(rng.choices(letters, k=20)) + "4711" for _ in range(40)]
+    texts = [(i, f"the key is {k} and no more") for i, k in enumerate(keys)]
+    clean = ["internationalization", "getUserAccountBalance2", "src/main/resources/application", "0123456789abcdef0123456789abcdef", "123e4567-e89b-12d3-a456-426614174000", "================", "characteristically"]
+    texts += [(1000 + i, f"see {k} here") for i, k in enumerate(clean)]
+    got = rows_by_id(secret_scan.scan_secrets(docs_of(spark, texts), q.vocabulary(q.RANKS)))
+    found = [got[i].spans == f"random:11:{11 + len(k)}" for i, k in enumerate(keys)]
+    assert sum(found) >= 0.98 * len(keys)
+    assert not any(got[1000 + i].n_random for i in range(len(clean)))
+
+
 # --- 7: conversations ---
 
 
