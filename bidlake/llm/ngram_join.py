@@ -22,7 +22,8 @@ smallest document (a star, never all pairs); pairs must pass bounds derived from
 sizes: the ratio of sizes, and the least symmetric difference that parity bitmaps of both sets
 show. What is left is counted exactly. Only rows of a block that these links have not joined yet
 are paired further, in tiles of bounded size, so groups of copies stay linear and still no
-link between different components is lost.
+link between different components is lost. ``all_links`` pairs all rows of a block in such tiles, by
+the same bounds, and so returns every link between different sets.
 
 Defined results: null and empty texts, and texts without words, have an empty set and link
 with nothing; with fewer than n words the whole sequence is one n-gram; a null id is its own
@@ -316,6 +317,9 @@ def _tiles(percent: int, nearest: int | None, batches):
             if len(kept[0]):
                 found.append(kept)
             lo = hi
+            if nearest is None and found:
+                yield emit(rows, found)
+                found = []
         if found:
             yield emit(rows, found)
 
@@ -395,12 +399,40 @@ class NgramJoin:
         rows = rows.select("hub", "salt", "member", "body").repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("member").asc_nulls_first())
         return materialize(rows.mapInArrow(partial(_count, self.n, self.percent), CHECKED))
 
-    def links(self) -> tuple[DataFrame, DataFrame]:
-        """(x, y, overlap) links between sets that span all components, and (node, component)."""
+    def _blocks(self) -> tuple[DataFrame, DataFrame]:
+        """(key, id, size, hub, n) rows of blocks, and the rows' sizes and bitmaps."""
         lead = self._leading()
         cells = lead.select("id", "size", F.explode("keys").alias("key"))
         blocks = cells.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").cast("int").alias("n")).where("n > 1")
-        blocks = materialize(cells.join(blocks, "key"))
+        return materialize(cells.join(blocks, "key")), lead
+
+    def all_links(self) -> DataFrame:
+        """(x, y, overlap), x < y: every two different sets that link, each named by its smallest document
+        (``membership`` names all of its documents). The result grows with the square of a group of near copies."""
+        blocks, lead = self._blocks()
+        alone = lead.select(F.col("id").alias("node"), F.col("id").alias("component"))
+        pairs = self._star_pairs(blocks, lead).unionByName(self._tiled(blocks, lead, alone, None))
+        pairs = materialize(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+        return self._checked(pairs).where("linked").drop("linked")
+
+    def membership(self) -> DataFrame:
+        """(doc_id, rep): the smallest document with the same set, of each that has one."""
+        rows = self.rows.where("n_shingles > 0 and doc_id is not null")
+        return rows.join(self.sets, ["d1", "d2"]).select("doc_id", "rep").distinct()
+
+    def link_counts(self) -> DataFrame:
+        """(doc_id, n_links): how many other documents a document links with, of each that has a set; ids must be unique."""
+        member = materialize(self.membership())
+        sizes = member.groupBy("rep").agg(F.count("*").alias("n"))
+        links = self.all_links()
+        both = links.select("x", "y").unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        others = both.join(sizes.select(F.col("rep").alias("y"), "n"), "y").groupBy("x").agg(F.sum("n").alias("others"))
+        counts = sizes.join(others.withColumnRenamed("x", "rep"), "rep", "left").select("rep", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+        return member.join(counts, "rep").select("doc_id", "n_links")
+
+    def links(self) -> tuple[DataFrame, DataFrame]:
+        """(x, y, overlap) links between sets that span all components, and (node, component)."""
+        blocks, lead = self._blocks()
         star = materialize(self._star_pairs(blocks, lead))
         tested = self._checked(star)
         joined = components(tested.where("linked"))

@@ -98,6 +98,22 @@ def test_jaccard_small_tiles(spark, monkeypatch):
     assert got == brute.classes(texts, 5, 80)
 
 
+@pytest.mark.parametrize("n, percent", [(3, 90), (5, 80), (1, 50)])
+def test_jaccard_all_links(spark, monkeypatch, n, percent):
+    monkeypatch.setattr(ngram_join, "TILE", 16)
+    texts = [*EDGES, *enumerate(near_copies(60), 100), *[(300 + k, "same text of copies here") for k in range(5)], (400, "TWO words here of same text")]
+    sets = {i: brute.shingles(t, n) for i, t in texts if i is not None}
+    rep = {i: min(j for j in sets if sets[j] == s) for i, s in sets.items() if s}
+    overlap = {(a, b): len(sets[a] & sets[b]) for a in sorted(set(rep.values())) for b in sorted(set(rep.values())) if a < b}
+    want = {(a, b, k) for (a, b), k in overlap.items() if 100 * k >= percent * len(sets[a] | sets[b])}
+    join = ngram_join.NgramJoin(docs_of(spark, texts), n, percent)
+    rows = [tuple(r) for r in join.all_links().select("x", "y", "overlap").collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want and want
+    assert {tuple(r) for r in join.membership().collect()} == set(rep.items())
+    linked = lambda a, b: a != b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])
+    assert {tuple(r) for r in join.link_counts().collect()} == {(i, sum(linked(i, j) for j in rep)) for i in rep}
+
+
 @pytest.mark.parametrize("percent", [80, 90, 100])
 def test_linked_rows_share_a_range(percent):
     import numpy as np
