@@ -440,8 +440,8 @@ class NgramJoin:
             more = self._tiled(blocks, lead, joined, nearest)
             seen = tested.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
             more = materialize(more.join(seen, ["x", "y"], "left_anti"))
-            if more.isEmpty():
-                break
+            if more.isEmpty():  # the nearest may all have been tested; only the uncapped round shows that none is left
+                continue
             tested = materialize(tested.unionByName(self._checked(more)))
             joined = components(tested.where("linked"))
         return tested.where("linked").drop("linked"), joined

@@ -114,6 +114,19 @@ def test_jaccard_all_links(spark, monkeypatch, n, percent):
     assert {tuple(r) for r in join.link_counts().collect()} == {(i, sum(linked(i, j) for j in rep)) for i in rep}
 
 
+def test_jaccard_goes_on_after_an_empty_capped_round(spark, monkeypatch):
+    rng, texts = random.Random(7), []
+    for g in range(40):  # a long text with the smallest id meets two near copies of its beginning, which link with each other alone
+        words = [f"w{rng.randrange(10**9)}" for _ in range(200)]
+        copy = words[:40]
+        copy[39] = "other"
+        texts += [(1000 + g, " ".join(words)), (2000 + 2 * g, " ".join(words[:40])), (2001 + 2 * g, " ".join(copy))]
+    tiled = ngram_join.NgramJoin._tiled
+    monkeypatch.setattr(ngram_join.NgramJoin, "_tiled", lambda self, b, x, j, nearest: tiled(self, b, x, j, nearest).limit(0) if nearest else tiled(self, b, x, j, nearest))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_classes(docs_of(spark, texts), 5, 80).collect()}
+    assert got == brute.classes(texts, 5, 80)
+
+
 @pytest.mark.parametrize("percent", [80, 90, 100])
 def test_linked_rows_share_a_range(percent):
     import numpy as np
