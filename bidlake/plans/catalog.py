@@ -596,4 +596,4 @@ def _(t):
 @query("dom20_retrieval")
 def _(t):
     q = t.raw("benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return retrieval.search(q, t.raw("documents").select("doc_id", "text"), k=3).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return retrieval.search(q, t.raw("documents").select("doc_id", "text"), k=3, chars=True).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")

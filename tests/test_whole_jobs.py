@@ -1,13 +1,15 @@
 """Queries do their whole job: nothing is left out of the tables, no candidate goes unscored."""
 
 import collections
+import math
 import random
+import re
 
 import pytest
 
 from bidlake import registry
 from bidlake.functions import text
-from bidlake.operators import anomaly, matching
+from bidlake.operators import anomaly, matching, retrieval
 
 
 def test_newest_prices_up_to_the_limit(spark, small):
@@ -50,3 +52,50 @@ def test_matching_scores_every_line(spark):
             assert r.gap == (pytest.approx(scores[1][0] - scores[0][0]) if len(scores) > 1 else None)
     assert count == len(got) and got[900, 90].method == "auto" and got[900, 90].line_id == 2
     assert got[901, 90].method == "unmatched" and got[901, 90].score is not None
+
+
+def blocks_of(text):
+    """Term counts of both blocks, as the reference's vectorizers take them."""
+    words = [w for w in re.findall(r"\w\w+", text.lower()) if w not in set(retrieval.STOP_WORDS)]
+    grams = collections.Counter(words + [" ".join(p) for p in zip(words, words[1:])])
+    chars = collections.Counter()
+    for w in text.lower().split():
+        w = f" {w} "
+        for n in (3, 4, 5):
+            chars.update([w[k : k + n] for k in range(max(1, len(w) - n + 1))])
+            if len(w) <= n:
+                break
+    return grams, chars
+
+
+def test_search_scores_words_and_characters(spark):
+    docs = {0: "Cast iron pipes and fittings of steel", 1: "bolts, hexagonal; BOLT sets", 2: "the of and", 3: "Ciónue tubos de acero", 4: "steel pipe with a pipe fitting", 5: "x", 6: "portland cement bags bags", 7: "", 8: "welded tubes of the steel", 9: "hexagon rods"}
+    queries = {0: "steel pipe", 1: "hexbolts", 2: "ciónue", 3: "the and", 4: "cementing bag", 5: "tube of steel the x"}
+    counts = {d: blocks_of(t) for d, t in docs.items()}
+    vectors = {}
+    for block, least in ((0, 1), (1, 2)):
+        df = collections.Counter(t for c in counts.values() for t in c[block])
+        idf = {t: math.log((1 + len(docs)) / (1 + k)) + 1 for t, k in df.items() if k >= least}
+        for side, texts in (("d", docs), ("q", queries)):
+            for i, text in texts.items():
+                v = {(block, t): (1 + math.log(n)) * idf[t] for t, n in blocks_of(text)[block].items() if t in idf}
+                norm = math.sqrt(sum(x * x for x in v.values()))
+                vectors.setdefault((side, i), {}).update({t: x / norm for t, x in v.items()})
+    want = {}
+    for i in queries:
+        scores = {}
+        for d in docs:
+            a, b = vectors["q", i], vectors["d", d]
+            s = sum(x * b.get(t, 0) for t, x in a.items())
+            if s:
+                scores[d] = s / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+        for rank, d in enumerate(sorted(scores, key=lambda d: (-round(scores[d], 9), d))[:3], 1):
+            want[i, rank] = (d, pytest.approx(scores[d]))
+    got = retrieval.search(spark.createDataFrame(list(queries.items()), "query_id int, text string"), spark.createDataFrame(list(docs.items()), "doc_id int, text string"), chars=True)
+    assert {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in got.collect()} == want
+    assert {i for i, _ in want} >= {0, 1, 2, 4, 5}
+
+
+def test_retrieval_query_uses_both_blocks(spark, small):
+    plan = registry.queries()["dom20_retrieval"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring" in plan or "substr(" in plan
