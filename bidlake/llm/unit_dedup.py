@@ -2,8 +2,8 @@
 
 Lines are normalised (white space folded), their digests grouped globally, and the
 earliest ranked occurrence of each kept: the smallest (document id, line). Later ones
-are marked where they stand; marked neighbours make a passage, and passages of at
-least ``min_words`` words are removed. Offsets are those of the original text.
+are marked where they stand (``later_copies`` returns all of them); marked neighbours make
+a passage, and passages of at least ``min_words`` words are removed. Offsets are those of the original text.
 
 Counting is pre-aggregated before the shuffle, so a line that a third of all documents
 share costs one row a task there; the join back to such lines is split by the
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .units import MIN_WORDS, cut_runs, line_units, runs_of
 
@@ -30,6 +31,15 @@ def repeated_units(units: DataFrame) -> DataFrame:
     return back.where(place > F.col("first")).select("doc_id", "seq", "words", "start", "end", F.col("first.doc_id").alias("first_doc"))
 
 
+def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per line that stands earlier too, however short: doc_id, line, code points [start, end), words, the document
+    with its earliest copy, and whether the line is part of a passage of at least ``min_words`` words (which is removed)."""
+    rows = repeated_units(line_units(docs, id_col, text_col))
+    rows = rows.withColumn("run", F.col("seq") - F.row_number().over(W.partitionBy("doc_id").orderBy("seq")))
+    in_passage = F.sum("words").over(W.partitionBy("doc_id", "run")) >= min_words
+    return rows.select("doc_id", F.col("seq").alias("line"), "start", "end", F.col("words").alias("n_words"), F.col("first_doc").alias("first_doc_id"), in_passage.alias("in_passage"))
+
+
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per passage to remove: doc_id, lines, code points [start, end), words, and the
     document that keeps its first line's earliest copy."""

@@ -247,6 +247,20 @@ def test_unit_dedup(spark, empty):
     assert unit_dedup.repeated_passages(empty).count() == 0
 
 
+def test_later_copies(spark, empty):
+    texts = line_docs()
+    first, want = {}, {}
+    for i, t in sorted(texts):
+        for k, (w, a, b) in enumerate(brute.lines_of(t)):
+            if first.setdefault(w, (i, k)) != (i, k):
+                want[i, k] = (a, b, len(w), first[w][0])
+    passages = {(r.doc_id, k) for r in unit_dedup.repeated_passages(docs_of(spark, texts), 50).collect() for k in range(r.first_line, r.last_line + 1)}
+    rows = unit_dedup.later_copies(docs_of(spark, texts), 50).collect()
+    assert {(r.doc_id, r.line): (r.start, r.end, r.n_words, r.first_doc_id) for r in rows} == want and len(rows) == len(want)
+    assert {(r.doc_id, r.line) for r in rows if r.in_passage} == passages and len(passages) < len(want)
+    assert unit_dedup.later_copies(empty).count() == 0
+
+
 # --- 5: secrets ---
 
 
