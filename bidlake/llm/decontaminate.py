@@ -13,10 +13,12 @@ but not none, is one window. A document is contaminated if at least one word in
 inside an occurrence.
 
 Defined results: null and empty texts have no words and no hits; null or empty items have
-no windows; equal items are both counted; equal rows get equal results; texts are read
-whole. Only id and text columns are read. The benchmark is read on the driver and
-broadcast if it is within ``max_benchmark_bytes``; a larger one is dealt over several
-passes of the documents, each with items up to that size.
+no windows; equal items are both counted; every row of the documents gives one row, so equal rows
+and rows without an id get results of their own; texts are read whole; an empty table gives no rows,
+and an empty benchmark no hits. Only id and text columns are read, so extra columns never clash. The
+benchmark is read on the driver and broadcast if it is within ``MAX_BENCHMARK_BYTES``. A larger one is cut to
+chunks of words that overlap by a window less one word, so that an item of any size is dealt out too, and
+these over several passes of the documents, none of which broadcasts more than that.
 """
 
 from __future__ import annotations
@@ -29,20 +31,19 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, id_and_bytes, schema_of
+from .common import alnum_words, batch_of, begin, give_back, keyed_bytes, map_rows, materialize, schema_of, slices
 from .stages import edit_texts
 
 WINDOW = 13
 #: Words of a shard at most; a shard never splits a document.
-SHARD_WORDS = 400_000
+SHARD_WORDS = 200_000
 SAMPLE = 8  # every so many text positions, a suffix position is stored
 MAX_BENCHMARK_BYTES = 16_000_000
+CHUNK_WORDS = 20_000  # of an item that is dealt over passes
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
-OUTPUT = schema_of(
-    doc_id="long", n_words="long", n_hit="long", n_items="long", items_sha256="string", contaminated="boolean", spans="array<long>",
-)
-HITS = schema_of(doc_id="long", n_words="long", spans="array<long>", items="array<long>")
+HITS = schema_of(row="long", doc_id="long", key="long", n_words="long", spans="array<long>", items="array<long>")
+CHUNKS = schema_of(item="long", part="int", body="binary")
 
 
 def suffix_array(codes: np.ndarray) -> np.ndarray:
@@ -160,10 +161,10 @@ def _stretches(known: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[long], ends[long]
 
 
-def search_shard(phrases: Phrases, ids: list, texts: list[list[bytes]]) -> list[tuple]:
-    """(doc id, number of words, merged word spans flattened, items) for each document."""
+def search_shard(phrases: Phrases, ids: list[tuple], texts: list[list[bytes]]) -> list[tuple]:
+    """What a document is known by, its number of words, merged word spans flattened and items, for each."""
     lengths = [len(t) for t in texts]
-    out = [[i, n, [], []] for i, n in zip(ids, lengths, strict=True)]
+    out = [[*i, n, [], []] for i, n in zip(ids, lengths, strict=True)]
     total = sum(lengths)
     if not total or not phrases.shortest:
         return [tuple(x) for x in out]
@@ -198,8 +199,8 @@ def search_shard(phrases: Phrases, ids: list, texts: list[list[bytes]]) -> list[
             spans.append((at, at + length))
             items |= owners[window]
     for doc, (spans, items) in found.items():
-        out[doc][2] = merge(spans)
-        out[doc][3] = sorted(items)
+        out[doc][-2] = merge(spans)
+        out[doc][-1] = sorted(items)
     return [tuple(x) for x in out]
 
 
@@ -214,63 +215,100 @@ def merge(spans: list[tuple[int, int]]) -> list[int]:
     return flat
 
 
-def _shards(phrases_of, batches):
-    import pyarrow as pa
+def _shards(phrases_of, hits_only: bool, batches):
+    """Kernel: rows (row, id, key, body) shard by shard; with ``hits_only``, only documents with hits."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    begin()
     phrases = Phrases(phrases_of.value)
     arrow = to_arrow_schema(HITS)
+    ids, texts, size = [], [], 0
 
-    def emit(ids, texts):
-        rows = search_shard(phrases, ids, texts)
-        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+    def emit():
+        rows = [r for r in search_shard(phrases, ids, texts) if r[-1] or not hits_only]
+        return [batch_of(rows, arrow)] if rows else []
 
-    ids, texts, size = [], [], 0
-    for batch in batches:
-        for k in range(batch.num_rows):
-            words = alnum_words(batch.column(1)[k].as_py())
+    for rows in slices(batches):
+        for *known, body in rows:
+            words = alnum_words(body)
             if ids and size + len(words) > SHARD_WORDS:
-                yield emit(ids, texts)
+                yield from emit()
                 ids, texts, size = [], [], 0
-            ids.append(batch.column(0)[k].as_py())
+            ids.append(tuple(known))
             texts.append(words)
             size += len(words)
     if ids:
-        yield emit(ids, texts)
+        yield from emit()
+    del phrases, texts
+    give_back()
+
+
+def _chunks():
+    def rows(item, body):
+        words = alnum_words(body)
+        for part, at in enumerate(range(0, max(1, len(words) - WINDOW + 1) if words else 0, CHUNK_WORDS)):
+            yield item, part, b" ".join(words[at : at + CHUNK_WORDS + WINDOW - 1])
+
+    return rows
+
+
+def _dealt(items: DataFrame, size: int) -> list[DataFrame]:
+    """The items' chunks in parts of at most ``MAX_BENCHMARK_BYTES``, or of one chunk."""
+    chunks = materialize(map_rows(items, _chunks, CHUNKS, many=True))
+    largest = chunks.agg(F.coalesce(F.max(F.length("body")), F.lit(0))).first()[0]
+    passes = 2 * size // MAX_BENCHMARK_BYTES + 1
+    while True:
+        number = F.pmod(F.xxhash64("item", "part"), F.lit(passes))
+        worst = chunks.groupBy(number).agg(F.sum(F.length("body")).alias("size")).agg(F.max("size")).first()[0] or 0
+        if worst <= max(MAX_BENCHMARK_BYTES, largest):
+            return [chunks.where(number == k) for k in range(passes)]
+        passes *= 2
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text") -> DataFrame:
-    """doc_id, n_words, merged word spans and items of every document."""
+    """doc_id, key, n_words, merged word spans and items of every row of the documents."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("binary").alias("body"))
     items = items.where(F.col("item").isNotNull() & F.col("body").isNotNull())
     size = items.agg(F.coalesce(F.sum(F.length("body")), F.lit(0))).first()[0]
-    passes = int(size // MAX_BENCHMARK_BYTES) + 1
-    rows = id_and_bytes(docs, id_col, text_col)
-    found = []
-    for k in range(passes):
-        part = items.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k) if passes > 1 else items
-        shared = spark.sparkContext.broadcast([(r.item, bytes(r.body)) for r in part.toLocalIterator()])
-        found.append(rows.mapInArrow(partial(_shards, shared), HITS))
-    if passes == 1:
-        return found[0]
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    pairs = F.flatten(F.collect_list("spans"))
-    return every.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"), _merge_flat(pairs).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+    rows = keyed_bytes(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "*")
+    share = lambda part: spark.sparkContext.broadcast([(r.item, bytes(r.body)) for r in part.select("item", "body").toLocalIterator()])
+    if size <= MAX_BENCHMARK_BYTES:
+        return rows.mapInArrow(partial(_shards, share(items), False), HITS).drop("row")
+    rows = materialize(rows)  # numbers must stay the same in all passes
+    every = None
+    for k, part in enumerate(_dealt(items, size)):
+        hits = rows.mapInArrow(partial(_shards, share(part), k > 0), HITS)
+        every = hits if every is None else every.unionByName(hits)
+    every = every.groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"), F.first("key").alias("key"), F.max("n_words").alias("n_words"),
+        _merged(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
+    return every.drop("row")
+
 
+def _merged(lists):
+    """Flat lists of spans to one flat list of disjoint spans, as ``merge`` does."""
+    pairs = F.flatten(
+        F.transform(
+            lists,
+            lambda flat: F.transform(
+                F.filter(F.transform(flat, lambda x, i: F.struct(x.alias("a"), F.try_element_at(flat, i + 2).alias("b"), (i % 2).alias("odd"))), lambda p: p["odd"] == 0),
+                lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b")),
+            ),
+        )
+    )
 
-def _merge_flat(flat):
-    from pyspark.sql.functions import udf
+    def add(done, p):
+        last = F.try_element_at(done, F.lit(-1))
+        joined = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.greatest(last, p["b"])))
+        return F.when(F.size(done) == 0, F.array(p["a"], p["b"])).when(p["a"] <= last, joined).otherwise(F.concat(done, F.array(p["a"], p["b"])))
 
-    return udf(lambda xs: merge(list(zip(xs[::2], xs[1::2], strict=True))), "array<bigint>")(flat)
+    return F.aggregate(F.array_sort(pairs), F.array().cast("array<bigint>"), add)
 
 
 def contamination(hits: DataFrame) -> DataFrame:
-    """The contract's columns from :func:`find_hits`, with the merged spans after them."""
+    """The contract's columns from :func:`find_hits`, with the hash of the text and the merged spans after them."""
     n_hit = F.aggregate(
         F.transform("spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x
     )
@@ -278,7 +316,7 @@ def contamination(hits: DataFrame) -> DataFrame:
     return hits.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(listed.cast("binary"), 256).alias("items_sha256"),
-        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), "spans",
+        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), "key", "spans",
     )
 
 
@@ -303,10 +341,11 @@ def digest(items: list[int]) -> str:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: bool = True) -> DataFrame:
     """Documents that are not contaminated, with all their columns; with ``cut``, their rarer
-    occurrences are cut from the text too. Ids must be unique."""
+    occurrences are cut from the text too. Repeated rows stay as many as they are or all go; rows with a
+    null id pass as they are."""
     verdict = contamination(find_hits(docs, benchmark, id_col, text_col)).where("n_hit > 0 and doc_id is not null")
     value = F.when(F.col("contaminated"), F.array().cast("array<bigint>")).otherwise(F.col("spans") if cut else F.lit(None))
-    found = verdict.select("doc_id", value.alias("spans")).where("spans is not null")
+    found = verdict.select("doc_id", "key", value.alias("spans")).where("spans is not null").distinct()
     return edit_texts(docs, found, id_col, text_col, _drop_or_cut)
 
 

@@ -10,17 +10,18 @@ ranks of overlapping powers of two name the interval of a run of any length.
 
 A run counts if it has ``min_words`` words. Every run with an earlier copy is the union of
 its shortest such runs from each start and to each end, so it is enough to look those up:
-their interval's smallest (document, line) is the copy that stays, all others are
+their interval's smallest (document, hash of its text, line) is the copy that stays, all others are
 deleted, and what they cover together are the maximal repeated runs. A shortest run has
 ``min_words`` lines at most, which bounds the rounds by log2 of it.
 
 Hot lines: pairs are pre-aggregated before each shuffle, sorting spreads by range over
-distinct pairs, and joins back are inner or left joins that the engine can split.
+distinct pairs, and joins back broadcast the few hot groups (``common.join_back``).
 
 Defined results: null and empty texts and lines without words are no units; rows with a
-null id are left out; ties cannot happen as (id, line) is unique (rows that repeat an id
-are read as more lines at the same places, of which one stays); empty input gives no
-rows. Only the id and text columns are read.
+null id are left out; rows that repeat an id and its text are one document and get equal results, rows
+that repeat an id with another text are documents of their own, so (id, hash of the text, line) has no
+ties; texts of any length are read whole; empty input gives no rows. Only the id and text columns are
+read, so extra columns never clash.
 """
 
 from __future__ import annotations
@@ -31,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import map_rows, materialize, schema_of
-from .units import MIN_WORDS, cut_runs, line_units
+from .common import join_back, map_rows, materialize, schema_of
+from .units import DOC, MIN_WORDS, cut_runs, line_units, repeated, stretch_of
 
-RUNS = schema_of(doc_id="long", first="int", last="int", length="int", a="long", b="long")
+RUNS = schema_of(doc_id="long", key="long", first="int", last="int", length="int", a="long", b="long")
 
 
 def ranked(keys: DataFrame, *by: str) -> DataFrame:
@@ -47,27 +48,27 @@ def ranked(keys: DataFrame, *by: str) -> DataFrame:
 
 
 def stretches(units: DataFrame, min_words: int) -> DataFrame:
-    """Repeated lines in stretches with enough words: doc_id, stretch, seq, words, start, end, r0."""
-    ids = ranked(units.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "h1", "h2")
-    lines = units.join(ids, ["h1", "h2"]).drop("h1", "h2").withColumnRenamed("rank", "r0")
-    order = W.partitionBy("doc_id").orderBy("seq")
-    lines = lines.withColumn("stretch", F.col("seq") - F.row_number().over(order))
-    total = F.sum("words").over(W.partitionBy("doc_id", "stretch"))
+    """Repeated lines in stretches with enough words: doc_id, key, stretch, seq, words, start, end, r0."""
+    ids = ranked(repeated(units, "h1", "h2").drop("first"), "h1", "h2").withColumnRenamed("rank", "r0")
+    lines = join_back(units, ids, "h1", "h2").drop("h1", "h2").distinct()
+    lines = lines.withColumn("stretch", stretch_of())
+    total = F.sum("words").over(W.partitionBy(*DOC, "stretch"))
     return materialize(lines.withColumn("total", total).where(F.col("total") >= min_words).drop("total"))
 
 
 def double(lines: DataFrame, k: int) -> DataFrame:
     """One more rank: r<k+1> of the 2^(k+1) lines from each line on, null if no other suffix has them."""
     old, new = f"r{k}", f"r{k + 1}"
-    order = W.partitionBy("doc_id", "stretch").orderBy("seq")
+    order = W.partitionBy(*DOC, "stretch").orderBy("seq")
     paired = lines.withColumn("next", F.lead(old, 2**k).over(order))
-    keys = paired.where(F.col(old).isNotNull() & F.col("next").isNotNull()).groupBy(old, "next").agg(F.count("*").alias("n")).where("n > 1")
-    ranks = ranked(keys.drop("n"), old, "next").withColumnRenamed("rank", new)
-    return materialize(paired.join(ranks, [old, "next"], "left").drop("next"))
+    pairs = paired.where(F.col(old).isNotNull() & F.col("next").isNotNull())
+    ranks = ranked(pairs.groupBy(old, "next").agg(F.count("*").alias("n")).where("n > 1"), old, "next").withColumnRenamed("rank", new)
+    known = join_back(pairs.select(*DOC, "seq", old, "next"), ranks, old, "next").select(*DOC, "seq", new)
+    return materialize(lines.join(known, [*DOC, "seq"], "left"))
 
 
 def _shortest(min_words: int, n_ranks: int):
-    def rows(doc_id, lines):
+    def rows(doc_id, key, lines):
         lines = sorted(lines, key=lambda x: x["seq"])
         words = [x["words"] for x in lines]
         n = len(lines)
@@ -95,7 +96,7 @@ def _shortest(min_words: int, n_ranks: int):
                 continue
             a, b = lines[s][f"r{k}"], lines[e - 2**k][f"r{k}"]
             if a is not None and b is not None:
-                yield doc_id, lines[s]["seq"], lines[e - 1]["seq"], e - s, a, b
+                yield doc_id, key, lines[s]["seq"], lines[e - 1]["seq"], e - s, a, b
 
     return rows
 
@@ -108,33 +109,35 @@ def _kernel(min_words: int, n_ranks: int):
 
 
 def later_runs(lines: DataFrame, min_words: int, n_ranks: int) -> DataFrame:
-    """Shortest runs that have an earlier copy: doc_id, first, last, first_doc."""
+    """Shortest runs that have an earlier copy: doc_id, key, first, last, first_doc."""
     ranks = [f"r{k}" for k in range(n_ranks)]
-    by_stretch = lines.groupBy("doc_id", "stretch").agg(F.collect_list(F.struct("seq", "words", *ranks)).alias("lines"))
-    runs = materialize(map_rows(by_stretch.select("doc_id", "lines"), _kernel(min_words, n_ranks), RUNS, many=True))
-    place, key = F.struct("doc_id", "first"), ["length", "a", "b"]
-    groups = runs.groupBy(*key).agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where(F.col("lo") < F.col("hi")).drop("hi")
-    return runs.join(groups, key).where(place > F.col("lo")).select("doc_id", "first", "last", F.col("lo.doc_id").alias("first_doc"))
+    by_stretch = lines.groupBy(*DOC, "stretch").agg(F.collect_list(F.struct("seq", "words", *ranks)).alias("lines"))
+    runs = materialize(map_rows(by_stretch.select(*DOC, "lines"), _kernel(min_words, n_ranks), RUNS, many=True))
+    place, run = F.struct(*DOC, "first"), ["length", "a", "b"]
+    groups = runs.groupBy(*run).agg(F.count("*").alias("n"), F.min(place).alias("lo"), F.max(place).alias("hi")).where(F.col("lo") < F.col("hi")).drop("hi")
+    # the first of the columns is the one by which hot rows are dealt out
+    back = join_back(runs, groups, "a", "b", "length")
+    return back.where(place > F.col("lo")).select(*DOC, "first", "last", F.col("lo.doc_id").alias("first_doc"))
 
 
 def _merge():
-    def rows(doc_id, runs) -> Iterator[tuple]:
+    def rows(doc_id, key, runs) -> Iterator[tuple]:
         at = None
         for r in sorted(runs, key=lambda r: (r["first"], r["last"])):
             if at is not None and r["first"] <= at[1] + 1:
                 at = (at[0], max(at[1], r["last"]), min(at[2], r["first_doc"]))
             else:
                 if at is not None:
-                    yield (doc_id, *at)
+                    yield (doc_id, key, *at)
                 at = (r["first"], r["last"], r["first_doc"])
         if at is not None:
-            yield (doc_id, *at)
+            yield (doc_id, key, *at)
 
     return rows
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per maximal run of lines to delete: doc_id, first_line, last_line (numbers among
+    """One row per maximal run of lines to delete: doc_id, key, first_line, last_line (numbers among
     lines with words), code points [start, end), n_words and the smallest document with a copy."""
     units = materialize(line_units(docs, id_col, text_col))
     lines = stretches(units, min_words)
@@ -146,14 +149,14 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
         n_ranks += 1
     later = later_runs(lines, min_words, n_ranks)
     merged = map_rows(
-        later.groupBy("doc_id").agg(F.collect_set(F.struct("first", "last", "first_doc")).alias("runs")), _merge,
-        schema_of(doc_id="long", first_line="int", last_line="int", first_doc_id="long"), many=True,
+        later.groupBy(*DOC).agg(F.collect_set(F.struct("first", "last", "first_doc")).alias("runs")), _merge,
+        schema_of(doc_id="long", key="long", first_line="int", last_line="int", first_doc_id="long"), many=True,
     )
     covered = merged.withColumn("seq", F.explode(F.sequence("first_line", "last_line")))
-    places = lines.select("doc_id", "seq", "words", "start", "end")
+    places = lines.select(*DOC, "seq", "words", "start", "end")
     return (
-        covered.join(places, ["doc_id", "seq"])
-        .groupBy("doc_id", "first_line", "last_line", "first_doc_id")
+        covered.join(places, [*DOC, "seq"])
+        .groupBy(*DOC, "first_line", "last_line", "first_doc_id")
         .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").cast("long").alias("n_words"))
     )
 

@@ -12,9 +12,10 @@ no merge crosses the place before a mark. Runs of marks have tied scores and
 are merged by their own rule (:meth:`PieceCodec.marks`).
 
 Defined results: null and empty texts give no ids and decode to an empty text;
-characters that the vocabulary lacks become byte tokens; very long texts are
-worked through word by word; repeated rows are encoded alike. Only the id and
-text columns are read, so extra columns never clash.
+characters that the vocabulary lacks become byte tokens; bytes that are no UTF-8 are read as
+the replacement character; very long texts are worked through word by word; repeated rows are
+encoded alike; empty input gives no rows. Only the id and text columns are read, so extra
+columns never clash. A worker remembers words and token pairs up to a number of bytes.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from itertools import chain
 
 from pyspark.sql import DataFrame
 
-from .common import id_and_bytes, map_rows, schema_of
+from .common import id_and_bytes, map_rows, resident, schema_of, utf8
 
 MARK = "▁"
 OUTPUT = schema_of(doc_id="long", n_tokens="long", ids_sha256="string", decoded_sha256="string")
@@ -37,8 +38,8 @@ _NEVER = 1 << 60
 class PieceCodec:
     """Encoder for one SentencePiece BPE model with an identity normaliser."""
 
-    #: Words and token pairs that are remembered before the memory is emptied.
-    LIMIT = 700_000
+    #: Token pairs that are remembered before their memory is emptied, and the bytes for words and for runs of marks.
+    PAIRS, WORD_BYTES, RUN_BYTES = 250_000, 40_000_000, 1_000_000
 
     def __init__(self, model: bytes):
         import ahocorasick
@@ -76,11 +77,12 @@ class PieceCodec:
         #: with none of those pairs no token reaches over the place before the character.
         self.stops = {c: sorted({t[k : k + 2] for t in self.id for k in range(len(t) - 1) if t[k + 1] == c}) for c in ".,\n"}
         self.pairs: dict[int, bool] = {}
-        self.words = _Words(self.word, self.LIMIT)
+        self.words = _Words(self.word, self.WORD_BYTES)
         self.size = [len(x) for x in self.piece]
         self.plain = {i: p.piece.replace(MARK, " ") for i, p in normal}
         self.plain |= {i: chr(b) for b, i in self.bytes.items() if b < 128 and b != 32}
         self.runs: dict[int, list[int]] = {0: []}
+        self.run_bytes = 0
 
     def _merge(self, text: str, stop: int = -1) -> list[int]:
         """Plain BPE by rank, leftmost first; ends before it makes ``stop``."""
@@ -126,7 +128,7 @@ class PieceCodec:
                 i -= 1
             else:
                 j -= 1
-        if len(self.pairs) >= self.LIMIT:
+        if len(self.pairs) >= self.PAIRS:
             self.pairs.clear()
         self.pairs[left << 20 | right] = ok
         return ok
@@ -191,7 +193,8 @@ class PieceCodec:
         while k < n:
             ids.append(self.id[MARK * size[k]])
             k = nxt[k]
-        if len(self.runs) < 10_000:
+        self.run_bytes += 8 * len(ids) + 200
+        if self.run_bytes < self.RUN_BYTES:
             self.runs[n] = ids
         return ids
 
@@ -237,30 +240,31 @@ class PieceCodec:
 
 
 class _Words(dict):
-    """word -> ids, worked out when first asked for; emptied when it is full."""
+    """word -> ids, worked out when first asked for; emptied when its words pass a number of bytes."""
 
-    def __init__(self, make, limit: int):
+    #: What an entry takes beside the characters and ids: text object, tuple, place in the table.
+    EACH = 220
+
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.most, self.held = make, most, 0
 
     def __missing__(self, text: str) -> tuple[int, ...]:
-        if len(self) >= self.limit:
-            self.clear()
-        self[text] = ids = self.make(text)
+        ids = self.make(text)
+        size = 4 * len(text) + 8 * len(ids) + self.EACH
+        if size <= self.most // 100:  # a very long word is not kept
+            self.held += size
+            if self.held > self.most:
+                self.clear()
+                self.held = size
+            self[text] = ids
         return ids
 
 
 def _codec(shared) -> PieceCodec:
-    """One codec for a Python worker and model, kept between tasks."""
+    """One codec for a Python worker and model, kept between tasks of this operator."""
     model = shared.value
-    key = hashlib.sha256(model).digest()
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = PieceCodec(model)
-    return _CODECS[key]
-
-
-_CODECS: dict[bytes, PieceCodec] = {}
+    return resident(("pieces", hashlib.sha256(model).digest()), lambda: PieceCodec(model))
 
 
 def _digests(shared):
@@ -268,7 +272,7 @@ def _digests(shared):
     decimal = [str(i) for i in range(len(codec.piece))].__getitem__
 
     def row(doc_id, body):
-        ids = codec.encode(body.decode("utf-8")) if body else []
+        ids = codec.encode(utf8(body)) if body else []
         decoded = codec.decode(ids) if ids else ""
         return (
             doc_id, len(ids), hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest(),
@@ -282,7 +286,7 @@ def _ids(shared):
     codec = _codec(shared)
 
     def row(doc_id, body):
-        ids = codec.encode(body.decode("utf-8")) if body else []
+        ids = codec.encode(utf8(body)) if body else []
         return doc_id, ids, codec.decode(ids) if ids else ""
 
     return row

@@ -5,7 +5,9 @@ string that a byte-pair vocabulary packs badly, few characters to a token, is li
 random: such strings are reported unless they are known digests or identifiers.
 
 Defined results: null and empty texts have no spans; spans count code points of the
-whole text; equal rows get equal results. Only the id and text columns are read.
+whole text, in which bytes that are no UTF-8 are replacement characters; a very long run of
+letters is one string; equal rows get equal results; empty input gives no rows. Only the id
+and text columns are read, so extra columns never clash.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame
 
-from .common import id_and_bytes, map_rows, schema_of
+from .common import id_and_bytes, map_rows, resident, schema_of, utf8
 
 # The base patterns, the least lengths, and the order of kinds at one start.
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -57,12 +59,13 @@ def base_spans(text: str, body: bytes) -> list[tuple[int, int, int]]:
 
 
 def _scanner(shared):
-    encoding = _encoding(shared.value)
+    ranks = shared.value
+    encoding = resident(("ranks", hashlib.sha256(ranks).digest()), lambda: _encoding(ranks))
 
     def row(doc_id, body):
         if not body:
             return doc_id, 0, 0, 0, hashlib.sha256(b"").hexdigest(), "", 0
-        text = body.decode("utf-8")
+        text = utf8(body)
         base = sorted(base_spans(text, body))
         spans = list(base)
         for m in CANDIDATE.finditer(text):

@@ -100,3 +100,10 @@ def contamination(text, found):
 
 def sha(s):
     return hashlib.sha256(s.encode()).hexdigest()
+
+
+def codec():
+    from bidlake.llm import piece_codec, queries
+
+    with open(queries.vocabulary(queries.MODEL), "rb") as f:
+        return piece_codec.PieceCodec(f.read())

@@ -25,9 +25,7 @@ def test_pipeline(spark, small):
     flat = {i: t for i, t in flat.items() if not brute.contamination(t, found)[3]}
     got = {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, small).collect()}
     assert set(got) == set(flat)
-    from test_operators import codec
-
-    lib = codec().library
+    lib = brute.codec().library
     same = [i for i, t in flat.items() if i not in gone and not brute.contamination(t, found)[1]]
     assert same and all(got[i] == len(lib.encode(flat[i])) for i in same)
 

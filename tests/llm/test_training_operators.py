@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
+from brute import codec
 from bidlake.llm import chat_trees, decontaminate, html_text, license_scan, line_runs, ngram_join, piece_codec, quality_rules, secret_scan, unit_dedup
 from bidlake.llm import queries as q
 
@@ -261,6 +262,96 @@ def test_later_copies(spark, empty):
     assert unit_dedup.later_copies(empty).count() == 0
 
 
+def covered(text, spans):
+    """Numbers of the words inside [start, end) code points."""
+    places = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+    return {k for k, (a, b) in enumerate(places) for s, e in spans if s <= a and b <= e}
+
+
+def passage_docs():
+    """Passages that begin and end inside lines, across line breaks, over the end of a text, in copies, and with repeated words."""
+    rng = random.Random(11)
+    word = lambda: rng.choice("the of plate é 日本 iron".split()) + str(rng.randrange(400))
+    shared = [[word() for _ in range(n)] for n in (49, 50, 51, 52, 70, 200)]
+    texts = []
+    for k in range(60):
+        words = [word() for _ in range(rng.randrange(5, 90))]
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = rng.choice(shared)
+        texts.append((200 + k, "".join(w + rng.choice((" ", " ", " ", "\n", "  ")) for w in words)))
+    loop = "again and " * 40
+    return [*EDGES, *texts, (300, texts[5][1]), (301, loop), (302, loop + "more"), (303, "x " + " ".join(shared[2]) + " y " + " ".join(shared[2])), (None, texts[5][1])]
+
+
+@pytest.mark.parametrize("again", [False, True])
+def test_passages_inside_lines(spark, empty, again):
+    texts = passage_docs()
+    if again:  # repeated rows, and an id with two texts
+        texts += [texts[20], texts[20], (300, texts[8][1]), (200, texts[9][1])]
+    # documents rank by id, then by the hash of their text
+    hashes = {r.text: r.h for r in docs_of(spark, texts).select("text", F.xxhash64(F.col("text").cast("binary")).alias("h")).collect()}
+    docs = {(i, hashes[t]): t for i, t in texts if i is not None and t}
+    first = {}
+    for d in sorted(docs):
+        w = brute.space_words(docs[d])
+        for k in range(len(w) - 50):
+            first.setdefault(tuple(w[k : k + 51]), (d, k))
+    want = {}
+    for d, t in docs.items():
+        w = brute.space_words(t)
+        hit = {k + j for k in range(len(w) - 50) if first[tuple(w[k : k + 51])] < (d, k) for j in range(51)}
+        if hit:
+            want[d] = hit
+    rows = unit_dedup.passages(docs_of(spark, texts)).collect()
+    got = {}
+    for r in rows:
+        t = docs[r.doc_id, r.key]
+        assert len(covered(t, [(r.start, r.end)])) == r.n_words and r.first_doc_id <= r.doc_id
+        if r.unit != "lines":
+            got[r.doc_id, r.key] = got.get((r.doc_id, r.key), set()) | covered(t, [(r.start, r.end)])
+    assert got == want and want
+    assert len(rows) == len({(r.doc_id, r.key, r.unit, r.start) for r in rows})
+    kept = unit_dedup.remove_repeats(docs_of(spark, texts))
+    assert kept.columns == empty.columns
+    out = sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in kept.collect())
+    spans = {}
+    for r in rows:
+        spans.setdefault((r.doc_id, r.key), []).append((r.start, r.end))
+    left = []
+    for i, t in texts:
+        gone = spans.get((i, hashes[t]))
+        words = [x for k, x in enumerate(brute.space_words(t)) if gone is None or k not in covered(t, gone)]
+        if gone is None or words:
+            left.append((-1 if i is None else i, words))
+    assert sorted((i, brute.space_words(t)) for i, t in out) == sorted(left)
+    assert unit_dedup.passages(empty).count() == 0 and unit_dedup.remove_repeats(empty).count() == 0
+
+
+def test_repeated_rows_do_not_hide_copies(spark):
+    text = "\n".join(prose(15, 10_000) for _ in range(6))
+    for texts in ([(1, text), (9, text)], [(1, text), (9, text), (9, text)], [(1, text), (1, text), (9, text)]):
+        docs = docs_of(spark, texts)
+        for runs in (unit_dedup.repeated_passages(docs), line_runs.repeated_runs(docs)):
+            assert [(r.doc_id, r.first_line, r.last_line) for r in runs.collect()] == [(9, 0, 5)]
+        for kept in (unit_dedup.remove_repeats(docs), line_runs.remove_runs(docs)):
+            assert [r.doc_id for r in kept.collect()] == [1] * sum(i == 1 for i, _ in texts)
+    alone = docs_of(spark, [(1, text), (1, text)])  # rows that repeat id and text are one document
+    assert line_runs.repeated_runs(alone).count() == unit_dedup.passages(alone).count() == 0
+    two = docs_of(spark, [(1, text), (1, text + "\nmore")])  # an id with two texts: one of them is the later one
+    assert line_runs.repeated_runs(two).count() == unit_dedup.repeated_passages(two).count() == 1
+
+
+def test_hot_keys_join_back(spark):
+    from bidlake.llm.common import join_back
+
+    rows = spark.range(9000).selectExpr("id", "case when id < 5000 then 'hot' else concat('k', id % 700) end as name", "id % 3 as other")
+    groups = rows.groupBy("name", "other").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1")
+    got = {tuple(r) for r in join_back(rows, groups, "name", "other").select("id", "name", "other", "least").collect()}
+    want = {tuple(r) for r in rows.join(groups.drop("n"), ["name", "other"]).select("id", "name", "other", "least").collect()}
+    assert got == want and any(r[1] == "hot" for r in got)
+
+
 # --- 5: secrets ---
 
 
@@ -367,6 +458,30 @@ def test_many_passes(spark, monkeypatch):
     assert {r.doc_id: (r.n_hit, r.n_items) for r in got} == {i: (len(h), len(o)) for i, t in texts for _, h, o, _ in [brute.contamination(t, found)]}
 
 
+@pytest.mark.parametrize("most", [60, 300, 10**9])
+def test_passes_give_the_same_rows(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "MAX_BENCHMARK_BYTES", most)
+    monkeypatch.setattr(decontaminate, "CHUNK_WORDS", 5)
+    items = [(k, prose(15 + 9 * k, 30, random.Random(k))) for k in range(5)]
+    texts = [*EDGES[:5], (24, items[0][1]), (24, items[0][1]), (24, items[1][1] + " x"), (None, items[4][1]), (None, "no hit")]
+    texts += [(40 + k, prose(8, 30, random.Random(50 + k)) + " " + items[k][1]) for k in range(5)]
+    hits = decontaminate.contamination(decontaminate.find_hits(docs_of(spark, texts), bench(spark, items))).collect()
+    found = brute.windows(items)
+    key = lambda r: tuple((x is None, x) for x in r)
+    want = [(i, n, len(hit), len(own), bad) for i, t in texts for n, hit, own, bad in [brute.contamination(t, found)]]
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in hits), key=key) == sorted(want, key=key)
+
+
+def test_repeated_rows_are_kept_as_they_are(spark):
+    item = prose(13, 30)
+    text = prose(400, 10_000) + " " + item + " end"
+    rows = [(1, text, "k", 1), (1, text, "l", 2), (2, item, "m", 3), (None, item, "n", 4), (1, "other text", "o", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string, value int")
+    out = decontaminate.decontaminate(docs, bench(spark, [(5, item)])).collect()
+    assert sorted((r.key, r.value) for r in out) == [("k", 1), ("l", 2), ("n", 4), ("o", 5)]
+    assert len({r.text for r in out if r.key in "kl"}) == 1 and item not in next(r.text for r in out if r.key == "k")
+
+
 def test_fm_index():
     import numpy as np
 
@@ -383,11 +498,6 @@ def test_fm_index():
 # --- 9: pieces ---
 
 
-def codec():
-    with open(q.vocabulary(q.MODEL), "rb") as f:
-        return piece_codec.PieceCodec(f.read())
-
-
 def test_pieces_match_the_library():
     c, rng = codec(), random.Random(5)
     alphabet = ["a", "b", "the", "ing", " ", "  ", "▁", "\n", "\t", "é", "日", "본", "🙂", "\x00", ".", "..", ",", "_.", "1", "<s>", "<0x41>", "ſ", "İ"]
@@ -401,7 +511,8 @@ def test_pieces_rows(spark, empty):
     texts = [*EDGES, (None, "a"), (9, "same"), (9, "same")]
     got = piece_codec.encode_texts(docs_of(spark, texts), q.vocabulary(q.MODEL)).collect()
     lib = codec().library
-    assert sorted((r.doc_id or -1, r.ids, r.decoded) for r in got) == sorted((i or (0 if i == 0 else -1), lib.encode(t or ""), lib.decode(lib.encode(t or ""))) for i, t in texts)[: len(texts)] or len(got) == len(texts)
+    number = lambda i: -1 if i is None else i
+    assert sorted((number(r.doc_id), r.ids, r.decoded) for r in got) == sorted((number(i), lib.encode(t or ""), lib.decode(lib.encode(t or ""))) for i, t in texts)
     digests = rows_by_id(piece_codec.encode_digests(docs_of(spark, EDGES), q.vocabulary(q.MODEL)))
     assert digests[5].ids_sha256 == brute.sha(",".join(map(str, lib.encode("two words")))) and digests[0].n_tokens == 0
     assert piece_codec.encode_digests(empty, q.vocabulary(q.MODEL)).count() == 0
