@@ -40,9 +40,9 @@ PASSAGE, ANCHOR, SPAN = 51, 26, 26
 BASE_1, BASE_2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 MEASURED = schema_of(
-    doc_id="long", key="long", words="array<int>", start="array<long>", end="array<long>", h1="array<long>", h2="array<long>", at="array<int>", anchors="array<long>",
+    doc_id="long", key="long", words="array<int>", start="array<int>", end="array<int>", h1="array<long>", h2="array<long>", at="array<int>", anchors="array<long>",
 )
-STRETCHES = schema_of(doc_id="long", key="long", seq="int", start="int", end="int", h1="long", h2="long")
+STRETCHES = schema_of(rank="long", seq="array<int>", start="array<int>", end="array<int>", h1="array<long>", h2="array<int>", again="array<boolean>")
 
 
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -121,19 +121,23 @@ def _measure():
     return row
 
 
-def _stretches(doc_id, key, body, near, hashes: WordHash, one: Rolling, two: Rolling):
-    """Rows of STRETCHES: the stretches that hold one of the anchors at ``near``."""
+def _stretches(rank, body, near, hashes: WordHash, one: Rolling, two: Rolling) -> tuple:
+    """A row of STRETCHES: the stretches that hold one of the anchors at ``near``, and whether each stands
+    earlier in the same text."""
     words = body.split()
     last = len(words) - PASSAGE + 1
-    wanted = np.unique(np.concatenate([np.arange(max(0, a + ANCHOR - PASSAGE), min(a + 1, last)) for a in near] or [np.zeros(0, dtype=np.int64)]).astype(np.int64))
-    if not len(wanted):
-        return
+    wanted = np.zeros(last + 1, dtype=np.int64)
+    at = np.array(near, dtype=np.int64)
+    np.add.at(wanted, np.maximum(0, at + ANCHOR - PASSAGE), 1)
+    np.add.at(wanted, np.minimum(at + 1, last), -1)
+    wanted = np.flatnonzero(np.cumsum(wanted[:-1]))
     h = hashes.of(words)
-    h1, h2 = one.windows(h, PASSAGE)[wanted].view(np.int64), two.windows(mix64(h), PASSAGE)[wanted].view(np.int64)
+    h1, h2 = one.windows(h, PASSAGE)[wanted].view(np.int64), (two.windows(mix64(h), PASSAGE)[wanted] >> np.uint64(33)).astype(np.int32)
+    order = np.lexsort((wanted, h2, h1))
+    again = np.zeros(len(wanted), dtype=bool)
+    again[order[1:]] = (h1[order[1:]] == h1[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]])
     starts, ends = word_places(body, words)
-    yield from zip(
-        [doc_id] * len(wanted), [key] * len(wanted), wanted.tolist(), starts[wanted].tolist(), ends[wanted + PASSAGE - 1].tolist(), h1.tolist(), h2.tolist(), strict=True
-    )
+    return rank, wanted.tolist(), starts[wanted].tolist(), ends[wanted + PASSAGE - 1].tolist(), h1.tolist(), h2.tolist(), again.tolist()
 
 
 def word_places(body: bytes, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -159,28 +163,34 @@ def _stretcher():
     return partial(_stretches, hashes=WordHash(), one=Rolling(BASE_1), two=Rolling(BASE_2))
 
 
-def repeated_stretches(texts: DataFrame, measured: DataFrame) -> DataFrame:
-    """(doc_id, key, seq, start, end, first_doc) of every stretch of ``PASSAGE`` words that stands earlier too:
-    its first word and code points. ``texts`` are keyed, ``measured`` has anchors of those that count."""
+def repeated_stretches(texts: DataFrame, measured: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every stretch of ``PASSAGE`` words that stands earlier too, as (rank, seq, start, end, first): the rank of
+    its document, its first word, code points and the rank of the first document that has it; and the ranks
+    (doc_id, key, rank). ``texts`` are keyed, ``measured`` has anchors of those that count."""
     places = measured.select(*DOC, F.explode(F.arrays_zip("at", "anchors")).alias("x")).select(*DOC, F.col("x.at").alias("seq"), F.col("x.anchors").alias("h"))
-    groups = places.groupBy("h").agg(F.count("*").alias("n"), F.min(place()).alias("first"), F.max(place()).alias("last"))
-    groups = groups.where(F.col("first") < F.col("last")).drop("first", "last")
-    near = join_back(places, groups, "h").groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(F.collect_set("seq").alias("near"))
-    found = texts.join(near, (F.col("id") == F.col("d")) & (F.col("key") == F.col("k"))).select("id", "key", "body", "near")
-    stretches = materialize(map_rows(found, _stretcher, STRETCHES, many=True))
-    groups = stretches.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place()).alias("first"), F.max(place()).alias("last"))
-    back = join_back(stretches, groups.where(F.col("first") < F.col("last")).drop("last"), "h1", "h2")
-    return back.where(place() > F.col("first")).select(*DOC, "seq", "start", "end", F.col("first.doc_id").alias("first_doc")).distinct()
-
-
-def passages_in_text(stretches: DataFrame) -> DataFrame:
+    groups = places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    near = join_back(places, groups, "h").groupBy(*DOC).agg(F.collect_set("seq").alias("near"))
+    ranks = materialize(near.repartitionByRange(*DOC).sortWithinPartitions(*DOC).withColumn("rank", F.monotonically_increasing_id()))
+    found = texts.join(ranks.withColumnRenamed("key", "k"), (F.col("id") == F.col("doc_id")) & (F.col("key") == F.col("k"))).select("rank", "body", "near")
+    held = materialize(map_rows(found, _stretcher, STRETCHES))
+    rows = held.select("rank", F.explode(F.arrays_zip("seq", "start", "end", "h1", "h2", "again")).alias("x")).select("rank", "x.*")
+    once = rows.where("not again").drop("again")
+    groups = once.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("rank").alias("first")).where("n > 1")
+    later = join_back(once, groups, "h1", "h2").where("rank > first").select("rank", "seq", "start", "end", "first")
+    within = rows.where("again").select("rank", "seq", "start", "end", F.col("rank").alias("first"))
+    return later.unionByName(within), ranks.select(*DOC, "rank")
+
+
+def passages_in_text(stretches: DataFrame, ranks: DataFrame) -> DataFrame:
     """Stretches that overlap or meet as one passage each: doc_id, key, code points, words, first document."""
-    order = W.partitionBy(*DOC).orderBy("seq")
+    order = W.partitionBy("rank").orderBy("seq")
     fresh_one = F.col("seq") > F.coalesce(F.lag("seq").over(order), F.lit(-PASSAGE - 1)) + PASSAGE
     runs = stretches.withColumn("starts", fresh_one.cast("int")).withColumn("run", F.sum("starts").over(order))
-    return runs.groupBy(*DOC, "run").agg(
-        F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), (F.max("seq") - F.min("seq") + PASSAGE).cast("long").alias("n_words"), F.min("first_doc").alias("first_doc_id")
-    ).drop("run")
+    runs = runs.groupBy("rank", "run").agg(
+        F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), (F.max("seq") - F.min("seq") + PASSAGE).cast("long").alias("n_words"), F.min("first").alias("first")
+    )
+    firsts = ranks.select(F.col("rank").alias("first"), F.col("doc_id").alias("first_doc_id"))
+    return runs.join(ranks, "rank").join(firsts, "first").select(*DOC, "start", "end", "n_words", "first_doc_id")
 
 
 def passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,9 +202,10 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id"
     whole = map_rows(texts.join(copied, same, "left_semi"), _measure_text, WHOLE).distinct().where(f"n_words >= {min_words}")
     whole = whole.join(copied, list(DOC)).select(*DOC, F.lit("text").alias("unit"), "start", "end", "n_words", "first_doc_id")
     measured = materialize(map_rows(texts, _measure, MEASURED).where("size(words) > 0").join(copied, list(DOC), "left_anti"))
-    units = measured.select(*DOC, F.posexplode(F.arrays_zip("words", "start", "end", "h1", "h2")).alias("seq", "x")).select(*DOC, "seq", "x.*")
+    # ints in the arrays keep the checkpoint small
+    units = measured.select(*DOC, F.posexplode(F.arrays_zip("words", "start", "end", "h1", "h2")).alias("seq", "x")).selectExpr(*DOC, "seq", "x.words", "bigint(x.start) start", "bigint(x.end) end", "x.h1", "x.h2")
     lines = runs_of(later_units(units), min_words).select(*DOC, F.lit("lines").alias("unit"), "start", "end", "n_words", "first_doc_id")
-    words = passages_in_text(repeated_stretches(texts, measured)).select(*DOC, F.lit("words").alias("unit"), "start", "end", "n_words", "first_doc_id")
+    words = passages_in_text(*repeated_stretches(texts, measured)).select(*DOC, F.lit("words").alias("unit"), "start", "end", "n_words", "first_doc_id")
     return whole.unionByName(lines).unionByName(words)
 
 
