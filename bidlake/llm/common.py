@@ -121,18 +121,15 @@ def keyed_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def join_back(rows: DataFrame, groups: DataFrame, *keys: str) -> DataFrame:
     """``rows`` inner joined with ``groups`` (one row per key; ``n``, how many rows it has, is dropped), safe
     against hot keys: those of over a ten-thousandth of all rows, 10,000 at most, are broadcast, and their
-    rows are dealt over all partitions instead of meeting in one."""
+    rows are dealt over all partitions instead of meeting in one. Both must be cheap to read again."""
     values = [c for c in groups.columns if c not in (*keys, "n")]
-    groups = materialize(groups)
-    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    is_hot = F.col("n") > max(1000, total // 10_000)
+    is_hot = F.col("n") > max(1000, rows.count() // 10_000)
     packed = groups.select(*keys, F.struct(*values, F.lit(1).alias("_there")).alias("_found"), is_hot.alias("_hot"))
     hot = packed.where("_hot").select(*keys, F.col("_found").alias("_hot_found"))
-    cold = packed.where("not _hot").select(F.xxhash64(*keys).alias("_at"), *[F.col(k).alias(f"_{k}") for k in keys], "_found")
+    cold = packed.where("not _hot").select(F.lit(0).alias("_deal"), *[F.col(k).alias(f"_{k}") for k in keys], "_found")
     marked = rows.join(F.broadcast(hot), list(keys), "left")
-    spread = F.xxhash64(*rows.columns)
-    marked = marked.withColumn("_to", F.when(F.col("_hot_found").isNull(), F.xxhash64(*keys)).otherwise(spread))
-    on = (F.col("_to") == F.col("_at")) & F.col("_hot_found").isNull()
+    marked = marked.withColumn("_to", F.when(F.col("_hot_found").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(1_000_000))).cast("int"))
+    on = F.col("_to") == F.col("_deal")
     for k in keys:
         on &= F.col(k) == F.col(f"_{k}")
     out = marked.join(cold, on, "left")
@@ -140,6 +137,15 @@ def join_back(rows: DataFrame, groups: DataFrame, *keys: str) -> DataFrame:
     return out.where(found.isNotNull()).select(*rows.columns, *[found[v].alias(v) for v in values])
 
 
+#: Rows of ids and hashes up to which a checkpointed table is broadcast rather than shuffled (some 24 MB).
+SMALL_ROWS = 1_000_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A checkpointed table of a few numbers a row, marked for broadcast if it is within ``SMALL_ROWS``."""
+    return F.broadcast(table) if table.count() <= SMALL_ROWS else table
+
+
 def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder that the session
     names in ``spark.checkpoint.dir``; where unset (tests), a folder of its own."""

@@ -31,11 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Rolling, WordHash, join_back, keyed_bytes, map_rows, materialize, mix64, schema_of, utf8
+from .common import Rolling, WordHash, join_back, keyed_bytes, map_rows, materialize, mix64, schema_of, small, utf8
 from .units import DOC, MIN_WORDS, _units, cut_runs, later_units, line_units, place, runs_of, stretch_of
 
 #: Words of a passage inside lines ("over 50"), of an anchor, and the sequences of which one at least is an anchor.
-PASSAGE, ANCHOR, SPAN = 51, 26, 26
+PASSAGE, ANCHOR, SPAN = 51, 16, 36
 #: Bases of the window hashes; any odd numbers.
 BASE_1, BASE_2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
@@ -167,9 +167,11 @@ def repeated_stretches(texts: DataFrame, measured: DataFrame) -> tuple[DataFrame
     """Every stretch of ``PASSAGE`` words that stands earlier too, as (rank, seq, start, end, first): the rank of
     its document, its first word, code points and the rank of the first document that has it; and the ranks
     (doc_id, key, rank). ``texts`` are keyed, ``measured`` has anchors of those that count."""
-    places = measured.select(*DOC, F.explode(F.arrays_zip("at", "anchors")).alias("x")).select(*DOC, F.col("x.at").alias("seq"), F.col("x.anchors").alias("h"))
+    numbered = measured.select(*DOC, "at", "anchors", F.monotonically_increasing_id().alias("doc"))  # the same at each reading of the checkpoint
+    places = numbered.select("doc", F.explode(F.arrays_zip("at", "anchors")).alias("x")).select("doc", F.col("x.at").alias("seq"), F.col("x.anchors").alias("h"))
     groups = places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    near = join_back(places, groups, "h").groupBy(*DOC).agg(F.collect_set("seq").alias("near"))
+    near = join_back(places, groups, "h").groupBy("doc").agg(F.collect_set("seq").alias("near"))
+    near = near.join(numbered.select(*DOC, "doc"), "doc").groupBy(*DOC).agg(F.first("near").alias("near"))
     ranks = materialize(near.repartitionByRange(*DOC).sortWithinPartitions(*DOC).withColumn("rank", F.monotonically_increasing_id()))
     found = texts.join(ranks.withColumnRenamed("key", "k"), (F.col("id") == F.col("doc_id")) & (F.col("key") == F.col("k"))).select("rank", "body", "near")
     held = materialize(map_rows(found, _stretcher, STRETCHES))
@@ -197,11 +199,12 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id"
     """One row per passage to remove: doc_id, key, unit (text, lines or words), code points [start, end), n_words and
     the smallest document with an earlier copy of one of its units. Passages of different units may overlap."""
     copied = materialize(copied_texts(docs, id_col, text_col))
+    known = small(copied)
     texts = keyed_bytes(docs, id_col, text_col)
-    same = (F.col("id") == F.col("doc_id")) & (texts["key"] == copied["key"])
-    whole = map_rows(texts.join(copied, same, "left_semi"), _measure_text, WHOLE).distinct().where(f"n_words >= {min_words}")
-    whole = whole.join(copied, list(DOC)).select(*DOC, F.lit("text").alias("unit"), "start", "end", "n_words", "first_doc_id")
-    measured = materialize(map_rows(texts, _measure, MEASURED).where("size(words) > 0").join(copied, list(DOC), "left_anti"))
+    same = (F.col("id") == F.col("doc_id")) & (texts["key"] == known["key"])
+    whole = map_rows(texts.join(known, same, "left_semi"), _measure_text, WHOLE).distinct().where(f"n_words >= {min_words}")
+    whole = whole.join(known, list(DOC)).select(*DOC, F.lit("text").alias("unit"), "start", "end", "n_words", "first_doc_id")
+    measured = materialize(map_rows(texts, _measure, MEASURED).where("size(words) > 0").join(known, list(DOC), "left_anti"))
     # ints in the arrays keep the checkpoint small
     units = measured.select(*DOC, F.posexplode(F.arrays_zip("words", "start", "end", "h1", "h2")).alias("seq", "x")).selectExpr(*DOC, "seq", "x.words", "bigint(x.start) start", "bigint(x.end) end", "x.h1", "x.h2")
     lines = runs_of(later_units(units), min_words).select(*DOC, F.lit("lines").alias("unit"), "start", "end", "n_words", "first_doc_id")
