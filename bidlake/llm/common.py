@@ -124,9 +124,11 @@ def join_back(rows: DataFrame, groups: DataFrame, *keys: str) -> DataFrame:
     rows are dealt over all partitions instead of meeting in one. Both must be cheap to read again."""
     values = [c for c in groups.columns if c not in (*keys, "n")]
     is_hot = F.col("n") > max(1000, rows.count() // 10_000)
-    packed = groups.select(*keys, F.struct(*values, F.lit(1).alias("_there")).alias("_found"), is_hot.alias("_hot"))
+    packed = groups.select(*keys, F.struct(*values, F.lit(1).alias("_there")).alias("_found"), is_hot.alias("_hot"), F.col("n").alias("_weight"))
     hot = packed.where("_hot").select(*keys, F.col("_found").alias("_hot_found"))
-    cold = packed.where("not _hot").select(F.lit(0).alias("_deal"), *[F.col(k).alias(f"_{k}") for k in keys], "_found")
+    # a zero that the optimizer does not fold, or hot rows would meet by their key again
+    packed = packed.withColumn("_deal", F.when(F.col("_weight") < 0, 1).otherwise(0))
+    cold = packed.where("not _hot").select("_deal", *[F.col(k).alias(f"_{k}") for k in keys], "_found")
     marked = rows.join(F.broadcast(hot), list(keys), "left")
     marked = marked.withColumn("_to", F.when(F.col("_hot_found").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(1_000_000))).cast("int"))
     on = F.col("_to") == F.col("_deal")

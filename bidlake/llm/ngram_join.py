@@ -20,15 +20,19 @@ nowhere else than in rows made of them alone.
 Rows with equal sets are one row. In each block the others are first paired with the
 smallest document (a star, never all pairs); pairs must pass bounds derived from their
 sizes: the ratio of sizes, and the least symmetric difference that parity bitmaps of both sets
-show. What is left is counted exactly. Only rows of a block that these links have not joined yet
+show. For the pairs left, the product is formed: the entries of a hub's row and of its members' travel as
+numbers, cut into blocks of columns; block after block is multiplied, the overlaps are added up,
+and a pair goes as soon as the columns still to come cannot lift it over the bound of its sizes. Only rows of a block that these links have not joined yet
 are paired further, in tiles of bounded size, so groups of copies stay linear and still no
 link between different components is lost. ``all_links`` pairs all rows of a block in such tiles, by
 the same bounds, and so returns every link between different sets.
 
 Defined results: null and empty texts, and texts without words, have an empty set and link
 with nothing; with fewer than n words the whole sequence is one n-gram; a null id is its own
-component (null); rows that repeat an id are one node; ties do not matter, as components do not
-depend on order; empty input gives no rows. Only the id and text columns are read.
+component (null); rows that repeat an id are one node, whose sets all link as they would alone, and
+equal results for equal rows; ties do not matter, as components do not depend on order; texts of any
+length are read whole; empty input gives no rows. Only the id and text columns are read, so extra
+columns never clash.
 """
 
 from __future__ import annotations
@@ -42,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import SLICE, WordHash, id_and_bytes, map_rows, materialize, mix64, schema_of
+from .common import SLICE, WordHash, batch_of, begin, fresh, give_back, id_and_bytes, map_rows, materialize, mix64, schema_of, slices
 from .components import components
 
 #: Words of an n-gram from which on single columns make the blocks.
@@ -55,8 +59,8 @@ SKETCH_BITS = 18
 PARITY_BITS, PARITY_SHARE = 256, 0.75
 #: Rows of a tile when a block's unjoined rows are paired.
 TILE = 1024
-#: Members of a hub that are handled together.
-HUB_SHARE = 512
+#: Members of a hub that are handled together, and the blocks of columns of their product.
+HUB_SHARE, COLUMN_BLOCKS = 512, 8
 #: Pairs that are formed at once.
 CHUNK = 200_000
 #: Candidates that a row names for itself in the first tiled round, the nearest first. The second takes all.
@@ -67,7 +71,9 @@ BROADCAST_ROWS = 500_000
 ROWS = schema_of(doc_id="long", n_shingles="long", d1="long", d2="long", bucket="int", load="long")
 LEADING = schema_of(id="long", size="int", parity="binary", keys="array<long>")
 PAIRS = schema_of(x="long", y="long")
-CHECKED = schema_of(x="long", y="long", overlap="long", linked="boolean")
+LINKS = schema_of(x="long", y="long", overlap="long")
+CUT = schema_of(doc_id="long", n_shingles="long", d1="long", d2="long", parity="binary", keys="array<long>")
+ENTRIES = schema_of(hub="long", salt="int", block="int", member="long", set="long", size="int", columns="binary")
 
 
 def shingles(body: bytes | None, n: int, hashes: WordHash) -> np.ndarray:
@@ -84,12 +90,14 @@ def shingles(body: bytes | None, n: int, hashes: WordHash) -> np.ndarray:
     return np.unique(key)
 
 
-def _signed(x) -> int:
-    return int(np.uint64(x).astype(np.int64))
+def digests(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set, whatever the order of its entries."""
+    return tuple(int(mix64(s ^ np.uint64(salt)).sum(dtype=np.uint64).astype(np.int64)) for salt in (0x5555, 0xAAAA))
 
 
 def _measure(n: int, batches):
     """Row sizes and digests of their sets; after the last row, the partition's loaded buckets."""
+    begin()
     arrow = to_arrow_schema(ROWS)
     hashes, load, total = WordHash(), np.zeros(1 << SKETCH_BITS, dtype=np.int64), 0
 
@@ -103,11 +111,11 @@ def _measure(n: int, batches):
                 s = shingles(body, n, hashes)
                 np.add.at(load, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
                 total += len(s)
-                with np.errstate(over="ignore"):
-                    d1, d2 = mix64(s ^ np.uint64(0x5555)).sum(dtype=np.uint64), mix64(s ^ np.uint64(0xAAAA)).sum(dtype=np.uint64)
-                rows.append((doc_id, len(s), _signed(d1), _signed(d2), None, None))
+                rows.append((doc_id, len(s), *digests(s), None, None))
             if rows:
                 yield emit(rows)
+    hashes.clear()
+    give_back()
     heavy = np.flatnonzero(load > max(32, 8 * total / len(load)))
     if len(heavy):
         yield emit([(None, None, None, None, int(b), int(load[b])) for b in heavy])
@@ -158,14 +166,14 @@ class Cut:
 
 
 def _cut(n: int, percent: int):
-    """Kernel: the row's size, parity bitmap and blocks by ranges of columns."""
+    """Kernel: the row's size, digests, parity bitmap and blocks by ranges of columns."""
     hashes, cut = WordHash(), Cut(percent)
 
     def row(doc_id, body):
         s = shingles(body, n, hashes)
         if not len(s) or doc_id is None:
-            return doc_id, len(s), b"", []
-        return doc_id, len(s), parity(s), np.unique(cut.keys(s)).view(np.int64).tolist()
+            return doc_id, len(s), *digests(s), b"", []
+        return doc_id, len(s), *digests(s), parity(s), np.unique(cut.keys(s)).view(np.int64).tolist()
 
     return row
 
@@ -324,24 +332,99 @@ def _tiles(percent: int, nearest: int | None, batches):
             yield emit(rows, found)
 
 
-def _count(n: int, percent: int, batches):
-    """Rows (hub, salt, member or null, body) in the order of (hub, salt), the hub's own text first."""
-    arrow = to_arrow_schema(CHECKED)
+def _entries(n: int, batches):
+    """Rows (hub, salt, member or null, set, body): the entries of the text's row, in blocks of columns."""
+    begin()
+    arrow = to_arrow_schema(ENTRIES)
     hashes = WordHash()
-    hub, own = None, np.zeros(0, dtype=np.uint64)
-    for batch in batches:
-        for lo in range(0, batch.num_rows, SLICE):
-            part, out = batch.slice(lo, SLICE), []
-            for h, s, member, body in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
-                if member is None:
-                    hub, own = (h, s), shingles(body, n, hashes)
-                elif hub == (h, s):
-                    theirs = shingles(body, n, hashes)
-                    overlap = len(np.intersect1d(own, theirs, assume_unique=True))
-                    union = len(own) + len(theirs) - overlap
-                    out.append((member, h, overlap, union > 0 and 100 * overlap >= percent * union))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+    edges = np.arange(1, COLUMN_BLOCKS, dtype=np.uint64) * np.uint64((1 << 64) // COLUMN_BLOCKS)
+    last, cells = None, []
+    for rows in slices(batches):
+        out = []
+        for hub, salt, member, name, body in rows:
+            if last != body:  # the roles of a text come one after another
+                s = shingles(body, n, hashes)
+                last, cells = body, [(k, len(s), c.tobytes()) for k, c in enumerate(np.split(s, np.searchsorted(s, edges)))]
+            out += [(hub, salt, k, member, name, size, c) for k, size, c in cells]
+        if out:
+            yield batch_of(out, arrow)
+    del last, cells
+    give_back()
+
+
+class Product:
+    """A hub's row times the rows of its members, added up block by block of columns."""
+
+    def __init__(self, percent: int, size: int):
+        self.percent, self.size, self.left = percent, size, size
+        #: by (member, its set): overlap so far, entries still to come, size; None if discarded
+        self.rows: dict[tuple, list[int] | None] = {}
+
+    def least(self, a: int, b: int) -> int:
+        """The smallest overlap at which sets of these sizes link."""
+        return -(-self.percent * (a + b) // (100 + self.percent))
+
+    def add(self, own: np.ndarray, members: dict[tuple, tuple[int, np.ndarray]]) -> None:
+        """One block: the hub's entries, and size and entries of each (member, set)."""
+        self.left -= len(own)
+        kept = [(m, c) for m, (size, c) in members.items() if self.rows.setdefault(m, [0, size, size]) is not None]
+        if not kept:
+            return
+        lengths = np.array([len(c) for _, c in kept])
+        columns = np.concatenate([c for _, c in kept])
+        at = np.searchsorted(own, columns)
+        hit = np.zeros(len(columns), dtype=bool)
+        inside = at < len(own)
+        hit[inside] = own[at[inside]] == columns[inside]
+        overlaps = np.bincount(np.repeat(np.arange(len(kept)), lengths), weights=hit, minlength=len(kept)).astype(np.int64)
+        for (m, _), more, gone in zip(kept, overlaps.tolist(), lengths.tolist(), strict=True):
+            row = self.rows[m]
+            row[0] += more
+            row[1] -= gone
+            if row[0] + min(row[1], self.left) < self.least(self.size, row[2]):
+                self.rows[m] = None
+
+
+def _product(percent: int, batches):
+    """ENTRIES in the order of (hub, salt, block), the hub's own first: its links, with overlaps. An id with
+    several texts has a row for each, and links if one of them does."""
+    begin()
+    arrow = to_arrow_schema(LINKS)
+    key = block = None
+    products: dict[int, Product] = {}
+    own: dict[int, np.ndarray] = {}
+    members: dict[tuple, tuple[int, np.ndarray]] = {}
+
+    def step():
+        for name, entries in own.items():
+            products[name].add(entries, members)
+
+    def emit():
+        best: dict[int, int] = {}
+        for product in products.values():
+            for (member, _), row in product.rows.items():
+                if row is not None:
+                    best[member] = max(row[0], best.get(member, 0))
+        return [batch_of([(m, key[0], overlap) for m, overlap in best.items()], arrow)] if best else []
+
+    for rows in slices(batches):
+        for hub, salt, k, member, name, size, columns in rows:
+            if (hub, salt) != key:
+                step()
+                yield from emit()
+                key, block, products, own, members = (hub, salt), k, {}, {}, {}
+            elif k != block:
+                step()
+                block, own, members = k, {}, {}
+            entries = np.frombuffer(columns, dtype=np.uint64)
+            if member is None:
+                own[name] = entries
+                products.setdefault(name, Product(percent, size))
+            else:
+                members[member, name] = (size, entries)
+    step()
+    yield from emit()
+    give_back()
 
 
 class NgramJoin:
@@ -351,10 +434,14 @@ class NgramJoin:
         self.n, self.percent = n, percent
         self.texts = id_and_bytes(docs, id_col, text_col)
         self.spark = docs.sparkSession
-        measured = materialize(self.texts.mapInArrow(partial(_measure, n), ROWS))
         #: one row per row of the documents: doc_id, n_shingles, digests of the set
-        self.rows = measured.where(F.col("bucket").isNull()).drop("bucket", "load")
-        self.sketch = measured.where(F.col("bucket").isNotNull())
+        if n < LONG:
+            self.cut = materialize(map_rows(self.texts, partial(_cut, n, percent), CUT))
+            self.rows = self.cut.drop("parity", "keys")
+        else:
+            measured = materialize(self.texts.mapInArrow(partial(_measure, n), ROWS))
+            self.rows = measured.where(F.col("bucket").isNull()).drop("bucket", "load")
+            self.sketch = measured.where(F.col("bucket").isNotNull())
         same = F.min("doc_id").alias("rep")
         #: digests of each set and the smallest document that has it
         self.sets = self.rows.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(same)
@@ -362,7 +449,7 @@ class NgramJoin:
     def _leading(self) -> DataFrame:
         distinct = self.sets.select(F.col("rep").alias("id")).distinct()
         if self.n < LONG:
-            return materialize(map_rows(self.texts, partial(_cut, self.n, self.percent), LEADING).join(distinct, "id", "left_semi"))
+            return self.cut.select(F.col("doc_id").alias("id"), F.col("n_shingles").cast("int").alias("size"), "parity", "keys").join(distinct, "id", "left_semi")
         loads = self.sketch.groupBy("bucket").agg(F.sum("load").alias("load"))  # no more rows than buckets
         heavy = self.spark.sparkContext.broadcast([(r.bucket, r.load) for r in loads.toLocalIterator()])
         lead = map_rows(self.texts, partial(_lead, self.n, self.percent, heavy), LEADING)
@@ -385,19 +472,18 @@ class NgramJoin:
         return rows.mapInArrow(partial(_star, self.percent), PAIRS)
 
     def _checked(self, pairs: DataFrame) -> DataFrame:
-        """Exact overlaps of distinct pairs (x, y): each member's text goes to its hub y."""
+        """Exact overlaps of distinct pairs (x, y) that link: each member's entries go to its hub y."""
         share = pairs.groupBy("y").agg(F.ceil(F.count("*") / HUB_SHARE).cast("int").alias("shares"))
         members = pairs.join(share, "y").select(
             F.col("x").alias("id"), F.col("y").alias("hub"), F.pmod(F.xxhash64("x"), F.col("shares")).cast("int").alias("salt"), F.col("x").alias("member")
         )
         hubs = share.select(F.col("y").alias("id"), F.col("y").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("salt"), F.lit(None).cast("long").alias("member"))
         roles = materialize(members.unionByName(hubs))
-        if roles.count() <= BROADCAST_ROWS:
-            rows = self.texts.join(F.broadcast(roles), "id")
-        else:
-            rows = self.texts.join(roles, "id")
-        rows = rows.select("hub", "salt", "member", "body").repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("member").asc_nulls_first())
-        return materialize(rows.mapInArrow(partial(_count, self.n, self.percent), CHECKED))
+        texts = self.texts.withColumn("set", F.xxhash64("body"))
+        rows = texts.join(F.broadcast(roles) if roles.count() <= BROADCAST_ROWS else roles, "id")
+        cells = rows.select("hub", "salt", "member", "set", "body").mapInArrow(partial(_entries, self.n), ENTRIES)
+        sorted_cells = cells.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "block", F.col("member").asc_nulls_first(), "set")
+        return materialize(sorted_cells.mapInArrow(partial(_product, self.percent), LINKS))
 
     def _blocks(self) -> tuple[DataFrame, DataFrame]:
         """(key, id, size, hub, n) rows of blocks, and the rows' sizes and bitmaps."""
@@ -413,7 +499,7 @@ class NgramJoin:
         alone = lead.select(F.col("id").alias("node"), F.col("id").alias("component"))
         pairs = self._star_pairs(blocks, lead).unionByName(self._tiled(blocks, lead, alone, None))
         pairs = materialize(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
-        return self._checked(pairs).where("linked").drop("linked")
+        return self._checked(pairs)
 
     def membership(self) -> DataFrame:
         """(doc_id, rep): the smallest document with the same set, of each that has one."""
@@ -434,17 +520,17 @@ class NgramJoin:
         """(x, y, overlap) links between sets that span all components, and (node, component)."""
         blocks, lead = self._blocks()
         star = materialize(self._star_pairs(blocks, lead))
-        tested = self._checked(star)
-        joined = components(tested.where("linked"))
+        tested = star.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+        links = self._checked(star)
+        joined = components(links)
         for nearest in (NEAREST, None):
-            more = self._tiled(blocks, lead, joined, nearest)
-            seen = tested.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-            more = materialize(more.join(seen, ["x", "y"], "left_anti"))
+            more = materialize(self._tiled(blocks, lead, joined, nearest).join(tested, ["x", "y"], "left_anti"))
             if more.isEmpty():  # the nearest may all have been tested; only the uncapped round shows that none is left
                 continue
-            tested = materialize(tested.unionByName(self._checked(more)))
-            joined = components(tested.where("linked"))
-        return tested.where("linked").drop("linked"), joined
+            tested = tested.unionByName(more)
+            links = links.unionByName(self._checked(more))
+            joined = components(links)
+        return links, joined
 
     def _tiled(self, blocks: DataFrame, lead: DataFrame, joined: DataFrame, nearest: int | None) -> DataFrame:
         """Pairs (x < y) within blocks between rows of different components that pass the bounds."""
@@ -483,5 +569,6 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The first document (smallest id) of each class, and all that link with nothing, with all columns."""
-    dropped = similar_classes(docs, n, percent, id_col, text_col).where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(dropped, docs[id_col] == dropped["__gone"], "left_anti")
+    (gone,) = fresh(docs, "gone")
+    dropped = similar_classes(docs, n, percent, id_col, text_col).where("component_id < doc_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(dropped, docs[id_col].cast("long") == dropped[gone], "left_anti")
