@@ -4,11 +4,14 @@ Every node of the page's tree gets a link-adjusted number of characters per tag
 composite text density of Sun, Song and Liao, 2011). Densities of children are summed,
 the node with the largest sum is the core of the article, and its ancestors join it
 while they are at least as dense as the body, the threshold of the path. What marks
-itself as page furniture (navigation, forms, notices, ...) neither competes nor prints.
-
-Defined results: null, empty and textless pages give an empty text; pages cut off
-anywhere are read as far as they go, an unfinished tag at the end is dropped; unclosed
-and misnested tags close as browsers close them; equal rows get equal results.
+itself as page furniture (navigation, forms, notices, ...) neither competes nor prints, unless it
+holds the article's own marks or all of the page's text.
+
+Defined results: null, empty and textless pages give an empty text, and a null page keeps its row;
+an empty table gives no rows; pages cut off anywhere are read as far as they go, an unfinished tag
+at the end is dropped; a quote that is never closed ends with its tag; unclosed and misnested tags close
+as browsers close them; very long and very deep pages take time in proportion to their length; equal rows
+get equal results. Only the id, address and page columns are read, so extra columns never clash.
 """
 
 from __future__ import annotations
@@ -16,11 +19,12 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, schema_of
+from .common import map_rows, schema_of, utf8
 
 # Element names by their role, and words of class, id or role that mark furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -29,11 +33,16 @@ DROPPED = frozenset("nav footer aside form button dialog menu head map option la
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 CLOSED_BY = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: Words before a furniture word that say a layout lacks or has it ("no-sidebar"), not that it is one.
+STATES = frozenset("no not non has have with without hide hides show shows is was".split())
 FURNITURE = frozenset("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar sidebars nav navbar navigation menu menus topbar toolbar breadcrumb breadcrumbs pager pagination footer foot cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup signin login comment comments commentlist disqus respond replies reply share sharing social related recommended recommendations widget widgets searchbox copyright complementary contentinfo skip".split())
 HEADERS = frozenset("header masthead head".split())
 ARTICLE_WORDS = frozenset("article post entry story content main body text title heading headline".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<(?=[a-zA-Z!?/])[^>]*\Z", re.S)
+_OPEN = re.compile(r"<(?:(?=[a-zA-Z!?])|/)")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: One piece of a tag after its name: an attribute's name, its value, or a slash.
+_PIECE = re.compile(r"\s*(?:=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]*)|[^\s=>/]+|/)")
 _ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?(?=[\s/>]|$)", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -41,88 +50,165 @@ OUTPUT = schema_of(page_id="long", url="string", text="string", n_chars="long")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "skip", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "skip", "soft", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, skip: bool):
-        self.tag, self.parent, self.skip = tag, parent, skip
+        self.tag, self.parent, self.skip, self.soft = tag, parent, skip, False
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _furniture(tag: str, attributes: str, in_article: bool) -> bool:
+def _furniture(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is furniture by its name or because it is hidden, and whether its class, id or role says so."""
     if tag in DROPPED or (tag == "header" and not in_article):
-        return True
-    if not attributes:
-        return False
-    words = set()
-    for name, value in _ATTR.findall(attributes):
+        return True, False
+    soft = False
+    for name, value in _ATTR.findall(attributes) if attributes else ():
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
-        if tag not in ("html", "body", "article", "main"):
-            words.update(w.lower() for w in _WORD.findall(value))
-    if words & FURNITURE:
-        return True
-    return bool(words & HEADERS) and not in_article and not words & ARTICLE_WORDS
+            return True, False
+        if tag not in ("html", "body", "article", "main") and not soft:
+            for token in value.split():  # each class on its own
+                words = [w.lower() for w in _WORD.findall(token)]
+                if words and words[0] not in STATES:
+                    soft |= any(w in FURNITURE for w in words) or (not in_article and any(w in HEADERS for w in words) and not any(w in ARTICLE_WORDS for w in words))
+    return False, soft
+
+
+def _end_of_tag(page: str, at: int, last: dict[str, int]) -> int:
+    """The place of the ``>`` that ends a tag whose name ends at ``at``, or -1 if the page ends before."""
+    while True:
+        m = _PIECE.match(page, at)
+        if m is None:
+            return page.find(">", at)
+        piece = m.group().lstrip()
+        if piece[:1] == "=":
+            value = piece[1:].lstrip()
+            if value[:1] in ("'", '"') and (len(value) < 2 or value[-1] != value[0]) and last[value[0]] < m.end():
+                return page.find(">", at)  # a quote that is never closed
+        at = m.end()
+
+
+class _Stack:
+    """Open elements, with counts of their names in all and since the last table or cell."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.open, self.scopes = [root], Counter(), [Counter()]
+        self.articles = 0
+
+    def push(self, node: Node) -> None:
+        self.nodes.append(node)
+        self.open[node.tag] += 1
+        self.articles += node.tag in ("article", "main")
+        if node.tag in SCOPES:
+            self.scopes.append(Counter())
+        self.scopes[-1][node.tag] += 1
+
+    def close(self, k: int) -> None:
+        """Close the element at place ``k`` and all inside it."""
+        while len(self.nodes) > k:
+            tag = self.nodes.pop().tag
+            self.open[tag] -= 1
+            self.articles -= tag in ("article", "main")
+            self.scopes[-1][tag] -= 1
+            if tag in SCOPES:
+                self.scopes.pop()
+
+    def close_last(self, tags: frozenset | set, until: frozenset | set) -> bool:
+        """Close the innermost element of these names, unless one of ``until`` is inside of it."""
+        if not any(self.open[t] for t in tags):
+            return False
+        for k in range(len(self.nodes) - 1, 0, -1):
+            if self.nodes[k].tag in tags:
+                self.close(k)
+                return True
+            if self.nodes[k].tag in until:
+                return False
+        return False
+
+
+SCOPES = frozenset("td th table".split())
+TABLE_TAGS = frozenset("table tr tbody thead tfoot html body".split())
 
 
 def parse(page: str) -> Node:
     """The page's tree. Scripts, styles and their like are left out with all they hold."""
     root = Node("#root", None, False)
-    stack = [root]
-    articles = 0
-    at, end = 0, len(page)
-    while at < end:
-        m = _TAG.search(page, at)
-        text = page[at : m.start() if m else end]
-        if text:
-            stack[-1].children.append(html.unescape(text))
-        if not m:
-            break
-        at = m.end()
-        if m.group(2) is None:
+    stack = _Stack(root)
+    last = {q: page.rfind(q) for q in "'\""}
+    at, done, end = 0, 0, len(page)
+
+    def text(upto: int) -> None:
+        if upto > done:
+            stack.nodes[-1].children.append(html.unescape(page[done:upto]))
+
+    while True:
+        m = _OPEN.search(page, at)
+        if m is None:
+            text(end)
+            return root
+        start, at = m.start(), m.end()
+        if page.startswith("<!--", start):
+            text(start)
+            at = page.find("-->", start + 4)
+            if at < 0:
+                return root
+            done = at = at + 3
+            continue
+        name = _NAME.match(page, at)
+        if name is None:  # a declaration, an instruction, or an end tag without a name
+            text(start)
+            at = page.find(">", at)
+            if at < 0:
+                return root
+            done = at = at + 1
             continue
-        tag = m.group(2).lower()
-        if m.group(1):  # an end tag: up to its start, if that is open
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    articles -= sum(x.tag in ("article", "main") for x in stack[k:])
-                    del stack[k:]
-                    break
-                if stack[k].tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "html", "body"):
-                    break
+        close = _end_of_tag(page, name.end(), last)
+        text(start)
+        if close < 0:
+            return root
+        tag, attributes = name.group().lower(), page[name.end() : close]
+        done = at = close + 1
+        if page[start + 1] == "/":  # an end tag: up to its start, if that is open
+            if tag in TABLE_TAGS:
+                stack.close_last({tag}, frozenset())
+            elif stack.scopes[-1][tag] or tag in SCOPES:
+                stack.close_last({tag}, SCOPES - {tag})
             continue
+        empty = attributes.endswith("/")
         if tag in RAW:
-            if not m.group(3).endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
-                at = close.end() if close else end
+            if not empty:
+                m = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
+                done = at = m.end() if m else end
             continue
         if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in BLOCKS:
-                    break
+            stack.close_last({"p"}, BLOCKS - {"p"})
         if tag in CLOSED_BY:
             closed, scope = CLOSED_BY[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in scope:
-                    break
-                if stack[k].tag in closed:
-                    del stack[k:]
-                    if tag != "tr":
-                        break
-        if tag in ("html", "body") and any(x.tag == tag for x in stack):
+            while stack.close_last(closed, scope) and tag == "tr":
+                pass
+        if tag in ("html", "body") and stack.open[tag]:
             continue
-        parent = stack[-1]
-        node = Node(tag, parent, parent.skip or _furniture(tag, m.group(3), articles > 0))
+        parent = stack.nodes[-1]
+        hard, soft = _furniture(tag, attributes, stack.articles > 0)
+        node = Node(tag, parent, hard)
+        node.soft = soft
         parent.children.append(node)
-        if tag not in VOID and not m.group(3).endswith("/"):
-            stack.append(node)
-            articles += tag in ("article", "main")
-    return root
+        if tag not in VOID and not empty:
+            stack.push(node)
+
+
+def _skips(root: Node, by_class: bool) -> None:
+    """What is left out: hidden and named furniture, and that by class, if it holds no mark of the article itself."""
+    nodes = _order(root)
+    marked: set[int] = set()
+    for node in reversed(nodes):
+        if node.tag in ("article", "main", "h1") or any(id(x) in marked for x in node.children if isinstance(x, Node)):
+            marked.add(id(node))
+    for node in nodes:
+        soft = node.soft and by_class and id(node) not in marked
+        node.skip = node.skip or soft or (node.parent is not None and node.parent.skip)
 
 
 def _order(root: Node) -> list[Node]:
@@ -193,36 +279,28 @@ def blocks(node: Node) -> list[str]:
     """Texts of the subtree's blocks in page order, white space folded, empty ones left out."""
     out: list[str] = []
     parts: list[str] = []
-    breaks = 0
 
     def flush() -> None:
-        nonlocal breaks
         text = " ".join("".join(parts).split())
         if text:
             out.append(text)
         parts.clear()
-        breaks = 0
 
-    todo: list[tuple[str, object]] = [("in", node)]
+    todo: list[tuple[bool, object]] = [(True, node)]
     while todo:
-        what, x = todo.pop()
-        if what == "out":
+        enter, x = todo.pop()
+        if not enter:
             flush()
         elif isinstance(x, str):
-            if x.strip():
-                if breaks > 1:
-                    flush()
-                breaks = 0
             parts.append(x)
         elif not x.skip:
-            if x.tag == "br":
-                breaks += 1
+            if x.tag == "br":  # white space, not a block
                 parts.append(" ")
                 continue
             if x.tag in BLOCKS:
                 flush()
-                todo.append(("out", x))
-            todo.extend(("in", c) for c in reversed(x.children))
+                todo.append((False, x))
+            todo.extend((True, c) for c in reversed(x.children))
     flush()
     return out
 
@@ -230,14 +308,18 @@ def blocks(node: Node) -> list[str]:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    root = parse(page)
-    nodes = measure(root)
-    return "\n".join(blocks(core(nodes)))
+    for by_class in (True, False):
+        root = parse(page)
+        _skips(root, by_class)
+        text = "\n".join(blocks(core(measure(root))))
+        if text:
+            return text
+    return ""
 
 
 def _extract():
     def row(page_id, url, page):
-        text = main_text(page)
+        text = main_text(utf8(page) if page else None)
         return page_id, url, text, len(text)
 
     return row
@@ -245,5 +327,5 @@ def _extract():
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars (code points) of every row."""
-    rows = pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(html_col).cast("string"))
+    rows = pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(html_col).cast("binary"))
     return map_rows(rows, _extract, OUTPUT)

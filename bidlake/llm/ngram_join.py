@@ -29,8 +29,8 @@ the same bounds, and so returns every link between different sets.
 
 Defined results: null and empty texts, and texts without words, have an empty set and link
 with nothing; with fewer than n words the whole sequence is one n-gram; a null id is its own
-component (null); rows that repeat an id are one node, whose sets all link as they would alone, and
-equal results for equal rows; ties do not matter, as components do not depend on order; texts of any
+component (null); rows that repeat an id and a text are one node and get equal results; ids should name one text
+each (an id with several texts is one node, compared by one of them in each block); ties do not matter, as components do not depend on order; texts of any
 length are read whole; empty input gives no rows. Only the id and text columns are read, so extra
 columns never clash.
 """

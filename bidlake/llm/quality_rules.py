@@ -5,9 +5,14 @@ name the lines that fail, those are removed, and a document that loses too much
 of its text, or keeps too little, is rejected. Beside it stand whole-text counts and
 two base rules (too few words, too many words in repeated 8-word windows).
 
+Most rules look at the form of a line alone (separators, symbols, repetition, addresses, neighbouring
+lines of few words without an end), whatever its language; the lists of navigation words and
+boilerplate phrases beside them are English.
+
 Defined results: null and empty texts have zero counts, fail the base rules and
-keep nothing; lines are split at ``\\n``; equal rows get equal results; texts of
-any length are worked through whole.
+keep nothing; lines are split at ``\\n``; rows without an id are judged too; equal rows get equal results;
+texts of any length are worked through whole; empty input gives no rows. ``quality`` reads only the id and text
+columns, so extra columns never clash; ``keep_good`` passes all of them on.
 """
 
 from __future__ import annotations
@@ -27,6 +32,10 @@ SPACES = b" \t\n\r\x0b\x0c"
 ENDINGS = tuple(".!?…。！？।:;\"'”’»)]")
 NAVIGATION = re.compile(r"(?:\S+\s*[|›»>•·]\s*){3,}\S*|(?:home|menu|login|log in|sign in|sign up|register|next|previous|back to top|skip to content|share|search)(?:\s+(?:home|menu|login|log in|sign in|sign up|register|next|previous|share|search))*\s*", re.I)
 BOILERPLATE = ("javascript is disabled", "enable javascript", "accept cookies", "use of cookies", "uses cookies", "cookie policy", "privacy policy", "terms of use", "terms of service", "lorem ipsum", "subscribe to our newsletter", "click here to", "page not found")
+#: Addresses, copyright marks, and neighbouring lines of at most so many words without an end that make a menu.
+ADDRESS = re.compile(rb"(?:https?://|www\.)\S+|\S+@\S+\.\S+")
+COPYRIGHT = re.compile(r"(?:©|\(c\)|copyright)\s*(?:©|\(c\))?\s*(?:19|20)\d\d", re.I)
+MENU_LINES, MENU_WORDS = 4, 3
 LINE_LIMITS = {"max_symbols_per_word": 0.3, "max_same_word": 0.5, "min_words_unpunctuated": 6}
 MAX_LOST = 0.5  # share of the words that failed lines may hold
 MIN_WORDS = 20
@@ -36,7 +45,6 @@ OUTPUT = schema_of(
     doc_id="long", n_words="long", word_chars="long", n_symbols="long", n_dup_lines="long", n_repeat_words="long",
     base_failed="boolean", kept="boolean", n_failed_lines="long", n_words_lost="long",
 )
-WITH_TEXT = schema_of(id="long", kept="boolean", cleaned="binary")
 
 
 def repeated_words(words: list[bytes], hashes: WordHash, window: int = WINDOW) -> int:
@@ -62,72 +70,89 @@ def repeated_words(words: list[bytes], hashes: WordHash, window: int = WINDOW) -
     return int((np.cumsum(hit[:n]) > 0).sum())
 
 
-def line_fails(line: bytes) -> str:
+def line_fails(line: bytes, words: list[bytes], in_menu: bool = False) -> str:
     """The rule that a line with words breaks, or an empty string."""
-    words = line.split()
     n = len(words)
     symbols = len(line) - len(line.translate(None, SYMBOLS))
     if symbols > LINE_LIMITS["max_symbols_per_word"] * n and symbols >= 2:
-        text = line.decode("utf-8", "replace").strip()
-        return "navigation" if NAVIGATION.fullmatch(text) else "symbols"
+        return "navigation" if NAVIGATION.fullmatch(line.decode("utf-8", "replace").strip()) else "symbols"
     if n >= 4 and n - len(set(words)) >= n * LINE_LIMITS["max_same_word"] and n - len(set(words)) >= 4:
         # long prose lines repeat short words too; a failing line repeats a word next to itself
         runs = sum(a == b for a, b in zip(words, words[1:], strict=False))
         if runs >= n * 0.3:
             return "repetition"
-    text = line.decode("utf-8", "replace").strip()
-    low = text.lower()
-    if n <= 12 and NAVIGATION.fullmatch(low):
+    if in_menu:
         return "navigation"
-    if n <= 25 and any(x in low for x in BOILERPLATE):
-        return "boilerplate"
+    text = line.decode("utf-8", "replace").strip()
+    if n <= 25:
+        low = text.lower()
+        if n <= 12 and NAVIGATION.fullmatch(low):
+            return "navigation"
+        if any(x in low for x in BOILERPLATE) or (n <= 12 and (COPYRIGHT.search(low) or 2 * len(ADDRESS.findall(line)) > n)):
+            return "boilerplate"
     if n >= LINE_LIMITS["min_words_unpunctuated"] and not text.endswith(ENDINGS) and "." not in text:
         return "punctuation"
     return ""
 
 
-def clean(body: bytes) -> tuple[bytes, int, int]:
+def _menus(lines: list[bytes], words: list[list[bytes]]) -> set[int]:
+    """Lines with words among ``MENU_LINES`` neighbours or more that are short and end in no sentence."""
+    found: set[int] = set()
+    run: list[int] = []
+    for k, w in enumerate(words):
+        if not w:
+            continue
+        if len(w) <= MENU_WORDS and not lines[k].decode("utf-8", "replace").rstrip().endswith(ENDINGS):
+            run.append(k)
+            continue
+        if len(run) >= MENU_LINES:
+            found.update(run)
+        run = []
+    return found.union(run) if len(run) >= MENU_LINES else found
+
+
+def judge(body: bytes, lines: list[bytes], words: list[list[bytes]]) -> tuple[bytes, int, int]:
     """The text without its failing lines, how many failed and the words they held."""
+    menu = _menus(lines, words)
     kept, failed, lost = [], 0, 0
-    for line in body.split(b"\n"):
-        if line.strip() and line_fails(line):
+    for k, (line, w) in enumerate(zip(lines, words, strict=True)):
+        if w and line_fails(line, w, k in menu):
             failed += 1
-            lost += len(line.split())
+            lost += len(w)
         else:
             kept.append(line)
     return b"\n".join(kept) if failed else body, failed, lost
 
 
-def measure(doc_id, body, hashes: WordHash) -> tuple:
+def clean(body: bytes) -> tuple[bytes, int, int]:
+    lines = body.split(b"\n")
+    return judge(body, lines, [x.split() for x in lines])
+
+
+def examine(doc_id, body, hashes: WordHash) -> tuple[tuple, bytes]:
+    """A row of OUTPUT, and the text without its failing lines. The text is split once."""
     body = body or b""
-    words = body.split()
+    lines = body.split(b"\n")
+    by_line = [x.split() for x in lines]
+    words = [w for x in by_line for w in x]
     n = len(words)
     letters = len(body.translate(None, SPACES))
     points = letters if body.isascii() else len(body.translate(None, SPACES).decode("utf-8", "replace"))
-    seen, repeats = set(), 0
-    for line in body.split(b"\n"):
-        if line.strip():
-            repeats += line in seen
-            seen.add(line)
+    said = [x for x, w in zip(lines, by_line, strict=True) if w]
     again = repeated_words(words, hashes)
     base = n < MIN_WORDS or 100 * again > MAX_REPEATED * n
-    _, failed, lost = clean(body)
+    text, failed, lost = judge(body, lines, by_line)
     kept = not base and lost <= MAX_LOST * n and n - lost >= MIN_WORDS
-    return doc_id, n, points, len(body) - len(body.translate(None, SYMBOLS)), repeats, again, base, kept, failed, lost
-
-
-def _measure():
-    return partial(measure, hashes=WordHash())
+    symbols = len(body) - len(body.translate(None, SYMBOLS))
+    return (doc_id, n, points, symbols, len(said) - len(set(said)), again, base, kept, failed, lost), text
 
 
-def _judge():
-    hashes = WordHash()
+def measure(doc_id, body, hashes: WordHash) -> tuple:
+    return examine(doc_id, body, hashes)[0]
 
-    def row(doc_id, body):
-        kept = measure(doc_id, body, hashes)[7]
-        return doc_id, kept, clean(body)[0] if kept else None
 
-    return row
+def _measure():
+    return partial(measure, hashes=WordHash())
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,8 +163,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that pass, without their failing lines, with all columns of ``docs``.
 
-    Rows are judged where they stand: a struct column carries every other
-    column beside the text through the kernel, so no join on the id is needed.
+    Rows are judged where they stand, in the batch that holds their other columns, so no join on
+    the id is needed.
     """
     from .stages import rewrite_texts
 
@@ -150,7 +175,8 @@ def _judge_text():
     hashes = WordHash()
 
     def text(body):
-        return clean(body)[0] if measure(0, body, hashes)[7] else None
+        row, cleaned = examine(0, body, hashes)
+        return cleaned if row[7] else None
 
     return text
 

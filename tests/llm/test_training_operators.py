@@ -65,6 +65,43 @@ def test_deep_page():
     assert html_text.main_text("<body>" + "<div>" * 20_000 + "deep") == "deep"
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<div class='layout no-sidebar'><p>article text</p></div>", "article text"), ("<div class='post has-comments'><p>kept</p></div>", "kept"), ("<div class='with-banner'>all of it</div>", "all of it"),
+    ("<div class='sidebar'>all that there is</div>", "all that there is"), ("<body><div class='promo'><article><p>inside</p></article></div>", "inside"), ("one<br><br>two", "one two"), ("<p title=\"x>Hello", "Hello"),
+    ("<p title=it's>Hello</p><p>it's</p>", "Hello\nit's"), ("a < b and c <3 d", "a < b and c <3 d"), ("<p>a<!-- > -- c --> b</p><!-- open", "a b"), ("</>x<?php y ?>z", "x z".replace(" ", "")), ("<p>a</b>b</i></p>c", "ab\nc"),
+])
+def test_html_odd_pages(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_html_takes_time_by_length():
+    import time
+
+    began = time.time()
+    for page in ("<div>" * 8000 + "x" + "</b>" * 8000, "<b>" * 8000 + "<div></div>" * 8000 + "x", "<p a='" * 20_000 + "x", "<" * 100_000, "<table><tr><td>" * 3000 + "</b>" * 9000 + "x"):
+        html_text.main_text(page)
+    assert time.time() - began < 20
+
+
+def test_html_made_pages():
+    """Pages made around a known article: exactly its blocks come back."""
+    import html as entities
+
+    rng = random.Random(23)
+    words = "the of plate bolt é 日本 iron and & < a&b".split()
+    for k in range(300):
+        text = [" ".join(rng.choices(words, k=rng.randrange(8, 60))) for _ in range(rng.randrange(2, 9))]
+        said = lambda t: entities.escape(t).replace(" ", rng.choice((" ", "\n ", "  ")))
+        tags = [rng.choice(("p", "p", "p", "blockquote", "h2", "li")) for _ in text]
+        body = "".join(f"<{g}>{said(t)}</{g}>" if g != "p" or rng.random() < 0.7 else f"<p>{said(t)}" for g, t in zip(tags, text, strict=True))
+        links = "".join(f"<li><a href='/{j}'>{rng.choice(words)} {j}</a></li>" for j in range(rng.randrange(3, 9)))
+        wrap = rng.choice(("<article>{}</article>", "<main>{}</main>", "<div class='content no-sidebar'>{}</div>", "<div><div id=story>{}</div></div>", "<main><article class='post has-comments'>{}</article></main>"))
+        around = ["<header><a href=/>Site</a></header>", f"<nav><ul>{links}</ul></nav>", "<script>if (a<b) {'<p>x</p>'}</script>", "<style>p{}</style>"]
+        after = ["<aside><p>Read more here</p></aside>", f"<div class='related'><ul>{links}</ul></div>", "<form><input><button>Go</button></form>", "<footer><p>All rights reserved</p></footer>", "<div class='comments'><p>I disagree with it</p></div>"]
+        page = f"<!doctype html><html><head><title>T</title></head><body>{''.join(rng.sample(around, 3))}{wrap.format(body)}{''.join(rng.sample(after, 3))}</body></html>"
+        assert html_text.main_text(page) == "\n".join(" ".join(t.split()) for t in text), (k, page)
+
+
 # --- 2: Jaccard join ---
 
 
@@ -184,6 +221,27 @@ def test_licenses(spark):
     assert got[23].labels == "proprietary" and got[23].n_base == 0
 
 
+def test_licenses_against_counting(spark, empty):
+    """Places, labels and tags on random texts of the phrases' own words."""
+    rng = random.Random(3)
+    words = sorted({w for p in [*license_scan.BASE, *license_scan.NOTICES] for w in p.split()}) + ["Of", "é", "mit", "gnu"]
+    tag = "SPDX-License-Identifier: MIT OR GPL-2.0-only"
+    texts = [(k, " ".join(rng.choice([*words, *license_scan.BASE, *license_scan.NOTICES]) for _ in range(rng.randrange(60))) + (f"\n{tag}\n" if k % 5 == 0 else "") + ("\nspdx license identifier MIT" if k % 7 == 0 else "")) for k in range(120)]
+    texts += [(500, "mit license " * 30_000), (None, "mit license"), (501, "MIT license"), (501, "MIT license")]
+    got = license_scan.scan_licenses(docs_of(spark, texts)).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        t = next(t for i, t in texts if i == r.doc_id)
+        w = brute.alnum_words(t)
+        found = {label for p, label in [*license_scan.BASE.items(), *license_scan.NOTICES.items()] if f" {p} " in " " + " ".join(w) + " "}
+        tagged = tag in t
+        assert set(filter(None, r.labels.split(","))) == found | ({"mit", "gpl"} if tagged else set())
+        assert (r.expression is not None) == tagged and (r.score == 1.0) == tagged
+        at = [k for p in license_scan.BASE for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        assert (r.n_base, r.first_word, r.last_word) == (len(at), min(at, default=None), max(at, default=None))
+    assert license_scan.scan_licenses(empty).count() == 0
+
+
 @pytest.mark.parametrize("text, rpn", [("MIT", "MIT"), ("MIT or (", "MIT"), ("and MIT", ""), ("A or B and C with D", "A B C D with and or"), ("(A or B) and C trailing words", "A B or C and"), ("", "")])
 def test_expressions(text, rpn):
     assert " ".join(license_scan.to_rpn(text)) == rpn
@@ -548,6 +606,14 @@ def test_quality(spark, empty):
     assert quality_rules.quality(empty).count() == 0 and quality_rules.keep_good(empty).count() == 0
 
 
+def test_rules_without_a_language():
+    menu = b"Inicio\nProductos\nQuienes somos\nContacto\n" + "Ésta es la primera frase de un texto largo, que sigue aquí.".encode()
+    assert quality_rules.clean(menu)[1:] == (4, 5)
+    assert quality_rules.clean("© 2019 Müller GmbH\nwww.example.org info@example.org\nEin Satz mit Ende.".encode())[0] == b"Ein Satz mit Ende."
+    verse = b"Short line.\nAnother one.\nA third.\nA fourth.\nOne"
+    assert quality_rules.clean(verse) == (verse, 0, 0)
+
+
 def test_clean_documents_are_kept(spark):
     folder = "/root/testdata/sf0.01"
     verdict = q.queries()["op10_quality_rules"](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id")
