@@ -8,6 +8,11 @@
 
 A stage takes the session, its predecessor's documents and the folder of the tables; all but the
 last return the columns of the documents.
+
+Defined results: null and empty texts fail the quality rules and go; rows with a null id pass stages 2 to 4 as
+they are (no copy of another is found in them, none is cut) and get a row in the last; rows that repeat an id and a text
+share its fate; rows that repeat an id with another text are judged on their own but for stage 3, which takes an
+id as one document; an empty table gives no rows; extra columns of any name pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -62,4 +67,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                _drop(spark, f"{folder}/{k - 1}")  # nothing reads it any more
     return docs
+
+
+def _drop(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
