@@ -97,10 +97,17 @@ def price_evidence(wanted: DataFrame, history: DataFrame, limit: int = 10) -> Da
     return stats.select("item", F.round("mean", 2).alias("mean"), "low", "high", "n")
 
 
-def order_numbers(orders: DataFrame) -> DataFrame:
-    """SNK-6: gap-free PO-<year>-<0001> per supplier organisation and year."""
+def order_numbers(orders: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """SNK-6: gap-free PO-<year>-<0001> per supplier organisation and year, going on after the largest number
+    in ``stored`` (supplier_id, po_number). Orders of one organisation and year are numbered in one task."""
     year = F.year("created_at")
     n = F.row_number().over(W.partitionBy("supplier_id", year).orderBy("created_at", "po_id"))
+    if stored is not None:
+        parts = F.split("po_number", "-")
+        last = stored.groupBy("supplier_id", parts[1].cast("int").alias("_year")).agg(F.max(parts[2].cast("int")).alias("_last"))
+        last = last.withColumnRenamed("supplier_id", "_org")
+        orders = orders.join(last, (F.col("supplier_id") == F.col("_org")) & (year == F.col("_year")), "left")
+        n = n + F.coalesce("_last", F.lit(0))
     return orders.select("po_id", "supplier_id", F.format_string("PO-%d-%04d", year, n).alias("po_number"))
 
 

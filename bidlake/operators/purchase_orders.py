@@ -1,4 +1,4 @@
-"""Purchase orders (DOM-13…16, DOM-24, JOIN-3, JOIN-4, AGG-13, FIL-13, FN-24)."""
+"""Purchase orders (DOM-13…16, DOM-24, JOIN-3, JOIN-4, AGG-13, FN-24)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Tenant views, scans and pages (ISO-1, SRC-1…8, SRC-22…24, FIL-1…6, PRJ-1…5, TOP-1, TOP-2, AGG-27)."""
+"""Tenant views, scans and pages (ISO-1, SRC-1…8, SRC-22…24, FIL-1…6, FIL-10, PRJ-1, PRJ-2, PRJ-5, TOP-1, TOP-2, AGG-27)."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 MAX_PAGE = 500
+HEAVY = ("raw_content", "ocr_result", "ai_extraction", "history")
 IN_PROGRESS = ("UPLOADED", "QUEUED", "EXTRACTING", "VALIDATING", "MATCHING")
 
 
@@ -23,10 +24,10 @@ class TenantView:
     def table(self, name: str) -> DataFrame:
         return self._tables[name].where(F.col("organization_id") == self._org)
 
-    def list(self, name: str, filters: dict | None = None, sort: str = "created_at", descending: bool = True, skip: int = 0, limit: int = 50) -> DataFrame:
-        """SRC-1, TOP-1: a page; the limit is held to 1…500. Give a unique ``sort`` for stable pages."""
+    def list(self, name: str, filters: dict | None = None, sort: str = "created_at", descending: bool = True, skip: int = 0, limit: int = 50, tie: str = "id") -> DataFrame:
+        """SRC-1, TOP-1, TOP-2: a page; the limit is held to 1…500. Equal values of ``sort`` follow ``tie``, so pages are stable."""
         order = F.desc(sort) if descending else F.asc(sort)
-        return where_all(self.table(name), filters).orderBy(order).offset(max(skip, 0)).limit(min(max(limit, 1), MAX_PAGE))
+        return where_all(self.table(name), filters).orderBy(order, tie).offset(max(skip, 0)).limit(min(max(limit, 1), MAX_PAGE))
 
     def get(self, name: str, key: str) -> DataFrame:
         """SRC-2."""
@@ -37,6 +38,26 @@ class TenantView:
         rows = where_all(self.table(name), filters)
         return rows.select(*fields) if fields else rows.drop("history")
 
+    def quotations(self, status: str | None = None, request_id=None, supplier_id=None) -> DataFrame:
+        """SRC-4: quotations by what is supplied, without heavy columns."""
+        return where_all(self.table("quotations"), {"processing_status": status, "request_id": request_id, "supplier_id": supplier_id}).drop(*HEAVY)
+
+    def for_request(self, request_id, limit: int = MAX_PAGE) -> DataFrame:
+        """SRC-5: quotations of one request, the first 500 by id."""
+        return self.table("quotations").where(F.col("request_id") == request_id).orderBy("id").limit(limit)
+
+    def latest(self, name: str, key: str, value) -> DataFrame:
+        """SRC-22: the last stored row of a key (the comparison of a request, the connection of a provider)."""
+        return self.table(name).where(F.col(key) == value).orderBy(F.desc("updated_at"), F.desc("id")).limit(1)
+
+    def supplier_names(self) -> DataFrame:
+        """SRC-23: ids and names, uncapped, so that no supplier is created twice."""
+        return self.table("suppliers").select("id", "name")
+
+    def name_search(self, name: str, part: str, fetched: int = 50, shown: int = 25) -> DataFrame:
+        """FIL-10: the first 25 names that hold a text, of the 50 newest rows."""
+        return self.list(name, limit=fetched).where(name_contains(F.col("name"), part)).limit(shown)
+
     def count(self, name: str, filters: dict | None = None) -> DataFrame:
         """AGG-27."""
         return where_all(self.table(name), filters).agg(F.count("*").alias("n"))
@@ -64,6 +85,11 @@ def pending(quotations: DataFrame, limit: int | None = None) -> DataFrame:
     return rows.limit(limit) if limit else rows
 
 
+def connected_channels(channels: DataFrame, limit: int = 1000) -> DataFrame:
+    """SRC-24: connected channels of all tenants, 1000 at most; a privileged scan."""
+    return channels.where(F.col("status") == "connected").orderBy("id").limit(limit)
+
+
 def newest_per(df: DataFrame, key: str, order: str, n: int, tie: str) -> DataFrame:
     """SRC-8: the newest ``n`` rows of each key."""
     w = W.partitionBy(key).orderBy(F.desc(order), tie)
