@@ -363,11 +363,16 @@ def _(t):
     return features.features_as_of(t.deliveries, new, "1996-06-15").select("line_id", "prior_count", "prior_on_time_rate", "days_since_previous")
 
 
-@query("ml01_model_frame", D + ", c AS (SELECT line_id, supplier_key, scheduled - 30 AS cut FROM deliveries), f AS (" + AS_OF_SQL + """)
+# lines are not unique by number, so each gets a number of its own
+D_UNIQUE = D.replace("deliveries AS (", "given AS (") + ", deliveries AS (SELECT * REPLACE (line_id * 100 + row_number() OVER (PARTITION BY line_id ORDER BY part_id, quantity, order_value, supplier_key, delivered) AS line_id) FROM given)"
+
+
+@query("ml01_model_frame", D_UNIQUE + ", c AS (SELECT line_id, supplier_key, scheduled - 30 AS cut FROM deliveries), f AS (" + AS_OF_SQL + """)
 SELECT line_id, d.delivered > d.scheduled AS late, f.prior_count, f.prior_on_time_rate, CAST(CASE WHEN f.prior_count > 0 THEN 1 ELSE 0 END AS INTEGER) AS has_history, round(ln(1 + d.order_value), 6) AS log_order_value, round(ln(1 + d.quantity), 6) AS log_quantity,
  'unknown' AS shipment_mode FROM f JOIN deliveries d USING (line_id)""")
 def _(t):
-    rows = features.model_frame(t.deliveries)
+    number = F.row_number().over(W.partitionBy("line_id").orderBy("part_id", "quantity", "order_value", "supplier_key", "delivered"))
+    rows = features.model_frame(t.deliveries.withColumn("line_id", F.col("line_id") * 100 + number))
     return rows.select("line_id", "late", "prior_count", "prior_on_time_rate", "has_history", F.round("log_order_value", 6).alias("log_order_value"), F.round("log_quantity", 6).alias("log_quantity"), "shipment_mode")
 
 
