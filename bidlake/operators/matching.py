@@ -13,12 +13,13 @@ from ..functions.text import amounts_in, base_unit, email_key, normalize_text, s
 AUTO, REVIEW, AMBIGUOUS_GAP, AMOUNT_TOLERANCE = 0.86, 0.62, 0.15, 0.5
 
 
-def match_items(items: DataFrame, lines: DataFrame) -> DataFrame:
+def match_items(items: DataFrame, lines: DataFrame, blank_matches: bool = True) -> DataFrame:
     """DOM-7: best quoted line of each requested item: exact by normalised name, else fuzzy.
 
     items (request_id, request_item_id, name, unit), lines (request_id, quotation_id, line_id, name, unit). Exact pairs come from
     an equi-join; each of the rest is scored with every line of the quotation, once per pair of distinct normalised names, on
-    which alone the score depends. Names that fold to an empty text match nothing exactly. Lines are never used up; ties keep the first line; exact matches are not downgraded when
+    which alone the score depends. Without ``blank_matches``, names that fold to an empty text match nothing exactly, as in
+    the purchasing flow. Lines are never used up; ties keep the first line; exact matches are not downgraded when
     units conflict.
     """
     a = items.select("request_id", "request_item_id", F.col("unit").alias("wanted_unit"), normalize_text("name").alias("key"))
@@ -26,7 +27,7 @@ def match_items(items: DataFrame, lines: DataFrame) -> DataFrame:
     # of the lines with one name the first stands for all
     names = b.groupBy("request_id", "quotation_id", "key").agg(F.min("line_id").alias("line_id"), F.min_by("offered_unit", "line_id").alias("offered_unit"), F.count("*").alias("n"))
     pairs = items.select("request_id", "request_item_id").join(lines.select("request_id", "quotation_id").distinct(), "request_id")
-    exact = a.where("key <> ''").join(names, ["request_id", "key"]).groupBy("request_item_id", "quotation_id").agg(F.min("line_id").alias("line_id"))
+    exact = (a if blank_matches else a.where("key <> ''")).join(names, ["request_id", "key"]).groupBy("request_item_id", "quotation_id").agg(F.min("line_id").alias("line_id"))
     exact = exact.select("*", F.lit(1.0).alias("score"), F.lit("exact").alias("method"), F.lit(None).cast("double").alias("gap"), F.lit(None).cast("boolean").alias("units_agree"))
     rest = a.join(pairs, ["request_id", "request_item_id"]).join(exact.select("request_item_id", "quotation_id"), ["request_item_id", "quotation_id"], "left_anti")
     wanted = rest.select("request_id", "quotation_id", F.col("key").alias("wanted")).distinct()

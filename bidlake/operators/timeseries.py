@@ -58,9 +58,15 @@ def backtest(series: DataFrame) -> DataFrame:
     )
 
 
+def clamped_horizon(horizon: int) -> int:
+    """TS-7: a wanted horizon held to 1…12 months."""
+    return min(max(horizon, 1), 12)
+
+
 def forecast(series: DataFrame, horizon: int = 3) -> DataFrame:
     """DOM-18: the next months of every item by its better method, refitted on all months; never below 0."""
-    horizon = min(max(horizon, 1), 12)  # TS-7
+    if not 1 <= horizon <= 12:
+        raise ValueError("the horizon is 1 to 12 months; see clamped_horizon")
     chosen = backtest(series).where("status = 'ok'").select("item", "method", "months")
     order = W.partitionBy("item").orderBy("month")
     rows = series.withColumn("i", (F.row_number().over(order) - 1).cast("double"))

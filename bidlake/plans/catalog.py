@@ -585,7 +585,7 @@ def _(t):
     # a third of the quoted names are spelled backwards, for items that match nothing
     quoted = F.when(F.col("p_partkey") % 3 == 1, F.reverse("p_name")).when(F.col("p_partkey") % 2 == 0, F.concat(F.upper("p_name"), F.lit(" 10 MM"))).otherwise(F.concat(F.lit("best "), F.col("p_name")))
     lines = p.select("request_id", F.lit(1).alias("quotation_id"), F.col("p_partkey").alias("line_id"), quoted.alias("name"), F.lit("nos").alias("unit"))
-    return matching.match_items(items, lines).select("request_item_id", "quotation_id", "line_id", "score", "method", "ambiguous")
+    return matching.match_items(items, lines, blank_matches=False).select("request_item_id", "quotation_id", "line_id", "score", "method", "ambiguous")
 
 
 @query("agg14_match_coverage")
