@@ -342,11 +342,9 @@ def passage_docs():
     return [*EDGES, *texts, (300, texts[5][1]), (301, loop), (302, loop + "more"), (303, "x " + " ".join(shared[2]) + " y " + " ".join(shared[2])), (None, texts[5][1])]
 
 
-@pytest.mark.parametrize("again", [False, True])
-def test_passages_inside_lines(spark, empty, again):
+def test_passages_inside_lines(spark, empty):
     texts = passage_docs()
-    if again:  # repeated rows, and an id with two texts
-        texts += [texts[20], texts[20], (300, texts[8][1]), (200, texts[9][1])]
+    texts += [texts[20], texts[20], (300, texts[8][1]), (200, texts[9][1])]  # repeated rows, and an id with two texts
     # documents rank by id, then by the hash of their text
     hashes = {r.text: r.h for r in docs_of(spark, texts).select("text", F.xxhash64(F.col("text").cast("binary")).alias("h")).collect()}
     docs = {(i, hashes[t]): t for i, t in texts if i is not None and t}
@@ -387,17 +385,15 @@ def test_passages_inside_lines(spark, empty, again):
 
 
 def test_repeated_rows_do_not_hide_copies(spark):
-    text = "\n".join(prose(15, 10_000) for _ in range(6))
-    for texts in ([(1, text), (9, text)], [(1, text), (9, text), (9, text)], [(1, text), (1, text), (9, text)]):
-        docs = docs_of(spark, texts)
-        for runs in (unit_dedup.repeated_passages(docs), line_runs.repeated_runs(docs)):
-            assert [(r.doc_id, r.first_line, r.last_line) for r in runs.collect()] == [(9, 0, 5)]
-        for kept in (unit_dedup.remove_repeats(docs), line_runs.remove_runs(docs)):
-            assert [r.doc_id for r in kept.collect()] == [1] * sum(i == 1 for i, _ in texts)
-    alone = docs_of(spark, [(1, text), (1, text)])  # rows that repeat id and text are one document
-    assert line_runs.repeated_runs(alone).count() == unit_dedup.passages(alone).count() == 0
-    two = docs_of(spark, [(1, text), (1, text + "\nmore")])  # an id with two texts: one of them is the later one
-    assert line_runs.repeated_runs(two).count() == unit_dedup.repeated_passages(two).count() == 1
+    a, b, c, d, e = ("\n".join(prose(15, 10_000) for _ in range(6)) for _ in range(5))
+    docs = docs_of(spark, [(1, a), (9, a), (11, b), (19, b), (19, b), (21, c), (21, c), (29, c), (31, d), (31, d), (41, e), (41, e + "\nmore")])
+    for runs in (unit_dedup.repeated_passages(docs), line_runs.repeated_runs(docs)):
+        found = sorted((r.doc_id, r.first_line, r.last_line) for r in runs.collect())
+        # rows that repeat id and text are one document; of an id with two texts, one is the later one
+        assert found == [(9, 0, 5), (19, 0, 5), (29, 0, 5), (41, 0, 5)]
+    for kept in (unit_dedup.remove_repeats(docs), line_runs.remove_runs(docs)):
+        left = sorted(r.doc_id for r in kept.collect())
+        assert left in ([1, 11, 21, 21, 31, 31, 41], [1, 11, 21, 21, 31, 31, 41, 41])  # "more" may be what is left of 41
 
 
 def test_hot_keys_join_back(spark):
