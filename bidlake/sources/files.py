@@ -1,4 +1,4 @@
-"""File readers (SRC-9, SRC-10, SRC-13…17, SRC-19, FN-17, FN-26)."""
+"""File readers (SRC-9, SRC-10, SRC-13…17, FN-17, FN-26)."""
 
 from __future__ import annotations
 
