@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -18,22 +20,6 @@ ABBREVIATIONS = {
     "ro": "water filtering purifying", "cctv": "television cameras", "dg": "generating sets", "sae": "lubricating oils petroleum", "ctc": "tea",
     "atta": "wheat flour", "dal": "dried leguminous vegetables", "toor": "pigeon peas", "almirah": "metal furniture", "gunny": "sacks bags", "emery": "abrasive",
 }
-#: English stop words of the reference's word block.
-STOP_WORDS = """a about above across after afterwards again against all almost alone along already also although always am among amongst
-amoungst amount an and another any anyhow anyone anything anyway anywhere are around as at back be became because become becomes becoming
-been before beforehand behind being below beside besides between beyond bill both bottom but by call can cannot cant co con could couldnt
-cry de describe detail do done down due during each eg eight either eleven else elsewhere empty enough etc even ever every everyone
-everything everywhere except few fifteen fifty fill find fire first five for former formerly forty found four from front full further get
-give go had has hasnt have he hence her here hereafter hereby herein hereupon hers herself him himself his how however hundred i ie if in
-inc indeed interest into is it its itself keep last latter latterly least less ltd made many may me meanwhile might mill mine more moreover
-most mostly move much must my myself name namely neither never nevertheless next nine no nobody none noone nor not nothing now nowhere of
-off often on once one only onto or other others otherwise our ours ourselves out over own part per perhaps please put rather re same see
-seem seemed seeming seems serious several she should show side since sincere six sixty so some somehow someone something sometime sometimes
-somewhere still such system take ten than that the their them themselves then thence there thereafter thereby therefore therein thereupon
-these they thick thin third this those though three through throughout thru thus to together too top toward towards twelve twenty two un
-under until up upon us very via was we well were what whatever when whence whenever where whereafter whereas whereby wherein whereupon
-wherever whether which while whither who whoever whole whom whose why will with within without would yet you your yours yourself
-yourselves""".split()
 SIZE_UNITS = "mm|cm|m|inch|in|kg|g|l|ltr|ml|gsm|hp|kva|kw|w|a|v|ah|bar|ton|ply|nos?"
 
 
@@ -48,10 +34,10 @@ def normalize_item(c: Column) -> Column:
     return joined
 
 
-def word_terms(df: DataFrame, key: str, text: str) -> DataFrame:
+def word_terms(df: DataFrame, key: str, text: str, stop_words: Sequence[str] = ()) -> DataFrame:
     """(key, term, tf): words of two characters or more without stop words, and pairs of those left side by side."""
     words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-    words = F.filter(words, lambda w: ~w.isin(*STOP_WORDS))
+    words = F.filter(words, lambda w: ~w.isin(*stop_words))
     pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))
     grams = F.when(F.size("w") > 1, F.concat("w", pairs)).otherwise(F.col("w"))
     return df.select(key, words.alias("w")).select(key, F.explode(grams).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
@@ -79,16 +65,19 @@ def inverse_frequency(terms: DataFrame, n_docs: int, min_df: int = 1) -> DataFra
     return df.select("term", (F.ln((1.0 + n_docs) / (1.0 + F.col("df"))) + 1).alias("idf"))
 
 
-def search(queries: DataFrame, corpus: DataFrame, k: int = 3, query_text: str = "text", doc_text: str = "text", query_key: str = "query_id", doc_key: str = "doc_id", chars: bool = False) -> DataFrame:
-    """DOM-20, TOP-4: the k documents with the largest cosine of each query, ties by document.
+def search(queries: DataFrame, corpus: DataFrame, k: int = 3, query_text: str = "text", doc_text: str = "text", query_key: str = "query_id", doc_key: str = "doc_id", chars: bool = False, stop_words: Sequence[str] | None = None) -> DataFrame:
+    """DOM-20, TOP-4: the k documents with the largest cosine of each query, ties by document; cosines that agree to nine
+    places are ties, as the order of a sum's terms may change the last ones.
 
     One equi-join on the term, summed before ranking. With ``chars`` character n-grams stand beside words as a
     second block of the same weight; a text in which only one block has terms is scaled by that block alone.
-    Documents that share no term with a query have the score 0 and no row.
+    Documents that share no term with a query have the score 0 and no row. ``stop_words`` are left out of the word
+    block; Spark's English list if not given.
     """
+    stops = StopWordsRemover.loadDefaultStopWords("english") if stop_words is None else stop_words
     n = corpus.count()
     parts, held = [], {query_key: [], doc_key: []}
-    blocks = [(word_terms, 1)] + ([(char_terms, 2)] if chars else [])
+    blocks = [(lambda *of: word_terms(*of, stops), 1)] + ([(char_terms, 2)] if chars else [])
     for terms, min_df in blocks:
         dt, qt = terms(corpus, doc_key, doc_text), terms(queries, query_key, query_text)
         idf = inverse_frequency(dt, n, min_df)
@@ -104,7 +93,7 @@ def search(queries: DataFrame, corpus: DataFrame, k: int = 3, query_text: str =
     for key, found in held.items():
         counts = reduce(DataFrame.unionByName, found).groupBy(key).agg(F.count("*").alias("__blocks"))
         scored = scored.join(counts, key).select(query_key, doc_key, (F.col("score") / F.sqrt("__blocks")).alias("score"))
-    best = W.partitionBy(query_key).orderBy(F.desc("score"), doc_key)
+    best = W.partitionBy(query_key).orderBy(F.round("score", 9).desc(), doc_key)
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 

@@ -240,7 +240,8 @@ def _(t):
     return comparison.negotiation(comparison.compare(_rated(t)))
 
 
-@query("dom09_explanation")
+@query("dom09_explanation", _SCORED + """SELECT quotation_id, CAST(rank AS INTEGER) AS rank, array_to_string(list_transform(list_sort([{'key': -price_score * 0.4::DOUBLE, 'name': 'price'}, {'key': -delivery_score * 0.2::DOUBLE, 'name': 'delivery'},
+ {'key': -payment_score * 0.15::DOUBLE, 'name': 'payment'}, {'key': -reliability_score * 0.15::DOUBLE, 'name': 'reliability'}, {'key': -other_score * 0.1::DOUBLE, 'name': 'other'}]), lambda x: x.name), ', ') AS strengths FROM compared""")
 def _(t):
     return comparison.explanation(comparison.compare(_rated(t))).select("quotation_id", "rank", "strengths")
 
@@ -428,9 +429,14 @@ def _(t):
     return timeseries.backtest(_demand(t)).withColumns({"linear_smape": F.round("linear_smape", 6), "seasonal_smape": F.round("seasonal_smape", 6)})
 
 
-@query("dom18_forecast")
+@query("dom18_forecast", _MONTHS + f""", chosen AS (SELECT item, method, months FROM ({_BACKTEST}) WHERE status = 'ok'),
+ r AS (SELECT item, month, quantity, row_number() OVER (PARTITION BY item ORDER BY month) - 1 AS i FROM series),
+ fit AS (SELECT item, regr_slope(quantity, i) AS slope, regr_intercept(quantity, i) AS start, max(month) AS last FROM r GROUP BY 1)
+ SELECT chosen.item, strftime(last + to_months(CAST(step AS INTEGER)), '%Y-%m') AS month, method,
+ round(greatest(CASE WHEN method = 'linear_trend' THEN start + slope * (months + step - 1) ELSE quantity END, 0.0::DOUBLE), 6) AS quantity
+ FROM chosen JOIN fit USING (item) CROSS JOIN generate_series(1, 3) g(step) LEFT JOIN (SELECT item, i, quantity FROM r) past ON past.item = chosen.item AND past.i = months - 12 + (step - 1) % 12""")
 def _(t):
-    return timeseries.forecast(_demand(t), 3)
+    return timeseries.forecast(_demand(t), 3).withColumn("quantity", F.round("quantity", 6))
 
 
 # --- anomalies --------------------------------------------------------------------------------------------------
@@ -527,7 +533,10 @@ def _(t):
     return reliability.autopilot(t.requests, t.quotations, runs).select("request_id", "n")
 
 
-@query("dom19_risk")
+@query("dom19_risk", f"""WITH f AS ({_FEATURES}), p AS (SELECT *, 1 - prior_on_time_rate AS p FROM f)
+ SELECT *, CASE WHEN p >= 0.3::DOUBLE THEN 'high' WHEN p >= 0.15::DOUBLE THEN 'medium' ELSE 'low' END AS level, coalesce(p >= 0.15::DOUBLE, FALSE) AS concern,
+ concat_ws(',', CASE WHEN prior_count = 0 THEN 'no history' END, CASE WHEN prior_count > 0 AND recent_late_rate >= 0.3::DOUBLE THEN 'late recently' END, CASE WHEN recent_late_rate = 0 AND least(prior_count, 10) >= 3 THEN 'on time recently' END,
+ CASE WHEN prior_count >= 5 AND prior_on_time_rate >= 0.9::DOUBLE THEN 'reliable' END, CASE WHEN prior_count > 0 AND prior_on_time_rate < 0.7::DOUBLE THEN 'often late' END, CASE WHEN prior_mean_delay >= 7 AND prior_on_time_rate < 1 THEN 'long delays' END) AS signals FROM p""")
 def _(t):
     f = features.as_of_features(t.deliveries)
     return features.risk(f.withColumn("p", 1 - F.col("prior_on_time_rate")), "p", 0.3)
@@ -552,7 +561,14 @@ def _(t):
 # --- extraction, matching, retrieval ----------------------------------------------------------------------------
 
 
-@query("dom04_validation")
+@query("dom04_validation", """WITH x AS (SELECT l_orderkey, p_name AS name, CASE WHEN l_linenumber <> 3 THEN l_quantity END AS q, l_extendedprice / l_quantity AS p, l_tax * 100 AS tax, CASE WHEN l_linenumber <> 4 THEN l_extendedprice END AS total, l_extendedprice AS e FROM lineitem JOIN part ON l_partkey = p_partkey),
+ i AS (SELECT *, coalesce(name IS NULL OR trim(name) = '', FALSE)::INT + coalesce(q <= 0, FALSE)::INT + coalesce(p < 0, FALSE)::INT + coalesce(total < 0, FALSE)::INT AS errors,
+  coalesce(q > 1e6, FALSE)::INT + coalesce(p > 1e7, FALSE)::INT + coalesce(tax < 0 OR tax > 40, FALSE)::INT + coalesce(abs(q * p - total) > greatest(1.0, 0.02 * greatest(abs(q * p), abs(total), 1.0)), FALSE)::INT + (q IS NULL OR p IS NULL OR total IS NULL)::INT AS warnings,
+  (name IS NOT NULL)::INT + (q IS NOT NULL)::INT + (p IS NOT NULL)::INT + (total IS NOT NULL)::INT AS filled FROM x),
+ g AS (SELECT l_orderkey, sum(errors) + (sum(e) * 1.18 <= 0)::INT AS errors, sum(warnings) + (sum(e) * 1.18 > 1e9)::INT AS warnings, round(CAST(CAST(sum(filled)::DOUBLE / (4 * count(*)) AS VARCHAR) AS DECIMAL(38, 20)), 4) AS extraction FROM i GROUP BY 1),
+ n AS (SELECT *, round(CAST(greatest(0.0, 1 - least(errors * 0.15 + warnings * 0.03, 0.6)) AS DECIMAL(18, 8)), 4) AS normal FROM g)
+ SELECT l_orderkey, CAST(errors AS INTEGER) AS error_count, CAST(warnings AS INTEGER) AS warning_count, errors > 0 OR warnings >= 3 AS needs_review, CAST(extraction AS DOUBLE) AS extraction_confidence, CAST(normal AS DOUBLE) AS normalization_confidence,
+ CAST(round(CAST(CAST((extraction::DOUBLE + normal::DOUBLE) / 2 AS VARCHAR) AS DECIMAL(38, 20)), 4) AS DOUBLE) AS overall_confidence FROM n""")
 def _(t):
     li = t.raw("lineitem").join(t.raw("part"), F.col("l_partkey") == F.col("p_partkey"))
     item = F.struct(
@@ -569,7 +585,10 @@ def _(t):
     return v.select("l_orderkey", "error_count", "warning_count", "needs_review", "extraction_confidence", "normalization_confidence", "overall_confidence")
 
 
-@query("join08_supplier_resolution")
+@query("join08_supplier_resolution", with_tables("quotations", "suppliers") + """, s AS (SELECT supplier_id, name, '27AABCS' || lpad(CAST(supplier_id % 10000 AS VARCHAR), 4, '0') || 'B1ZQ' AS gst, name || '@mail.in' AS mail FROM suppliers),
+ k AS (SELECT *, min(supplier_id) OVER (PARTITION BY gst) AS g, min(supplier_id) OVER (PARTITION BY lower(trim(mail))) AS m, min(supplier_id) OVER (PARTITION BY lower(trim(name))) AS n, min(supplier_id) OVER (PARTITION BY trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g'))) AS f FROM s)
+ SELECT quotation_id AS quote_id, CASE WHEN quotation_id % 4 = 0 THEN lower(gst) END AS gst_number, CASE WHEN quotation_id % 4 = 1 THEN upper(mail) END AS email, CASE quotation_id % 4 WHEN 2 THEN upper(name) WHEN 3 THEN name || '?' END AS name,
+ CASE quotation_id % 4 WHEN 0 THEN g WHEN 1 THEN m WHEN 2 THEN n ELSE f END AS supplier_id, CASE quotation_id % 4 WHEN 0 THEN 'gst' WHEN 1 THEN 'email' WHEN 2 THEN 'name' ELSE 'folded' END AS matched_by FROM quotations JOIN k USING (supplier_id)""")
 def _(t):
     s = t.suppliers.select("supplier_id", F.concat(F.lit("27AABCS"), F.lpad((F.col("supplier_id") % 10000).cast("string"), 4, "0"), F.lit("B1ZQ")).alias("gst_number"), F.concat("name", F.lit("@mail.in")).alias("email"), "name")
     q = t.quotations.select(F.col("quotation_id").alias("quote_id"), "supplier_id").join(s, "supplier_id")
@@ -593,7 +612,25 @@ def _(t):
     return matching.coverage(PLANS["dom07_item_matching"](t))
 
 
-@query("dom20_retrieval")
+STOP_WORDS = "a an and are as at be by for from in is it of on or that the this to with".split()
+
+
+def _retrieval_sql() -> str:
+    """TF-IDF of words without stop words and their pairs, and of character 3-5-grams, step by step over all documents."""
+    side = """SELECT {key} AS id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: NOT list_contains(stop, w)) AS w,
+ list_transform(list_filter(regexp_split_to_array(lower(text), '[\\s\\x0b\\x1c-\\x1f\\x85\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+'), lambda x: x <> ''), lambda x: ' ' || x || ' ') AS c FROM {table}, stops"""
+    words = "SELECT side, 0 AS block, id, unnest(w) AS term FROM texts UNION ALL SELECT side, 0, id, unnest(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) FROM texts"
+    grams = " UNION ALL ".join(f"SELECT side, 1, id, unnest(list_transform(generate_series(1, length(x) - {n - 1}), lambda i: substring(x, i, {n}))) FROM padded" for n in (3, 4, 5))
+    return f"""WITH stops AS (SELECT {STOP_WORDS} AS stop), texts AS (SELECT 'd' AS side, * FROM ({side.format(key="doc_id", table="documents")}) UNION ALL SELECT 'q', * FROM ({side.format(key="item_id", table="benchmark")})),
+ padded AS (SELECT side, id, unnest(c) AS x FROM texts), t AS (SELECT side, block, id, term, count(*) AS tf FROM ({words} UNION ALL {grams}) GROUP BY ALL),
+ idf AS (SELECT block, term, ln((1.0::DOUBLE + (SELECT count(*) FROM documents)) / (1.0::DOUBLE + count(*))) + 1 AS idf FROM t WHERE side = 'd' GROUP BY 1, 2 HAVING count(*) > block),
+ v AS (SELECT side, block, id, term, (1 + ln(tf)) * idf AS w FROM t JOIN idf USING (block, term)), norm AS (SELECT side, block, id, sqrt(sum(w * w)) AS norm FROM v GROUP BY 1, 2, 3), held AS (SELECT side, id, sqrt(count(*)) AS held FROM norm GROUP BY 1, 2),
+ u AS (SELECT side, block, id, term, w / norm / held AS w FROM v JOIN norm USING (side, block, id) JOIN held USING (side, id)),
+ s AS (SELECT q.id AS query_id, d.id AS doc_id, sum(q.w * d.w) AS score FROM u q JOIN u d USING (block, term) WHERE q.side = 'q' AND d.side = 'd' GROUP BY 1, 2),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3"""
+
+
+@query("dom20_retrieval", _retrieval_sql())
 def _(t):
     q = t.raw("benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return retrieval.search(q, t.raw("documents").select("doc_id", "text"), k=3, chars=True).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return retrieval.search(q, t.raw("documents").select("doc_id", "text"), k=3, chars=True, stop_words=STOP_WORDS).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")

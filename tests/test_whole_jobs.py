@@ -6,6 +6,7 @@ import random
 import re
 
 import pytest
+from pyspark.ml.feature import StopWordsRemover
 
 from bidlake import registry
 from bidlake.functions import text
@@ -54,9 +55,9 @@ def test_matching_scores_every_line(spark):
     assert got[901, 90].method == "unmatched" and got[901, 90].score is not None
 
 
-def blocks_of(text):
+def blocks_of(text, stop_words):
     """Term counts of both blocks, as the reference's vectorizers take them."""
-    words = [w for w in re.findall(r"\w\w+", text.lower()) if w not in set(retrieval.STOP_WORDS)]
+    words = [w for w in re.findall(r"\w\w+", text.lower()) if w not in stop_words]
     grams = collections.Counter(words + [" ".join(p) for p in zip(words, words[1:])])
     chars = collections.Counter()
     for w in text.lower().split():
@@ -71,14 +72,15 @@ def blocks_of(text):
 def test_search_scores_words_and_characters(spark):
     docs = {0: "Cast iron pipes and fittings of steel", 1: "bolts, hexagonal; BOLT sets", 2: "the of and", 3: "Ciónue tubos de acero", 4: "steel pipe with a pipe fitting", 5: "x", 6: "portland cement bags bags", 7: "", 8: "welded tubes of the steel", 9: "hexagon rods"}
     queries = {0: "steel pipe", 1: "hexbolts", 2: "ciónue", 3: "the and", 4: "cementing bag", 5: "tube of steel the x"}
-    counts = {d: blocks_of(t) for d, t in docs.items()}
+    stop_words = set(StopWordsRemover.loadDefaultStopWords("english"))
+    counts = {d: blocks_of(t, stop_words) for d, t in docs.items()}
     vectors = {}
     for block, least in ((0, 1), (1, 2)):
         df = collections.Counter(t for c in counts.values() for t in c[block])
         idf = {t: math.log((1 + len(docs)) / (1 + k)) + 1 for t, k in df.items() if k >= least}
         for side, texts in (("d", docs), ("q", queries)):
             for i, text in texts.items():
-                v = {(block, t): (1 + math.log(n)) * idf[t] for t, n in blocks_of(text)[block].items() if t in idf}
+                v = {(block, t): (1 + math.log(n)) * idf[t] for t, n in blocks_of(text, stop_words)[block].items() if t in idf}
                 norm = math.sqrt(sum(x * x for x in v.values()))
                 vectors.setdefault((side, i), {}).update({t: x / norm for t, x in v.items()})
     want = {}
