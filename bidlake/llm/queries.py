@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat_trees, decontaminate, html_text, license_scan, line_runs, ngram_join, piece_codec, quality_rules, secret_scan, unit_dedup
+from . import chat_trees, decontaminate, hard_negatives, html_text, lexical_search, license_scan, line_runs, ngram_join, piece_codec, quality_rules, secret_scan, unit_dedup, url_filter
 
 MODEL, RANKS = "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"
 
@@ -65,6 +66,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.expr("case when vec_id % 7 = 0 then (cast(label as bigint) + 1) % 10 else label end")
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), label, F.expr("vec_id % 100 = 0"), positives=5, negatives=5, low=80, high=100, scale=256)
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages")).drop("canonical", "blocked_by")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_text": op1_html_text,
@@ -77,6 +91,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": op8_decontaminate,
         "op9_piece_codec": op9_piece_codec,
         "op10_quality_rules": op10_quality_rules,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_ranked_search": op12_ranked_search,
+        "op13_url_filter": op13_url_filter,
     }
 
 
@@ -118,6 +135,34 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op11_hard_negatives": r"""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+ FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r AS a, a.vec_id AS anchor_id, b.r AS b, b.vec_id AS other_id, a.label = b.label AS alike, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, other_id, b) <= 5)
+SELECT p.anchor_id, p.other_id AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.other_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT s.alike AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+WINDOW w AS (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.other_id, s.b) QUALIFY row_number() OVER w <= 5""",
+    "op12_ranked_search": r"""
+WITH t AS (SELECT row_number() OVER () AS doc, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+b AS (SELECT row_number() OVER () AS item, item_id, list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS terms FROM benchmark),
+asked AS (SELECT item, item_id, unnest(terms) AS term FROM b),
+size AS (SELECT count(*) AS docs, CAST(sum(len(words)) AS BIGINT) AS total FROM t WHERE len(words) > 0),
+tf AS (SELECT doc, doc_id, n, term, count(*) AS tf FROM (SELECT doc, doc_id, len(words) AS n, unnest(words) AS term FROM t) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, size GROUP BY term, docs),
+part AS (SELECT doc, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // total))) AS impact FROM tf JOIN w USING (term), size),
+score AS (SELECT item, item_id, doc, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM asked JOIN part USING (term) GROUP BY ALL HAVING sum(impact) > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id, doc) AS INTEGER) AS rank, doc_id, score FROM score
+QUALIFY row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id, doc) <= 50""",
+    # The method's globs see canonical paths; this says the same for paths without escapes, dot segments and double slashes.
+    "op13_url_filter": r"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS tail FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(tail, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(tail, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+j AS (SELECT *, '.' || host AS h, rtrim(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS c,
+ CASE WHEN h LIKE '%.www.example.com' AND path LIKE '/en/%' THEN 'www.example.com/en/' WHEN h LIKE '%.example.com' AND path LIKE '/en/%' THEN 'example.com/en/'
+  WHEN h LIKE '%.net' AND path LIKE '/es/%' THEN 'net/es/' WHEN h LIKE '%.net' AND path LIKE '/fr/%' THEN 'net/fr/' WHEN h LIKE '%.com' AND path LIKE '/%' THEN 'com/' END AS rule FROM p)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+ WHEN regexp_matches('.' || c, '\.(spam-|adult-|ads-|ads\.|tracker\.)|\..*(casino|porn|viagra)|-pills|-bets') OR regexp_matches(path, '/wp-login\.php$|/affiliate/') THEN 'block' ELSE 'allow' END AS verdict FROM j""",
 }
 
 
