@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import catalog, records  # noqa: F401  records adds its queries to the catalogue
+from .plans import catalog, records, streams  # noqa: F401  both add their queries to the catalogue
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

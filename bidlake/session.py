@@ -20,3 +20,14 @@ def build_session(app: str = "bidlake", master: str | None = None, **settings: s
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Where driver and executors both write: ``spark.checkpoint.dir``; unset, a temporary folder, on a single machine only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local[") and master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "/tmp/bidlake-checkpoints"
+    return folder
