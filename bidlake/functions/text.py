@@ -6,6 +6,7 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +52,7 @@ TERMS = {
 STOPWORDS = frozenset("of the a an for with and or in to make brand quality std standard type".split())
 SCRIPTS = {"hi": "ऀ-ॿ", "gu": "઀-૿", "ta": "஀-௿", "te": "ఀ-౿", "bn": "ঀ-৿"}
 EXOTIC_SPACES = "               　"
+INVISIBLE = "\u200b\ufeff"
 QUOTATION_WORDS = ("quotation", "quote", "proforma", "estimate", "rate list", "price list", "कोटेशन", "दर")
 
 _SPELLING = {s: unit for unit, spellings in UNITS.items() for s in (unit, *spellings)}
@@ -195,6 +197,68 @@ def folded_similarity(x: str, y: str) -> float:
     return round(score, 4)
 
 
+#: Bins that characters are counted in for bounds; characters that share one only raise a bound.
+BINS = 64
+
+
+def _bag(x: str) -> np.ndarray:
+    return np.bincount(np.frombuffer(x.encode("utf-32-le"), dtype=np.uint32) % BINS, minlength=BINS)
+
+
+def similarity_bounds(xs: list[str], ys: list[str]) -> np.ndarray:
+    """For pairs of folded texts, numbers that ``folded_similarity`` does not pass, without aligning any: from
+    lengths, characters in common, tokens in common and sizes. Texts of one kind are counted once."""
+    names = {n: k for k, n in enumerate(dict.fromkeys([*xs, *ys]))}
+    bags = np.array([_bag(n) for n in names]).reshape(len(names), BINS)
+    length = np.array([len(n) for n in names])
+    tokens = [n.split() for n in names]
+    unique = [set(t) for t in tokens]
+    i, j = np.array([names[x] for x in xs], dtype=np.int64), np.array([names[y] for y in ys], dtype=np.int64)
+    common = np.zeros(len(i), dtype=np.int64)
+    for lo in range(0, len(i), 65536):
+        part = slice(lo, lo + 65536)
+        common[part] = np.minimum(bags[i[part]], bags[j[part]]).sum(1)
+    both = length[i] + length[j]
+    ratios = 2 * common / np.maximum(both, 1)
+    partial = 2 * common / np.maximum(np.minimum(length[i], length[j]) + common, 1)
+    out = np.empty(len(i))
+    for k, (p, q) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+        if not length[p] or not length[q]:
+            out[k] = 0.0
+            continue
+        if p == q:
+            out[k] = 1.0
+            continue
+        u, v = unique[p], unique[q]
+        shared = u & v
+        best = ratios[k]
+        if shared and (len(shared) == len(u) or len(shared) == len(v)):
+            best = 1.0
+        else:
+            left, right = (sum(map(len, t)) + len(t) - 1 for t in (u, v))
+            # repeated tokens count once here, so the texts may be shorter than before
+            best = max(best, min(1.0, 2 * min(int(common[k]), left, right) / (left + right)))
+            if shared:
+                base = sum(map(len, shared)) + len(shared) - 1
+                best = max(best, 2 * base / (base + left), 2 * base / (base + right))
+        score = 0.6 * best + 0.2 * min(1.0, partial[k]) + 0.2 * ratios[k]
+        sx, sy = sizes(xs[k]), sizes(ys[k])
+        sizes_shared = sx.keys() & sy.keys()
+        if sizes_shared:
+            score = min(1.0, score + 0.05) if all(sx[z] == sy[z] for z in sizes_shared) else score * 0.45
+        out[k] = round(score + 1e-9, 4)
+    return out
+
+
+def _bounded(x: pd.Series, y: pd.Series) -> pd.Series:
+    return pd.Series(similarity_bounds([a or "" for a in x], [b or "" for b in y]), dtype="float64")
+
+
+def similarity_bound(x: Column | str, y: Column | str) -> Column:
+    """FN-25: an upper bound of ``similarity_folded``, at a fraction of its cost."""
+    return F.pandas_udf(_bounded, T.DoubleType())(x, y)
+
+
 def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similarity_of(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
@@ -204,7 +268,7 @@ def similarity(a: Column | str, b: Column | str) -> Column:
 
 
 def _similar_folded(x: pd.Series, y: pd.Series) -> pd.Series:
-    return pd.Series([folded_similarity(a, b) for a, b in zip(x, y, strict=True)], dtype="float64")
+    return pd.Series([None if a is None or b is None else folded_similarity(a, b) for a, b in zip(x, y, strict=True)], dtype="float64")
 
 
 def similarity_folded(x: Column | str, y: Column | str) -> Column:
@@ -228,8 +292,8 @@ def detect_language(c: Column) -> Column:
 
 
 def normalize_spaces(c: Column) -> Column:
-    """FN-15: exotic spaces to plain ones."""
-    return F.translate(c, EXOTIC_SPACES, " " * len(EXOTIC_SPACES))
+    """FN-15: exotic spaces to plain ones; zero-width spaces and byte-order marks go."""
+    return F.translate(c, EXOTIC_SPACES + INVISIBLE, " " * len(EXOTIC_SPACES))
 
 
 def validity_days(c: Column) -> Column:

@@ -19,6 +19,8 @@ SEVERITY = {"HIGH_ANOMALY": 3, "POSSIBLE_ANOMALY": 2, "NORMAL": 1, "INSUFFICIENT
 TREES, SEED, SAMPLE = 200, 42, 256
 #: SRC-8: newest prices of an item that are looked at.
 NEWEST_PRICES = 1000
+#: Candidates of an item that one task scores.
+CANDIDATES = 100_000
 
 
 def ladder(prices: DataFrame, mean="mean", stddev="stddev", n="n", price="unit_price") -> DataFrame:
@@ -100,42 +102,64 @@ class Forest:
         return -(2.0 ** (-total / len(self.trees) / max(self._rest(self.size), 1e-9)))
 
 
-def assess(price: float, history: np.ndarray) -> dict | None:
-    """DOM-11 on one price; null below 20 positive prices. Branches: no spread, fence, 2 %, 10 %."""
+def assess_all(prices: np.ndarray, history: np.ndarray) -> pd.DataFrame:
+    """DOM-11: status, score and ratio of each price, by one forest; null below 20 positive prices in the history and for prices
+    that are not positive. Branches: no spread, fence, 2 %, 10 %. The order of the history does not matter."""
+    p = np.asarray(prices, dtype=float)
     h = np.asarray(history, dtype=float)
-    h = h[np.isfinite(h) & (h > 0)]
-    if len(h) < MIN_FOREST or price is None or not np.isfinite(price) or price <= 0:
-        return None
+    h = np.sort(h[np.isfinite(h) & (h > 0)])
+    out = pd.DataFrame({"status": pd.Series([None] * len(p), dtype=object), "score": np.nan, "ratio": np.nan})
+    good = np.flatnonzero(np.isfinite(p) & (p > 0))
+    if len(h) < MIN_FOREST or not len(good):
+        return out
     median = float(np.median(h))
-    past, x = np.log(h / median), float(np.log(price / median))
+    ratio = p[good] / median
+    past, x = np.log(h / median), np.log(ratio)
     if np.ptp(past) == 0:
-        status = "POSSIBLE_ANOMALY" if abs(price / median - 1) > ZERO_SPREAD else "NORMAL"
-        return {"status": status, "score": 0.0, "ratio": price / median}
-    q1, q3 = np.percentile(past, [25, 75])
-    beyond = max(past.min() - x, x - past.max(), 0.0) / ((q3 - q1) or np.ptp(past))
-    forest = Forest(past)
-    score = float(forest.score(np.array([x]))[0])
-    if beyond >= FENCE_POSSIBLE:
-        status = "HIGH_ANOMALY" if beyond >= FENCE_HIGH else "POSSIBLE_ANOMALY"
+        status, score = np.where(np.abs(ratio - 1) > ZERO_SPREAD, "POSSIBLE_ANOMALY", "NORMAL"), np.zeros(len(good))
     else:
+        q1, q3 = np.percentile(past, [25, 75])
+        beyond = np.maximum(np.maximum(past.min() - x, x - past.max()), 0.0) / ((q3 - q1) or np.ptp(past))
+        forest = Forest(past)
+        score = forest.score(x)
         low, mid = np.percentile(forest.score(past), [2, 10])
-        status = "HIGH_ANOMALY" if score < low else "POSSIBLE_ANOMALY" if score < mid else "NORMAL"
-    return {"status": status, "score": score, "ratio": price / median}
+        status = np.where(score < low, "HIGH_ANOMALY", np.where(score < mid, "POSSIBLE_ANOMALY", "NORMAL"))
+        status = np.where(beyond >= FENCE_HIGH, "HIGH_ANOMALY", np.where(beyond >= FENCE_POSSIBLE, "POSSIBLE_ANOMALY", status))
+    out.loc[good, "status"], out.loc[good, "score"], out.loc[good, "ratio"] = status, score, ratio
+    return out
+
+
+def assess(price: float, history: np.ndarray) -> dict | None:
+    """DOM-11 on one price; null where it has no status."""
+    row = assess_all(np.array([np.nan if price is None else price]), history).iloc[0]
+    return None if row.status is None else row.to_dict()
 
 
-def forest_status(candidates: DataFrame, history: DataFrame, max_history: int = NEWEST_PRICES) -> DataFrame:
+def forest_status(candidates: DataFrame, history: DataFrame, max_history: int = NEWEST_PRICES, chunk: int = CANDIDATES) -> DataFrame:
     """DOM-11, SRC-8: candidates (item, price) against the newest ``max_history`` prices of their item, a limit
-    of the operator itself, which also bounds the group that a task holds."""
+    of the operator itself, which also bounds the history that a task holds.
+
+    One forest is grown for an item and scores all its candidates at once; an item of more than ``chunk`` candidates is dealt out, and
+    its forest, which is the same for the same history, grown in each share. Items without history have no row.
+    """
     newest = W.partitionBy("item").orderBy(F.desc("created_at"), "unit_price")
     recent = history.withColumn("k", F.row_number().over(newest)).where(F.col("k") <= max_history)
     listed = recent.groupBy("item").agg(F.collect_list("unit_price").alias("past"))
-
-    @F.pandas_udf("status string, score double, ratio double")
-    def judged(price: pd.Series, past: pd.Series) -> pd.DataFrame:
-        rows = [assess(p, h) or {"status": None, "score": None, "ratio": None} for p, h in zip(price, past, strict=True)]
-        return pd.DataFrame(rows, columns=["status", "score", "ratio"])
-
-    return candidates.join(listed, "item").select("item", "price", judged("price", "past").alias("j")).select("item", "price", "j.*")
+    shares = candidates.groupBy("item").agg(F.ceil(F.count("*") / chunk).cast("int").alias("shares"))
+    past = listed.join(shares, "item").select("item", "past", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    dealt = candidates.select("item", F.col("price").cast("double").alias("price")).join(shares, "item").select("item", "price", F.pmod(F.xxhash64("price", F.monotonically_increasing_id()), "shares").cast("int").alias("share"))
+
+    def judged(mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        if not len(others):
+            return pd.DataFrame({"item": [], "price": [], "status": [], "score": [], "ratio": []})
+        out = assess_all(mine["price"].to_numpy(dtype=float), others["past"].iloc[0])
+        return pd.concat([mine[["item", "price"]].reset_index(drop=True), out], axis=1)
+
+    item = candidates.schema["item"].dataType.simpleString()
+    pairs = dealt.groupBy("item", "share").cogroup(past.groupBy("item", "share"))
+    out = pairs.applyInPandas(judged, f"item {item}, price double, status string, score double, ratio double")
+    known = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
+    return out.select("item", "price", "status", known("score"), known("ratio"))
 
 
 def worst_status(df: DataFrame, key: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.gstin import normalize_gstin
-from ..functions.text import amounts_in, base_unit, email_key, normalize_text, similarity_folded
+from ..functions.text import amounts_in, base_unit, email_key, normalize_text, similarity_bound, similarity_folded
 
 # Fixed values.
 AUTO, REVIEW, AMBIGUOUS_GAP, AMOUNT_TOLERANCE = 0.86, 0.62, 0.15, 0.5
@@ -17,8 +17,8 @@ def match_items(items: DataFrame, lines: DataFrame, blank_matches: bool = True)
     """DOM-7: best quoted line of each requested item: exact by normalised name, else fuzzy.
 
     items (request_id, request_item_id, name, unit), lines (request_id, quotation_id, line_id, name, unit). Exact pairs come from
-    an equi-join; each of the rest is scored with every line of the quotation, once per pair of distinct normalised names, on
-    which alone the score depends. Without ``blank_matches``, names that fold to an empty text match nothing exactly, as in
+    an equi-join; each of the rest is held against every line of the quotation, once per pair of distinct normalised names, on
+    which alone the score depends, and scored unless a bound shows that it is neither best nor second (``score_pairs``). Without ``blank_matches``, names that fold to an empty text match nothing exactly, as in
     the purchasing flow. Lines are never used up; ties keep the first line; exact matches are not downgraded when
     units conflict.
     """
@@ -31,7 +31,7 @@ def match_items(items: DataFrame, lines: DataFrame, blank_matches: bool = True)
     exact = exact.select("*", F.lit(1.0).alias("score"), F.lit("exact").alias("method"), F.lit(None).cast("double").alias("gap"), F.lit(None).cast("boolean").alias("units_agree"))
     rest = a.join(pairs, ["request_id", "request_item_id"]).join(exact.select("request_item_id", "quotation_id"), ["request_item_id", "quotation_id"], "left_anti")
     wanted = rest.select("request_id", "quotation_id", F.col("key").alias("wanted")).distinct()
-    scored = wanted.join(names.withColumnRenamed("key", "offered"), ["request_id", "quotation_id"]).withColumn("score", similarity_folded("wanted", "offered"))
+    scored = score_pairs(wanted.join(names.withColumnRenamed("key", "offered"), ["request_id", "quotation_id"])).where("score is not null")
     best = W.partitionBy("request_id", "quotation_id", "wanted").orderBy(F.desc("score"), "line_id")
     gap = F.when(F.col("n") > 1, F.lit(0.0)).otherwise(F.col("score") - F.lead("score").over(best))
     top = scored.withColumn("gap", gap).withColumn("k", F.row_number().over(best)).where("k = 1").withColumnRenamed("wanted", "key")
@@ -44,6 +44,21 @@ def match_items(items: DataFrame, lines: DataFrame, blank_matches: bool = True)
     return out.withColumns({"method": F.coalesce("method", F.lit("unmatched")), "ambiguous": F.coalesce(F.col("gap") < AMBIGUOUS_GAP, F.lit(False))})
 
 
+def score_pairs(pairs: DataFrame) -> DataFrame:
+    """JOIN-6: ``bound`` and ``score`` of pairs (request_id, quotation_id, wanted, offered, ...) of folded names. The best two by bound of each
+    wanted name are scored first; their lower score is a floor for the second best, and pairs whose bound lies under it keep
+    a null score, as they can change neither the best nor the gap. Ties with the floor are scored."""
+    group = W.partitionBy("request_id", "quotation_id", "wanted")
+    ranked = pairs.withColumn("bound", similarity_bound("wanted", "offered"))
+    ranked = ranked.withColumn("_r", F.row_number().over(group.orderBy(F.desc("bound"), "offered")))
+    first = F.col("_r") <= 2
+    probed = ranked.withColumn("_probe", similarity_folded(F.when(first, F.col("wanted")), F.when(first, F.col("offered"))))
+    floored = probed.withColumn("_floor", F.min("_probe").over(group))
+    open_ = ~first & (F.col("bound") >= F.col("_floor"))
+    rest = similarity_folded(F.when(open_, F.col("wanted")), F.when(open_, F.col("offered")))
+    return floored.withColumn("_rest", rest).withColumn("score", F.coalesce("_probe", "_rest")).drop("_r", "_probe", "_floor", "_rest")
+
+
 def coverage(matches: DataFrame) -> DataFrame:
     """AGG-14: counts per quotation and the share of items matched or to be reviewed."""
     m = F.col("method")

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.gstin import normalize_gstin
+from ..sources.scans import IN_PROGRESS
 
 # Fixed values.
-NOT_COMPLETE = ("FAILED", "UPLOADED", "QUEUED", "EXTRACTING", "AI_EXTRACTING", "NORMALIZING")
+NOT_COMPLETE = ("FAILED", *IN_PROGRESS)
 WEAK_SCORE = 0.5
 MAX_TABLE_ROWS, MAX_PROMPT, MAX_OUTPUT = 200, 60_000, 12_000
 CACHE_ENTRIES = 256

@@ -114,23 +114,48 @@ def _(t):
     )
 
 
+def _corrections(t: Tables) -> DataFrame:
+    k = t.raw("lineitem").select(F.col("l_orderkey").alias("quotation_id")).distinct()
+    fix = lambda test, path, value, at: k.where(test).select("quotation_id", F.lit(path).alias("path"), F.lit(value).alias("value"), F.lit(at).cast("timestamp").alias("at"))
+    return (
+        fix("quotation_id % 7 = 0", "pricing.total_amount", "1", "2024-01-01").unionByName(fix("quotation_id % 7 = 0", "pricing.total_amount", "1000.5", "2024-01-02"))
+        .unionByName(fix("quotation_id % 11 = 0", "items.0.quantity", "2", "2024-01-01")).unionByName(fix("quotation_id % 11 = 0", "items.99.quantity", "3", "2024-01-01"))
+    )
+
+
+CORRECTED = ["pricing.total_amount", "items.0.quantity", "items.99.quantity"]
+
+
 @query("dom06_corrections", O_SQL + """, f AS (SELECT l_orderkey AS order_id, l_partkey AS part, floor(l_quantity) AS quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice, l_suppkey) AS k FROM lineitem) WHERE k = 1)
 SELECT order_id AS quotation_id, CASE WHEN order_id % 7 = 0 THEN 1000.5::DOUBLE
   WHEN order_id % 11 = 0 THEN coalesce(total, round(coalesce(subtotal, summed) + round(coalesce(subtotal, summed) * 20.0 / 100.0, 2), 2)) ELSE landed END AS landed_total,
  round((CASE WHEN order_id % 11 = 0 THEN 2.0::DOUBLE ELSE quantity END) * (part % 1000 + 0.5::DOUBLE), 4) AS first_total FROM r JOIN f USING (order_id)""")
 def _(t):
-    records = _records(t)
-    k = records.select("quotation_id")
-    fix = lambda test, path, value, at: k.where(test).select("quotation_id", F.lit(path).alias("path"), F.lit(value).alias("value"), F.lit(at).cast("timestamp").alias("at"))
-    corrections = (
-        fix("quotation_id % 7 = 0", "pricing.total_amount", "1", "2024-01-01").unionByName(fix("quotation_id % 7 = 0", "pricing.total_amount", "1000.5", "2024-01-02"))
-        .unionByName(fix("quotation_id % 11 = 0", "items.0.quantity", "2", "2024-01-01")).unionByName(fix("quotation_id % 11 = 0", "items.99.quantity", "3", "2024-01-01"))
-    )
-    fixed, _ = normalization.correct(records, corrections, ["pricing.total_amount", "items.0.quantity", "items.99.quantity"])
+    fixed, _, _ = normalization.correct(_records(t), _corrections(t), CORRECTED)
     d = F.col("data")
     return fixed.select("quotation_id", d["pricing"]["landed_total"].alias("landed_total"), normalization.get_path("data", "items.0.computed_total").alias("first_total"))
 
 
+@query("dom06_audit", O_SQL + """, f AS (SELECT l_orderkey AS order_id, floor(l_quantity) AS quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice, l_suppkey) AS k FROM lineitem) WHERE k = 1),
+ a AS (SELECT order_id, 'pricing.total_amount' AS path, total AS previous, 1.0::DOUBLE AS new, TIMESTAMP '2024-01-01' AS tm FROM r WHERE order_id % 7 = 0 UNION ALL SELECT order_id, 'pricing.total_amount', 1.0::DOUBLE, 1000.5::DOUBLE, TIMESTAMP '2024-01-02' FROM r WHERE order_id % 7 = 0
+  UNION ALL SELECT order_id, 'items.0.quantity', quantity, 2.0::DOUBLE, TIMESTAMP '2024-01-01' FROM f WHERE order_id % 11 = 0)
+SELECT order_id AS quotation_id, path, round(previous, 6) AS previous, new, tm FROM a""")
+def _(t):
+    _, audit, _ = normalization.correct(_records(t), _corrections(t), CORRECTED)
+    return audit.select("quotation_id", "path", F.round(F.col("previous_value").cast("double"), 6).alias("previous"), F.col("new_value").cast("double").alias("new"), F.col("corrected_at").alias("tm"))
+
+
+@query("dom06_refused", """WITH o AS (SELECT DISTINCT l_orderkey AS id FROM lineitem)
+SELECT id AS quotation_id, 'items.99.quantity' AS path, '3' AS value, 'no such place' AS reason FROM o WHERE id % 11 = 0 UNION ALL SELECT id, 'pricing.subtotal', 'abc', 'not a value of type double' FROM o WHERE id % 5 = 0
+ UNION ALL SELECT id, 'pricing.totl', '1', 'unknown field path' FROM o WHERE id % 13 = 0 UNION ALL SELECT -id, 'pricing.subtotal', '9', 'unknown record' FROM o WHERE id % 17 = 0 AND id > 0""")
+def _(t):
+    k = t.raw("lineitem").select(F.col("l_orderkey").alias("quotation_id")).distinct()
+    row = lambda test, path, value, key="quotation_id": k.where(test).select(F.expr(key).alias("quotation_id"), F.lit(path).alias("path"), F.lit(value).alias("value"), F.lit("2024-01-03").cast("timestamp").alias("at"))
+    wrong = row("quotation_id % 5 = 0", "pricing.subtotal", "abc").unionByName(row("quotation_id % 13 = 0", "pricing.totl", "1")).unionByName(row("quotation_id % 17 = 0 and quotation_id > 0", "pricing.subtotal", "9", "-quotation_id"))
+    _, _, refused = normalization.correct(_records(t), _corrections(t).unionByName(wrong), [*CORRECTED, "pricing.subtotal"])
+    return refused.select("quotation_id", "path", "value", "reason")
+
+
 @query("prj03_list_shape", O_SQL + "SELECT order_id AS quotation_id, 'INR' AS currency, landed AS total_amount, CAST(n AS INTEGER) AS item_count, order_id % 3 AS issue_count FROM r")
 def _(t):
     rows = _records(t).withColumn("error_count", F.col("quotation_id") % 3)
@@ -215,6 +240,15 @@ def _(t):
     return scans.pending(rows).select("id")
 
 
+_STATUSES = ("UPLOADED", "QUEUED", "EXTRACTING", "AI_EXTRACTING", "NORMALIZING", "COMPLETED", "REQUIRES_REVIEW", "FAILED")
+
+
+@query("src07_statuses", Q + f"SELECT quotation_id AS id, list_element({list(_STATUSES)}, CAST(quotation_id % 8 AS INTEGER) + 1) AS processing_status FROM quotations WHERE quotation_id % 8 < 5")
+def _(t):
+    status = F.get(F.array(*[F.lit(s) for s in _STATUSES]), (F.col("quotation_id") % 8).cast("int"))
+    return scans.pending(t.quotations.select(F.col("quotation_id").alias("id"), status.alias("processing_status")))
+
+
 @query("src06_unseen", "SELECT event_id FROM events WHERE event_id % 3 <> 0")
 def _(t):
     e = t.raw("events").select("event_id")
@@ -480,6 +514,17 @@ def _(t):
     return t.suppliers.select("supplier_id", text.normalize_spaces(F.concat(F.lit("a "), "name", F.lit(" b"))).alias("value"))
 
 
+@query("fn15_invisible", "SELECT s_suppkey AS supplier_id, 'qty a' || s_name || ' b' AS value FROM supplier")
+def _(t):
+    return t.suppliers.select("supplier_id", text.normalize_spaces(F.concat(F.lit("\ufeffq\u200bty\u00a0a"), "name", F.lit("\u2009b\u200b"))).alias("value"))
+
+
+@query("dom01_gstin_bounds", "SELECT s_suppkey AS supplier_id, CASE s_suppkey % 3 WHEN 0 THEN '27ABCDE1234F1Z5' END AS gst_number FROM supplier")
+def _(t):
+    stuck = F.when(F.col("supplier_id") % 3 == 0, " 27abcde1234F1Z5.").when(F.col("supplier_id") % 3 == 1, "9927ABCDE1234F1Z5X").otherwise("\u00e927ABCDE1234F1Z5")
+    return extraction.extract_header(t.suppliers.select("supplier_id", F.concat(F.lit("GST"), stuck).alias("text"))).select("supplier_id", "gst_number")
+
+
 @query("fn20_amounts", "SELECT o_orderkey, [CAST(round(o_totalprice * 100) AS BIGINT) / 100.0::DOUBLE, 18.0::DOUBLE] AS amounts FROM orders")
 def _(t):
     return t.raw("orders").select("o_orderkey", text.amounts_in(F.concat(F.lit("Rs. "), F.format_number("o_totalprice", 2), F.lit(" with 18 % tax"))).alias("amounts"))

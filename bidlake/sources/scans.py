@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 MAX_PAGE = 500
 HEAVY = ("raw_content", "ocr_result", "ai_extraction", "history")
-IN_PROGRESS = ("UPLOADED", "QUEUED", "EXTRACTING", "VALIDATING", "MATCHING")
+IN_PROGRESS = ("UPLOADED", "QUEUED", "EXTRACTING", "AI_EXTRACTING", "NORMALIZING")
 
 
 class TenantView:

@@ -39,7 +39,7 @@ def test_text_items(spark):
     assert [(r.original_name, r.quantity, r.unit, r.unit_price, r.gst_percentage, r.total_price) for r in rows] == [
         ("PVC Elbow 2 inch", 10.0, "nos", 12.5, None, 125.0), ("Class-2 pipe 6m", 5.0, None, 100.0, None, 500.0), ("Odd line", None, None, None, None, None),
     ]
-    assert rows[2].attributes == {"_unparsed_numbers": "[1.0, 2.0, 3.0, 4.0, 5.0]"}
+    assert rows[2].attributes == {"_unparsed_numbers": "[1.0, 2.0, 3.0, 4.0, 5.0]", "_note": extraction.NOTE}
 
 
 def test_table_items(spark):
@@ -57,10 +57,18 @@ def test_record_and_corrections(spark):
     assert d[1].pricing.landed_total == 777.5 and d[1].pricing.computed_subtotal is None and d[1]["items"][0].line_id == "line-1"
     assert d[2].missing_fields == ["items", "pricing.subtotal", "pricing.total_amount", "pricing.tax", "delivery.delivery_days", "payment_terms.payment_days"]
     fix = spark.createDataFrame([(1, "pricing.total_amount", "800", 1), (1, "pricing.total_amount", "900", 2), (1, "items.1.quantity", "7", 1), (1, "items.9.quantity", "7", 1)], "quotation_id int, path string, value string, at int")
-    fixed, audit = normalization.correct(records, fix, ["pricing.total_amount", "items.1.quantity", "items.9.quantity"])
+    bad = [(1, "pricing.subtotal", "abc", 3), (1, "pricing.totl", "1", 3), (9, "pricing.subtotal", "1", 3), (1, "pricing.transportation_cost", None, 4)]
+    fix = fix.unionByName(spark.createDataFrame(bad, fix.schema))
+    fixed, audit, refused = normalization.correct(records, fix, ["pricing.total_amount", "items.1.quantity", "items.9.quantity", "pricing.subtotal", "pricing.transportation_cost"])
     got = {r.quotation_id: r.data for r in fixed.collect()}
     assert got[1].pricing.landed_total == 900.0 and got[1]["items"][1].quantity == 7.0 and got[1]["items"][1].computed_total == 700.0 and got[2] == d[2]
-    assert sorted((r.path, r.previous_value, r.new_value) for r in audit.collect()) == [("items.1.quantity", "5.0", "7"), ("pricing.total_amount", "777.5", "900")]
+    # every correction is a record, in its order, with the value that it replaced
+    assert sorted((r.path, r.previous_value or "", r.new_value or "", r.corrected_at) for r in audit.collect()) == [
+        ("items.1.quantity", "5.0", "7", 1), ("pricing.total_amount", "777.5", "800", 1), ("pricing.total_amount", "800.0", "900", 2), ("pricing.transportation_cost", "40.0", "", 4),
+    ]
+    assert sorted((r.quotation_id, r.path, r.reason) for r in refused.collect()) == [
+        (1, "items.9.quantity", "no such place"), (1, "pricing.subtotal", "not a value of type double"), (1, "pricing.totl", "unknown field path"), (9, "pricing.subtotal", "unknown record"),
+    ]
     with pytest.raises(ValueError):
         normalization.correct(records, fix, ["pricing.totl"])
     assert records.select(normalization.get_path("data", "items.0.unit").alias("u")).first().u == "nos"
@@ -108,3 +116,29 @@ def test_raw_update_and_numbers(spark):
     assert got[1].name == "c" and [h.s for h in got[2].history] == ["y"] and all(r.updated_at.year > 2020 for r in got.values())
     view = scans.TenantView({"suppliers": spark.createDataFrame([("1", 1, "Ab", 1), ("2", 2, "ab", 1)], "organization_id string, id int, name string, created_at int")}, "1")
     assert [r.id for r in view.name_search("suppliers", "AB").collect()] == [1]
+
+
+def test_items_of_tables_else_text(spark):
+    t = "array<struct<headers:array<string>,rows:array<array<string>>>>"
+    text = "Item Qty Rate Amount\nPVC pipe 2 inch 10 12.50 125.00"
+    rows = [
+        (1, text, [(["x"], [["y"]]), (["Item", "Qty"], [["Bolt", "3"], ["Total", "3"]]), (["Item", "Qty"], [["Nut", "4"]])]),
+        (2, text, [(["Item"], [["Sub Total"]])]), (3, text, None), (4, None, []),
+    ]
+    got = extraction.items(spark.createDataFrame(rows, f"id int, text string, tables {t}"), "id").collect()
+    assert sorted((r.id, r.line, r.original_name, r.quantity) for r in got) == [(1, 0, "Bolt", 3.0), (1, 1, "Nut", 4.0), (2, 1, "PVC pipe 2 inch", 10.0), (3, 1, "PVC pipe 2 inch", 10.0)]
+
+
+def test_gstin_and_spaces(spark):
+    df = spark.createDataFrame([(1, "9927ABCDE1234F1Z5X"), (2, "GST:27abcde1234f1z5, Pune"), (3, "\ufeffq\u200bty 2\u00a0kg")], "id int, text string")
+    got = {r.id: r for r in extraction.extract_header(df).collect()}
+    assert got[1].gst_number is None and got[2].gst_number == "27ABCDE1234F1Z5"
+    from bidlake.functions import text as fn
+
+    assert df.where("id = 3").select(fn.normalize_spaces(F.col("text")).alias("t")).first().t == "qty 2 kg"
+
+
+def test_recovery_takes_five_statuses(spark):
+    every = ["UPLOADED", "QUEUED", "EXTRACTING", "AI_EXTRACTING", "NORMALIZING", "COMPLETED", "REQUIRES_REVIEW", "FAILED"]
+    df = spark.createDataFrame([(s,) for s in every], "processing_status string")
+    assert [r[0] for r in scans.pending(df).collect()] == every[:5] and workflow.NOT_COMPLETE == ("FAILED", *every[:5])
