@@ -140,7 +140,7 @@ def forest_status(candidates: DataFrame, history: DataFrame, max_history: int =
     of the operator itself, which also bounds the history that a task holds.
 
     One forest is grown for an item and scores all its candidates at once; an item of more than ``chunk`` candidates is dealt out, and
-    its forest, which is the same for the same history, grown in each share. Items without history have no row.
+    its forest, which is the same for the same history, grown in each share. Items without history have no row; a price that is no number comes back as null.
     """
     newest = W.partitionBy("item").orderBy(F.desc("created_at"), "unit_price")
     recent = history.withColumn("k", F.row_number().over(newest)).where(F.col("k") <= max_history)
@@ -151,15 +151,17 @@ def forest_status(candidates: DataFrame, history: DataFrame, max_history: int =
 
     def judged(mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         if not len(others):
-            return pd.DataFrame({"item": [], "price": [], "status": [], "score": [], "ratio": []})
-        out = assess_all(mine["price"].to_numpy(dtype=float), others["past"].iloc[0])
-        return pd.concat([mine[["item", "price"]].reset_index(drop=True), out], axis=1)
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("item", "price", "status", "score", "ratio")})
+        prices = mine["price"].to_numpy(dtype=float)
+        out = assess_all(prices, others["past"].iloc[0])
+        plain = lambda c: pd.Series(list(out[c]), dtype=object if c == "status" else float)
+        return pd.DataFrame({"item": pd.Series(mine["item"].tolist(), dtype=object), "price": prices, **{c: plain(c) for c in out.columns}})
 
     item = candidates.schema["item"].dataType.simpleString()
     pairs = dealt.groupBy("item", "share").cogroup(past.groupBy("item", "share"))
     out = pairs.applyInPandas(judged, f"item {item}, price double, status string, score double, ratio double")
     known = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
-    return out.select("item", "price", "status", known("score"), known("ratio"))
+    return out.select("item", known("price"), "status", known("score"), known("ratio"))
 
 
 def worst_status(df: DataFrame, key: str) -> DataFrame:

@@ -612,6 +612,31 @@ def _(t):
     return matching.coverage(PLANS["dom07_item_matching"](t))
 
 
+#: Names whose scores have closed forms: the same, one word more, another size, none; quoted in pieces or by weight.
+_BRANCHES = """WITH p AS (SELECT p_partkey AS k, length(p_name) AS n, p_partkey % 4 AS c, p_partkey % 8 < 4 AS agree FROM part),
+ m AS (SELECT k AS request_item_id, k % 10 AS quotation_id, k AS line_id, CASE c WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN round(0.8::DOUBLE + 0.4::DOUBLE * n / (2 * n + 3), 4) WHEN 2 THEN round((1 - 1.0::DOUBLE / (n + 6)) * 0.45::DOUBLE, 4) ELSE 0.0::DOUBLE END AS score,
+ CASE WHEN c = 0 THEN 'exact' WHEN c = 1 AND agree THEN 'auto' WHEN c = 1 THEN 'review' ELSE 'unmatched' END AS method FROM p)"""
+
+
+def _branches(t: Tables) -> DataFrame:
+    k, name = F.col("p_partkey"), F.col("p_name")
+    p = t.raw("part").select(k.alias("request_id"), k.alias("request_item_id"), (k % 10).alias("quotation_id"), k.alias("line_id"), name, (k % 4).alias("c"), F.when(k % 8 < 4, "nos").otherwise("kg").alias("offered"))
+    items = p.select("request_id", "request_item_id", F.when(F.col("c") == 2, F.concat(name, F.lit(" 10mm"))).otherwise(F.upper(name)).alias("name"), F.lit("pcs").alias("unit"))
+    quoted = F.when(F.col("c") == 0, name).when(F.col("c") == 1, F.concat(name, F.lit(" zz"))).when(F.col("c") == 2, F.concat(name, F.lit(" 20 MM"))).otherwise("-")
+    return matching.match_items(items, p.select("request_id", "quotation_id", "line_id", quoted.alias("name"), F.col("offered").alias("unit")), blank_matches=False)
+
+
+@query("dom07_branches", _BRANCHES + " SELECT request_item_id, quotation_id, line_id, score, method, false AS ambiguous FROM m")
+def _(t):
+    return _branches(t).select("request_item_id", "quotation_id", "line_id", "score", "method", "ambiguous")
+
+
+@query("agg14_branches", _BRANCHES + """ SELECT quotation_id, count(*) FILTER (method IN ('exact', 'auto')) AS matched, count(*) FILTER (method = 'review') AS review, count(*) FILTER (method = 'unmatched') AS unmatched, count(*) AS items,
+ count(*) FILTER (method <> 'unmatched') / count(*) AS coverage FROM m GROUP BY 1""")
+def _(t):
+    return matching.coverage(_branches(t))
+
+
 STOP_WORDS = "a an and are as at be by for from in is it of on or that the this to with".split()
 
 

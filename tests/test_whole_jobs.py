@@ -101,3 +101,42 @@ def test_search_scores_words_and_characters(spark):
 def test_retrieval_query_uses_both_blocks(spark, small):
     plan = registry.queries()["dom20_retrieval"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "substring" in plan or "substr(" in plan
+
+
+def test_bounds_hold_and_leave_pairs_unscored(spark):
+    """No score passes its bound; what is left unscored is neither best nor second; most pairs are left."""
+    rng = random.Random(6)
+    words = ["hex", "bolt", "bolts", "pvc", "pipe", "elbow", "2", "inch", "10", "mm", "20mm", "plate", "é", "日本", "m8", "gasket", "wire", "cement"]
+    name = lambda: text.fold_text(" ".join(rng.choice(words) for _ in range(rng.randint(0, 6))))
+    pairs = [(name(), name()) for _ in range(3000)]
+    bounds = text.similarity_bounds([x for x, _ in pairs], [y for _, y in pairs])
+    assert all(b >= text.folded_similarity(x, y) for b, (x, y) in zip(bounds, pairs))
+    rows = [(1, q, w, o) for q in range(3) for w in sorted({name() for _ in range(12)}) for o in sorted({name() for _ in range(40)} | {"hexagonal bolt 10 mm"})]
+    got = matching.score_pairs(spark.createDataFrame(rows, "request_id int, quotation_id int, wanted string, offered string")).collect()
+    groups = collections.defaultdict(list)
+    for r in got:
+        groups[r.quotation_id, r.wanted].append(r)
+    for (_, wanted), found in groups.items():
+        second = sorted((text.folded_similarity(wanted, r.offered) for r in found), reverse=True)[1]
+        for r in found:
+            true = text.folded_similarity(wanted, r.offered)
+            assert r.score == true if r.score is not None else true < second
+    assert len(got) == len(rows) and sum(r.score is not None for r in got) < 0.5 * len(got)
+
+
+def test_one_forest_scores_all_candidates(spark):
+    """The same results for one candidate at a time, all at once, and an item dealt out over tasks."""
+    rng = random.Random(9)
+    history = [(item, round(rng.lognormvariate(4, 0.3), 2), k) for item in "ab" for k in range(60)] + [("c", 5.0, k) for k in range(30)] + [("d", 5.0 + k, k) for k in range(10)] + [("a", -1.0, 99), ("a", None, 98)]
+    candidates = [(item, rng.choice([0.0, None, float("nan"), 5.0, 5.05, 5.2, 300.0, rng.uniform(20, 120)])) for item in "abcde" for _ in range(40)]
+    c, h = spark.createDataFrame(candidates, "item string, price double"), spark.createDataFrame(history, "item string, unit_price double, created_at int")
+    past = {i: [p for j, p, _ in history if j == i and p is not None] for i in "abcd"}
+    want = []
+    for item, price in candidates:
+        if item in past:
+            one = anomaly.assess(price, past[item]) or {"status": None, "score": None}
+            want.append((item, str(None if price != price else price), one["status"], one["score"]))
+    for chunk in (anomaly.CANDIDATES, 7):
+        got = [(r.item, str(r.price), r.status, r.score) for r in anomaly.forest_status(c, h, chunk=chunk).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, want))
+    assert {r[2] for r in want} == {None, "NORMAL", "POSSIBLE_ANOMALY", "HIGH_ANOMALY"}
