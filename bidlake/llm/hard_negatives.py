@@ -26,12 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import batch_of, begin, give_back, map_rows, materialize, schema_of, shared_folder, small
+from .common import batch_of, begin, give_back, materialize, schema_of, shared_folder, small
 from .lexical_search import drop
 
 #: Rows that the pivots are fitted to, pivots, and cells of a pivot, at most.
@@ -52,19 +53,34 @@ FOUND = schema_of(q="long", score="long", id="long", row="long")
 def _whole_vectors(embeddings: DataFrame, id_col: str, label: F.Column, vec_col: str, scale: int) -> DataFrame:
     """(row, id, label, size, norm, largest, vec): rows that take part, components ``floor(scale * x)`` as doubles."""
 
-    def kernel():
-        def whole(row, id_, label, values):
-            if label is None or values is None or any(v is None for v in values):
-                return
-            x = np.floor(scale * np.array(values, dtype=np.float64))
-            if not np.isfinite(x).all() or float(x @ x) >= 2.0**62:
-                return
-            yield row, id_, label, len(x), sum(int(v) * int(v) for v in x), int(np.abs(x).max(initial=0)), x.tobytes()
-
-        return whole
+    arrow = to_arrow_schema(VECTOR)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                part = part.filter(pc.and_(pc.is_valid(part.column(2)), pc.is_valid(part.column(3))))
+                vecs = part.column(3)
+                sizes = pc.list_value_length(vecs).to_numpy(zero_copy_only=False)
+                flat = vecs.flatten()  # null components become NaN
+                x = np.floor(scale * (flat.fill_null(np.nan) if flat.null_count else flat).to_numpy(zero_copy_only=False))
+                ends = np.cumsum(sizes)
+                columns: list[list] = [[], [], [], []]
+                for k, (a, b) in enumerate(zip((ends - sizes).tolist(), ends.tolist(), strict=True)):
+                    v = x[a:b]
+                    norm = float(v @ v)
+                    if norm < 2.0**62:  # not NaN, not infinite
+                        columns[0].append(k)
+                        columns[1].append(int(norm) if norm < 2.0**53 else sum(int(c) * int(c) for c in v))
+                        columns[2].append(int(np.abs(v).max(initial=0)))
+                        columns[3].append(v.tobytes())
+                kept = part.take(pa.array(columns[0], type=pa.int64()))
+                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), kept.column(2), pa.array(sizes[columns[0]].astype(np.int64)), *[pa.array(c, type=f.type) for c, f in zip(columns[1:], list(arrow)[4:], strict=True)]], schema=arrow)
+        give_back()
 
     rows = embeddings.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), label.alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
-    return map_rows(rows, kernel, VECTOR, many=True)
+    return rows.mapInArrow(run, VECTOR)
 
 
 class Pivots:
