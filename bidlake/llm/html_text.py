@@ -5,7 +5,8 @@ composite text density of Sun, Song and Liao, 2011). Densities of children are s
 the node with the largest sum is the core of the article, and its ancestors join it
 while they are at least as dense as the body, the threshold of the path. What marks
 itself as page furniture (navigation, forms, notices, ...) neither competes nor prints, unless it
-holds the article's own marks or all of the page's text.
+holds most of the page's text: then it is the layout around the article, by class only if the page's
+own article mark stands in it too.
 
 Defined results: null, empty and textless pages give an empty text, and a null page keeps its row;
 an empty table gives no rows; pages cut off anywhere are read as far as they go, an unfinished tag
@@ -28,14 +29,18 @@ from .common import map_rows, schema_of, utf8
 
 # Element names by their role, and words of class, id or role that mark furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math canvas object audio video select noframes title".split())
-DROPPED = frozenset("nav footer aside form button dialog menu head map option label fieldset".split())
+RAW = frozenset("script style noscript template textarea iframe svg annotation annotation-xml canvas object audio video select noframes title".split())
+DROPPED = frozenset("nav footer aside button dialog menu head map option label".split())
+FORMS = frozenset("form fieldset".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 CLOSED_BY = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Words before a furniture word that say a layout lacks or has it ("no-sidebar"), not that it is one.
 STATES = frozenset("no not non has have with without hide hides show shows is was".split())
-FURNITURE = frozenset("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar sidebars nav navbar navigation menu menus topbar toolbar breadcrumb breadcrumbs pager pagination footer foot cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup signin login comment comments commentlist disqus respond replies reply share sharing social related recommended recommendations widget widgets searchbox copyright complementary contentinfo skip".split())
+FURNITURE = frozenset("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar sidebars nav navbar navigation menu menus topbar toolbar breadcrumb breadcrumbs pager pagination footer foot cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup signin login comment comments commentlist disqus respond response responses replies reply reactions discussion discussions share sharing social related recommended recommendations widget widgets searchbox copyright complementary contentinfo skip".split())
+#: Furniture words of other meanings too ("ad-hoc", "share-price"): they count in a class whose other words are about furniture or layout.
+AMBIGUOUS = frozenset("ad ads adv alert banner consent cookie cookies discussion discussions foot footer head login menu menus notice notices promo promotion reactions recommended related reply replies respond response responses share sharing signin signup skip social sponsor sponsored subscription".split())
+LAYOUT = frozenset("a all area bar block body bottom box btn button buttons col column container content desktop fixed float global group header icon icons inline inner item items js large left link links list main middle mobile module outer page panel primary right row secondary section side site slot small space sticky text title top unit view wrap wrapper zone".split())
 HEADERS = frozenset("header masthead head".split())
 ARTICLE_WORDS = frozenset("article post entry story content main body text title heading headline".split())
 
@@ -59,6 +64,18 @@ class Node:
         self.density = self.total = 0.0
 
 
+def _is_furniture(token: str, in_article: bool) -> bool:
+    """Whether one class, id or role names furniture."""
+    words = [w.lower() for w in _WORD.findall(token)]
+    if not words or words[0] in STATES:
+        return False
+    if any(w in FURNITURE and w not in AMBIGUOUS for w in words):
+        return True
+    if any(w in AMBIGUOUS for w in words) and all(w in FURNITURE or w in LAYOUT or w.isdigit() or len(w) == 1 for w in words):
+        return True
+    return not in_article and any(w in HEADERS for w in words) and not any(w in ARTICLE_WORDS for w in words)
+
+
 def _furniture(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
     """Whether an element is furniture by its name or because it is hidden, and whether its class, id or role says so."""
     if tag in DROPPED or (tag == "header" and not in_article):
@@ -68,11 +85,8 @@ def _furniture(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             return True, False
-        if tag not in ("html", "body", "article", "main") and not soft:
-            for token in value.split():  # each class on its own
-                words = [w.lower() for w in _WORD.findall(token)]
-                if words and words[0] not in STATES:
-                    soft |= any(w in FURNITURE for w in words) or (not in_article and any(w in HEADERS for w in words) and not any(w in ARTICLE_WORDS for w in words))
+        if tag not in ("html", "body", "main") and not soft:
+            soft = any(_is_furniture(token, in_article or tag == "article") for token in value.split())
     return False, soft
 
 
@@ -199,16 +213,31 @@ def parse(page: str) -> Node:
             stack.push(node)
 
 
+MARKS = frozenset("article main h1".split())
+
+
 def _skips(root: Node, by_class: bool) -> None:
-    """What is left out: hidden and named furniture, and that by class, if it holds no mark of the article itself."""
+    """What is left out: hidden and named furniture, and forms and furniture by class, unless they hold most of the page and the page has
+    no mark of an article outside of all that; furniture by class must then hold such a mark itself."""
     nodes = _order(root)
+    whole = next((x for x in nodes if x.tag == "body"), root).chars
+    covered: set[int] = set()  # inside or itself furniture of any kind
+    free = False  # a mark outside of it
+    for node in nodes:
+        node.skip = node.skip or (node.parent is not None and node.parent.skip)
+        if node.skip or node.soft or node.tag in FORMS or (node.parent is not None and id(node.parent) in covered):
+            covered.add(id(node))
+        elif node.tag in MARKS:
+            free = True
     marked: set[int] = set()
     for node in reversed(nodes):
-        if node.tag in ("article", "main", "h1") or any(id(x) in marked for x in node.children if isinstance(x, Node)):
+        if not node.skip and ((node.tag in MARKS and not node.soft) or any(id(x) in marked for x in node.children if isinstance(x, Node))):
             marked.add(id(node))
     for node in nodes:
-        soft = node.soft and by_class and id(node) not in marked
-        node.skip = node.skip or soft or (node.parent is not None and node.parent.skip)
+        layout = not free and 2 * node.chars >= whole
+        form = node.tag in FORMS and not layout
+        by_name = node.soft and by_class and not (layout and id(node) in marked)
+        node.skip = node.skip or form or by_name or (node.parent is not None and node.parent.skip)
 
 
 def _order(root: Node) -> list[Node]:
@@ -221,11 +250,10 @@ def _order(root: Node) -> list[Node]:
     return out
 
 
-def measure(root: Node) -> list[Node]:
-    """Fill in counts, densities and sums of densities, furniture at its face value."""
+def count(root: Node) -> list[Node]:
+    """Fill in the numbers of characters, tags, link characters and link tags below each node, furniture at its face value."""
     nodes = _order(root)
     for node in reversed(nodes):
-        link = node.tag == "a"
         for x in node.children:
             if isinstance(x, str):
                 node.chars += len("".join(x.split()))
@@ -234,16 +262,26 @@ def measure(root: Node) -> list[Node]:
                 node.tags += x.tags + 1
                 node.link_chars += x.link_chars
                 node.link_tags += x.link_tags + (x.tag == "a")
-        if link:
+        if node.tag == "a":
             node.link_chars = node.chars
-    body = next((x for x in nodes if x.tag == "body"), root)
+    return nodes
+
+
+def density(node: Node, share: float) -> float:
+    """Composite text density: characters a tag, less for links; ``share`` is the body's share of link characters."""
+    c, t, lc, lt = node.chars, max(1, node.tags), node.link_chars, max(1, node.link_tags)
+    if not c:
+        return 0.0
+    base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
+    return max(0.0, c / t * math.log(max(1.0, c / max(1, lc) * t / lt)) / max(1.0, math.log(base) if base > math.e else 1.0))
+
+
+def measure(nodes: list[Node]) -> list[Node]:
+    """Fill in densities and, over the children that are not left out, their sums."""
+    body = next((x for x in nodes if x.tag == "body"), nodes[0])
     share = body.link_chars / max(1, body.chars)
     for node in nodes:
-        c, t, lc, lt = node.chars, max(1, node.tags), node.link_chars, max(1, node.link_tags)
-        if c:
-            base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
-            node.density = c / t * math.log(max(1.0, c / max(1, lc) * t / lt)) / max(1.0, math.log(base) if base > math.e else 1.0)
-            node.density = max(node.density, 0.0)
+        node.density = density(node, share)
     for node in nodes:
         node.total = sum(x.density for x in node.children if isinstance(x, Node) and not x.skip)
     return nodes
@@ -261,10 +299,6 @@ def core(nodes: list[Node]) -> Node:
     while node is not None:
         path.append(node)
         node = node.parent
-    for landmark in ("article", "main"):
-        for x in reversed(path):
-            if x.tag == landmark:
-                return x
     for x in path[1:]:
         if x.tag in ("body", "html", "#root"):
             # text that stands in the body itself, or several bare blocks there, is the article
@@ -310,8 +344,9 @@ def main_text(page: str | None) -> str:
         return ""
     for by_class in (True, False):
         root = parse(page)
+        nodes = count(root)
         _skips(root, by_class)
-        text = "\n".join(blocks(core(measure(root))))
+        text = "\n".join(blocks(core(measure(nodes))))
         if text:
             return text
     return ""
