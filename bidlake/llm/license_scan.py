@@ -14,6 +14,7 @@ the id and text columns are read, so extra columns never clash.
 from __future__ import annotations
 
 import re
+from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -30,7 +31,7 @@ NOTICES = {
     "permission is hereby granted free of charge": "mit",
 }
 TAG = "spdx license identifier"
-# Families of identifiers by their beginnings, and how freely each may be reused (0 to 1).
+# Families of identifiers, and how freely each may be reused (0 to 1).
 FAMILIES = ("lgpl", "agpl", "gpl", "mit", "apache", "bsd", "mpl", "epl", "isc", "cc-by-nc", "cc-by-nd", "cc-by-sa", "cc-by", "cc0", "unlicense", "public-domain", "proprietary")
 FREEDOM = {"mit": 1.0, "apache": 1.0, "bsd": 1.0, "isc": 1.0, "cc0": 1.0, "unlicense": 1.0, "public-domain": 1.0, "cc-by": 0.9, "mpl": 0.6, "epl": 0.6, "lgpl": 0.5, "cc-by-sa": 0.5, "gpl": 0.3, "agpl": 0.2, "cc-by-nd": 0.2, "cc-by-nc": 0.1, "proprietary": 0.0}
 UNKNOWN = 0.1
@@ -46,9 +47,15 @@ OUTPUT = schema_of(
 )
 
 
+#: What may follow a family's name in an identifier: a version, the number of clauses, and how later versions count.
+IDENTIFIER = re.compile(rf"({'|'.join(sorted(FAMILIES, key=len, reverse=True))})(?:-v?[0-9]+(?:\.[0-9]+)*)?(?:-clause(?:-[a-z]+)*)?(?:-only|-or-later|\+)?")
+
+
 def family(identifier: str) -> str:
+    """The family of an identifier by its whole name and version; of an unknown one, itself in lower case."""
     low = identifier.lower()
-    return next((f for f in FAMILIES if low.startswith(f)), low)
+    m = IDENTIFIER.fullmatch(low)
+    return m[1] if m else low
 
 
 def to_rpn(text: str) -> list[str]:
@@ -110,11 +117,11 @@ def evaluate(rpn: list[str]) -> tuple[float, list[str]]:
     return stack[-1] if stack else (0.0, [])
 
 
-def _scanner():
+def _scanner(notices: dict[str, str]):
     import ahocorasick
 
     automaton = ahocorasick.Automaton()
-    for phrase, label in [*NOTICES.items(), (TAG, "")]:
+    for phrase, label in [*notices.items(), (TAG, "")]:
         automaton.add_word(f" {phrase} ", (len(phrase) + 2, label, False))
     for phrase, label in BASE.items():
         automaton.add_word(f" {phrase} ", (len(phrase) + 2, label, True))
@@ -158,8 +165,8 @@ def _scanner():
     return row
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: places and labels of the base phrases, all labels, ``score`` (how
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices: dict[str, str] = NOTICES) -> DataFrame:
+    """``notices`` are phrases (words in lower case, one space apart) beside the base ones, with their labels. One row per document: places and labels of the base phrases, all labels, ``score`` (how
     sure the licence is: 1 for a parsed tag, 0.9 for a base phrase, 0.6 for another notice),
     the tags' expressions in reverse Polish order and ``freedom``, the strictest of them."""
-    return map_rows(id_and_bytes(docs, id_col, text_col), _scanner, OUTPUT)
+    return map_rows(id_and_bytes(docs, id_col, text_col), partial(_scanner, notices), OUTPUT)

@@ -79,6 +79,21 @@ def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages")).drop("canonical", "blocked_by")
 
 
+def base3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op3: the base phrases."""
+    return op3_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def base5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op5: the known forms."""
+    return op5_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def base10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op10: counts and the base rules."""
+    return op10_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_text": op1_html_text,
@@ -94,6 +109,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op11_hard_negatives": op11_hard_negatives,
         "op12_ranked_search": op12_ranked_search,
         "op13_url_filter": op13_url_filter,
+        "base3_licenses": base3_licenses,
+        "base5_secrets": base5_secrets,
+        "base10_quality": base10_quality,
     }
 
 
@@ -166,5 +184,35 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('www.example.com/en/', 'com
 }
 
 
+SQL |= {
+    "base3_licenses": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT r, w, unnest(range(1, len(w))) AS i FROM d WHERE list_contains(w, 'license')),
+h AS (SELECT r, i, 'mit' AS label FROM p WHERE w[i] = 'mit' AND w[i + 1] = 'license' UNION ALL SELECT r, i, 'apache' FROM p WHERE w[i] = 'apache' AND w[i + 1] = 'license'
+ UNION ALL SELECT r, i, 'gpl' FROM p WHERE w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license'),
+g AS (SELECT r, count(*) AS n, min(i) - 1 AS a, max(i) - 1 AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM h GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, b AS last_word, coalesce(labels, '') AS base_labels FROM d LEFT JOIN g USING (r)""",
+    # The place of a match is the first one of its text after the match before: an earlier one would have matched itself.
+    "base5_secrets": r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT r, 'assign' AS kind, 1 AS o, t, regexp_extract_all(t, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS found FROM d
+ UNION ALL SELECT r, 'access', 2, t, regexp_extract_all(t, 'AKIA[A-Z0-9]+') FROM d UNION ALL SELECT r, 'hex', 3, t, regexp_extract_all(t, '[0-9a-f]{24,}') FROM d),
+
+s AS (SELECT r, kind, o, 0 AS k, 0 AS e, 0 AS b, t, found FROM m WHERE len(found) > 0
+ UNION ALL SELECT r, kind, o, k + 1, CAST(e + instr(substring(t, e + 1), found[k + 1]) - 1 + length(found[k + 1]) AS INTEGER), CAST(e + instr(substring(t, e + 1), found[k + 1]) - 1 AS INTEGER), t, found FROM s WHERE k < len(found)),
+x AS (SELECT r, kind, o, b, e FROM s WHERE k > 0 AND CASE o WHEN 1 THEN length(regexp_extract(found[k], '[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 6 WHEN 2 THEN e - b >= 20 ELSE true END),
+g AS (SELECT r, count(*) FILTER (o = 1) AS a, count(*) FILTER (o = 2) AS c, count(*) FILTER (o = 3) AS h, string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, o) AS spans FROM x GROUP BY 1)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN g USING (r)""",
+    "base10_quality": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT r, count(*) - count(DISTINCT line) AS dup FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+p AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS phrase FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) > 8)),
+c AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, phrase) AS n FROM p) WHERE n > 1),
+q AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS k FROM c) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(length(array_to_string(w, '')), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+ coalesce(dup, 0) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(w) < 20 OR 100 * coalesce(n, 0) > 30 * len(w) AS base_failed FROM d LEFT JOIN l USING (r) LEFT JOIN q USING (r)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
