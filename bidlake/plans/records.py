@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 
 from ..functions import dates, numbers, text
 from ..operators import aggregates as agg
-from ..operators import extraction, features, ml, normalization, workflow
+from ..operators import boxes, extraction, features, ml, normalization, workflow
 from ..sources import scans, sinks
 from ..sources.driver import Tables, with_tables
 from ..streaming import jobs
@@ -525,6 +525,17 @@ def _(t):
     return extraction.extract_header(t.suppliers.select("supplier_id", F.concat(F.lit("GST"), stuck).alias("text"))).select("supplier_id", "gst_number")
 
 
+@query("fn22_box_rows", """WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[^A-Za-z]+'), lambda x: x <> '') AS w FROM documents)
+SELECT doc_id, CAST(k AS INTEGER) AS line, array_to_string(w[8 * k + 1:8 * k + 8], '  ') AS text FROM (SELECT doc_id, w, unnest(range(0, CAST(ceil(len(w) / 8) AS BIGINT))) AS k FROM w)""")
+def _(t):
+    words = F.filter(F.split("text", "[^A-Za-z]+"), lambda x: x != "")
+    laid = t.raw("documents").select("doc_id", F.posexplode(words).alias("i", "text"))
+    # eight words a row, boxes 10 high, rows 12 apart, each box up to 4 lower than the row's first
+    down = F.floor(F.col("i") / 8) * 12 + F.when(F.col("i") % 8 == 0, 0).otherwise((F.col("i") * 7) % 5)
+    placed = laid.select("doc_id", "text", ((F.col("i") % 8) * 50).alias("x"), down.alias("y"), F.lit(10.0).alias("height"))
+    return boxes.text_rows(placed, "doc_id")
+
+
 @query("fn20_amounts", "SELECT o_orderkey, [CAST(round(o_totalprice * 100) AS BIGINT) / 100.0::DOUBLE, 18.0::DOUBLE] AS amounts FROM orders")
 def _(t):
     return t.raw("orders").select("o_orderkey", text.amounts_in(F.concat(F.lit("Rs. "), F.format_number("o_totalprice", 2), F.lit(" with 18 % tax"))).alias("amounts"))
