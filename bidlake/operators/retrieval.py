@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from . import sparse_search
+
 # Trade abbreviations, and the units that sizes are written in.
 ABBREVIATIONS = {
     "ms": "iron non-alloy steel", "mild steel": "iron non-alloy steel", "gi": "galvanised zinc coated iron non-alloy steel", "ss": "stainless steel",
@@ -69,12 +71,22 @@ def search(queries: DataFrame, corpus: DataFrame, k: int = 3, query_text: str =
     """DOM-20, TOP-4: the k documents with the largest cosine of each query, ties by document; cosines that agree to nine
     places are ties, as the order of a sum's terms may change the last ones.
 
-    One equi-join on the term, summed before ranking. With ``chars`` character n-grams stand beside words as a
+    Documents are scored where they lie (``sparse_search``), and the best of each task ranked; with more terms or queries than tasks
+    may hold, one equi-join on the term, summed before ranking, gives the same. Keys name one row each. With ``chars`` character n-grams stand beside words as a
     second block of the same weight; a text in which only one block has terms is scaled by that block alone.
     Documents that share no term with a query have the score 0 and no row. ``stop_words`` are left out of the word
     block; Spark's English list if not given.
     """
     stops = StopWordsRemover.loadDefaultStopWords("english") if stop_words is None else stop_words
+    scored = sparse_search.search(queries, corpus, k, query_text, doc_text, query_key, doc_key, chars, stops)
+    if scored is None:
+        scored = _joined(queries, corpus, query_text, doc_text, query_key, doc_key, chars, stops)
+    best = W.partitionBy(query_key).orderBy(F.round("score", 9).desc(), doc_key)
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def _joined(queries: DataFrame, corpus: DataFrame, query_text: str, doc_text: str, query_key: str, doc_key: str, chars: bool, stops: Sequence[str]) -> DataFrame:
+    """(query_key, doc_key, score) of all pairs that share a term, by a join."""
     n = corpus.count()
     parts, held = [], {query_key: [], doc_key: []}
     blocks = [(lambda *of: word_terms(*of, stops), 1)] + ([(char_terms, 2)] if chars else [])
@@ -93,8 +105,7 @@ def search(queries: DataFrame, corpus: DataFrame, k: int = 3, query_text: str =
     for key, found in held.items():
         counts = reduce(DataFrame.unionByName, found).groupBy(key).agg(F.count("*").alias("__blocks"))
         scored = scored.join(counts, key).select(query_key, doc_key, (F.col("score") / F.sqrt("__blocks")).alias("score"))
-    best = W.partitionBy(query_key).orderBy(F.round("score", 9).desc(), doc_key)
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return scored
 
 
 def decide(answers: DataFrame, top: DataFrame, master: DataFrame) -> DataFrame:

@@ -7,10 +7,12 @@ import re
 
 import pytest
 from pyspark.ml.feature import StopWordsRemover
+from pyspark.sql import functions as F
 
 from bidlake import registry
 from bidlake.functions import text
-from bidlake.operators import anomaly, matching, retrieval
+from bidlake.operators import anomaly, matching, retrieval, sparse_search
+from bidlake.plans import catalog
 
 
 def test_newest_prices_up_to_the_limit(spark, small):
@@ -99,8 +101,33 @@ def test_search_scores_words_and_characters(spark):
 
 
 def test_retrieval_query_uses_both_blocks(spark, small):
-    plan = registry.queries()["dom20_retrieval"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
-    assert "substring" in plan or "substr(" in plan
+    """Scores of the query are those of words and characters together, and not those of words alone."""
+    q = spark.read.parquet(f"{small}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    d = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    rows = lambda df: {(r.query_id, r["rank"]): (r.doc_id, round(r.score, 6)) for r in df.collect()}
+    got = rows(registry.queries()["dom20_retrieval"](spark, small))
+    both, words = (rows(retrieval.search(q, d, chars=chars, stop_words=catalog.STOP_WORDS)) for chars in (True, False))
+    assert got == both != words
+
+
+def test_retrieval_with_and_without_joins(spark, small, monkeypatch):
+    """The same rows from one matrix, from several tiles of queries, and from the join beyond the bounds; ties and odd texts too."""
+    q = spark.read.parquet(f"{small}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text").limit(12)
+    extra = [(10_001, None), (10_002, ""), (10_003, "!!"), (10_004, "zz"), (10_005, "ßtraße ÉTÉ ﬁ"), (10_006, "word " * 3000)]
+    d = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    first = d.orderBy("doc_id").first()
+    d = d.unionByName(spark.createDataFrame(extra + [(20_000 + k, first.text) for k in range(5)], d.schema))
+    q = q.unionByName(spark.createDataFrame([(900, "zz ÉTÉ"), (901, None), (902, first.text)], q.schema))
+    rows = lambda chars: sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 9)) for r in retrieval.search(q, d, chars=chars).collect())
+    for chars in (True, False):
+        want = rows(chars)
+        with monkeypatch.context() as m:
+            m.setattr(sparse_search, "MAX_CELLS", 12_000 if chars else 2_000)
+            m.setattr(sparse_search, "MAX_PASSES", 20)
+            assert rows(chars) == want
+        with monkeypatch.context() as m:
+            m.setattr(sparse_search, "MAX_TERMS", 0)
+            assert rows(chars) == want
 
 
 def test_bounds_hold_and_leave_pairs_unscored(spark):
