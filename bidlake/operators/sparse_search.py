@@ -34,7 +34,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Terms:
     """The hashed terms of a text: of block 0 its words and neighbouring pairs, of block 1 n-grams of characters inside its padded words."""
 
-    def __init__(self):
+    def __init__(self, chars: bool):
+        self.chars = chars
         self.words: dict[str, int] = {}
         self.grams: dict[str, np.ndarray] = {}
 
@@ -68,7 +69,7 @@ class Terms:
             h = np.array([self._word(w) for w in words], dtype=np.uint64)
             pairs = _mix(h[:-1] * np.uint64(3) + _mix(h[1:])) if len(h) > 1 else h[:0]
         blocks = [np.concatenate([h, pairs])]
-        if tokens is not None:
+        if self.chars:
             blocks.append(np.concatenate([self._grams(w) for w in tokens]) if tokens else h[:0])
         return [np.unique(b, return_counts=True) for b in blocks]
 
@@ -90,12 +91,12 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 COUNTS = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("n", T.LongType())])
 
 
-def document_counts(corpus: DataFrame) -> DataFrame:
+def document_counts(corpus: DataFrame, chars: bool) -> DataFrame:
     """(block, h, df) of ``tokens``."""
     arrow = to_arrow_schema(COUNTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, held, size = Terms(), {}, 0
+        terms, held, size = Terms(chars), {}, 0
 
         def give():
             for block, parts in held.items():
@@ -162,13 +163,13 @@ class Matrix:
         return total / held
 
 
-def best(corpus: DataFrame, matrix, n_queries: int, k: int, key_type: T.DataType) -> DataFrame:
+def best(corpus: DataFrame, matrix, n_queries: int, k: int, key_type: T.DataType, chars: bool) -> DataFrame:
     """(query, key, score): of each query the k best documents of each task; ``matrix`` is a broadcast variable."""
     schema = T.StructType([T.StructField("query", T.IntegerType()), T.StructField("key", key_type), T.StructField("score", T.DoubleType())])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, held = Terms(), matrix.value
+        terms, held = Terms(chars), matrix.value
         floor, kept = np.zeros(n_queries), [[] for _ in range(n_queries)]
         for key, words, spaced in _rows(batches):
             s = held.scores(terms.of(words or [], spaced))
@@ -195,7 +196,7 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, query_text: str, doc_t
     if len(asked) > MAX_CELLS // 100:
         return None
     rows = tokens(corpus, doc_key, doc_text, stop_words, chars)
-    counts = document_counts(rows).where("df > block").persist()  # a gram of characters counts from two documents on
+    counts = document_counts(rows, chars).where("df > block").persist()  # a gram of characters counts from two documents on
     try:
         if counts.count() > MAX_TERMS:
             return None
@@ -204,7 +205,7 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, query_text: str, doc_t
         counts.unpersist()
     block, h, df = (found[c].to_numpy() for c in ("block", "h", "df"))
     matrix = Matrix(corpus.count(), [(h[block == b].view(np.uint64), df[block == b]) for b in range(kinds)])
-    terms = Terms()
+    terms = Terms(chars)
     weighed = [matrix.weigh(terms.of(r.words or [], r.tokens)) for r in asked]
     tiles, at = [], 0
     while at < len(weighed):  # as many queries at a time as a matrix may hold
@@ -223,7 +224,7 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, query_text: str, doc_t
     query_type = queries.schema[query_key].dataType.simpleString()
     for low, high in tiles:
         matrix.hold(weighed[low:high])
-        part = best(rows, spark.sparkContext.broadcast(matrix), high - low, k, key_type)
+        part = best(rows, spark.sparkContext.broadcast(matrix), high - low, k, key_type, chars)
         names = spark.createDataFrame([(j - low, asked[j].key) for j in range(low, high)], f"query int, name {query_type}")
         part = part.join(F.broadcast(names), "query").select(F.col("name").alias(query_key), F.col("key").alias(doc_key), "score")
         out = part if out is None else out.unionByName(part)
