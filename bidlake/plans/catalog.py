@@ -276,10 +276,10 @@ def _(t):
     return h.join(m, "item").select("item", "unit_price", ratio.alias("ratio")).orderBy(F.desc(F.abs(F.ln("ratio"))), "item", "unit_price").limit(10)
 
 
-@query("src08_newest_prices", H + """SELECT item, order_id, line, unit_price FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY created_at DESC, order_id, line, unit_price, supplier_id) AS k FROM price_history) WHERE k <= 100""")
+@query("src08_newest_prices", H + """SELECT item, order_id, line, unit_price FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY created_at DESC, order_id, line, unit_price, supplier_id) AS k FROM price_history) WHERE k <= 1000""")
 def _(t):
-    w = W.partitionBy("item").orderBy(F.desc("created_at"), "order_id", "line", "unit_price", "supplier_id")
-    return t.price_history.withColumn("k", F.row_number().over(w)).where(F.col("k") <= anomaly.NEWEST_PRICES).select("item", "order_id", "line", "unit_price")
+    ranked = t.price_history.withColumn("place", F.struct("order_id", "line", "unit_price", "supplier_id"))
+    return scans.newest_per(ranked, "item", "created_at", anomaly.NEWEST_PRICES, "place").select("item", "order_id", "line", "unit_price")
 
 
 @query("set02_signatures", "SELECT p_partkey, list_sort(list_distinct(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' '))) AS tokens FROM part")
