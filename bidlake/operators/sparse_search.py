@@ -2,7 +2,8 @@
 
 Terms go by 64-bit hashes. One pass over the corpus counts the documents of each term, added up in each task before the
 shuffle; the second scores each document against all queries at once, by the rows of a dense matrix (terms of the
-queries by queries), and keeps the best of each query in each task. So what is shuffled are counts of terms and k rows a
+queries by queries), and keeps the best of each query in each task. Words and pairs that one document alone holds all weigh
+the same, so tasks hold only those of two documents or more and the queries' own. So what is shuffled are counts of terms and k rows a
 query and task, whatever the number of documents that share a common term. Two terms with one hash would count as
 one: with a million terms the chance is under one in ten million.
 """
@@ -13,66 +14,71 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Terms whose document counts tasks hold, cells of the queries' matrix, and passes over the corpus; beyond them terms are joined.
-MAX_TERMS, MAX_CELLS, MAX_PASSES = 4_000_000, 8_000_000, 8
-#: Words whose terms a task remembers, and hashes that it gathers before it adds them up.
+MAX_TERMS, MAX_CELLS, MAX_PASSES = 6_000_000, 8_000_000, 8
+#: Words that a task remembers, and hashes that it gathers before it adds them up.
 REMEMBERED, GATHERED = 200_000, 2_000_000
 LOW, HIGH = 3, 5
 
 
+#: Odd multipliers of neighbouring characters.
+_STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
+    """A bijective scrambling of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(32))) * _STEPS[3]
+    x = (x ^ (x >> np.uint64(29))) * _STEPS[4]
+    return x ^ (x >> np.uint64(32))
 
 
-class Terms:
-    """The hashed terms of a text: of block 0 its words and neighbouring pairs, of block 1 n-grams of characters inside its padded words."""
+class Words(dict):
+    """word -> hash, remembered up to a number of words."""
 
-    def __init__(self, chars: bool):
-        self.chars = chars
-        self.words: dict[str, int] = {}
-        self.grams: dict[str, np.ndarray] = {}
-
-    def _word(self, w: str) -> int:
-        from xxhash import xxh3_64_intdigest
-
-        h = self.words.get(w)
-        if h is None:
-            if len(self.words) >= REMEMBERED:
-                self.words.clear()
-            h = self.words[w] = xxh3_64_intdigest(w.encode())
+    def __missing__(self, w: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        h = xxhash.xxh3_64_intdigest(w.encode())
+        if len(w) <= 64:
+            self[w] = h
         return h
 
-    def _grams(self, w: str) -> np.ndarray:
-        from xxhash import xxh3_64_intdigest
 
-        found = self.grams.get(w)
-        if found is None:
-            padded = f" {w} "
-            parts = [padded[i : i + n] for n in range(LOW, HIGH + 1) for i in range(len(padded) - n + 1)]
-            found = np.array([xxh3_64_intdigest(p.encode(), seed=1) for p in parts], dtype=np.uint64)
-            if len(w) <= 64:
-                if len(self.grams) >= REMEMBERED:
-                    self.grams.clear()
-                self.grams[w] = found
-        return found
+class Terms:
+    """The hashed terms of a text: of block 0 its words and neighbouring pairs, of block 1 n-grams of characters inside its padded words."""
+
+    def __init__(self, chars: bool):
+        self.chars, self.words = chars, Words()
 
     def of(self, words: list[str], tokens: list[str] | None) -> list[tuple[np.ndarray, np.ndarray]]:
         """(distinct hashes, counts) of each block."""
-        with np.errstate(over="ignore"):
-            h = np.array([self._word(w) for w in words], dtype=np.uint64)
-            pairs = _mix(h[:-1] * np.uint64(3) + _mix(h[1:])) if len(h) > 1 else h[:0]
+        h = np.fromiter(map(self.words.__getitem__, words), dtype=np.uint64, count=len(words))
+        pairs = _mix(h[:-1] * _STEPS[0] + _mix(h[1:]))
         blocks = [np.concatenate([h, pairs])]
         if self.chars:
-            blocks.append(np.concatenate([self._grams(w) for w in tokens]) if tokens else h[:0])
+            blocks.append(self.grams(tokens) if tokens else h[:0])
         return [np.unique(b, return_counts=True) for b in blocks]
 
+    @staticmethod
+    def grams(tokens: list[str]) -> np.ndarray:
+        """Hashes of all n-grams inside the tokens, each with a space on both sides."""
+        c = _mix(np.frombuffer(f" {'  '.join(tokens)} ".encode("utf-32-le"), dtype="<u4").astype(np.uint64) + np.uint64(1))
+        owner = np.repeat(np.arange(len(tokens)), [len(w) + 2 for w in tokens])
+        out = []
+        for n in range(LOW, HIGH + 1):
+            inside = np.flatnonzero(owner[: 1 - n] == owner[n - 1 :])
+            total = np.full(len(inside), n, dtype=np.uint64)
+            for j in range(n):
+                total += c[inside + j] * _STEPS[j]
+            out.append(_mix(total))
+        return np.concatenate(out)
+
 
 def tokens(df: DataFrame, key: str, text: str, stop_words: Sequence[str], chars: bool) -> DataFrame:
     """(key, words, tokens): what both blocks are made of."""
@@ -121,20 +127,27 @@ class Matrix:
     """Weights of all terms and of the queries, as tasks hold them."""
 
     def __init__(self, n_docs: int, counts: list[tuple[np.ndarray, np.ndarray]]):
-        self.hashes, self.idf = [], []
+        self.hashes, self.idf, self.counted = [], [], [False] * len(counts)
+        self.alone = np.log((1.0 + n_docs) / 2.0) + 1
         for h, df in counts:
             order = np.argsort(h)
             self.hashes.append(h[order])
             self.idf.append(np.log((1.0 + n_docs) / (1.0 + df[order])) + 1)
 
-    def weigh(self, blocks: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(places in the list of hashes, weights of length 1) of each block; empty where nothing is known."""
+    def weigh(self, blocks: list[tuple[np.ndarray, np.ndarray]], stored: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(places in the list of hashes, weights of a vector of length 1) of each block; empty where nothing counts. In a ``stored`` document a
+        word or pair that is not in the list is its own alone; elsewhere it is unknown."""
         out = []
-        for (h, n), known, idf in zip(blocks, self.hashes, self.idf, strict=True):
-            at = np.searchsorted(known, h)
-            there = np.flatnonzero((at < len(known)) & (known[np.minimum(at, max(0, len(known) - 1))] == h)) if len(known) else np.zeros(0, dtype=np.int64)
+        for block, ((h, n), known, idf) in enumerate(zip(blocks, self.hashes, self.idf, strict=True)):
+            at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+            there = known[at] == h if len(known) else np.zeros(len(h), dtype=bool)
             w = (1 + np.log(n[there])) * idf[at[there]]
-            out.append((at[there], w / np.sqrt((w * w).sum()) if len(w) else w))
+            total = (w * w).sum()
+            if stored and not block:
+                own = (1 + np.log(n[~there])) * self.alone
+                total += (own * own).sum()
+            out.append((at[there], w / np.sqrt(total) if len(w) else w))
+            self.counted[block] = total > 0
         return out
 
     def hold(self, queries: list[list[tuple[np.ndarray, np.ndarray]]]) -> None:
@@ -152,8 +165,8 @@ class Matrix:
             self.dense.append(dense)
 
     def scores(self, blocks: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        weighed = self.weigh(blocks)
-        held = np.sqrt(max(1, sum(len(w) > 0 for _, w in weighed)))
+        weighed = self.weigh(blocks, True)
+        held = np.sqrt(max(1, sum(self.counted)))
         total = np.zeros(self.dense[0].shape[1])
         for (at, w), rows, dense in zip(weighed, self.rows, self.dense, strict=True):
             r = rows[at]
@@ -196,7 +209,11 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, query_text: str, doc_t
     if len(asked) > MAX_CELLS // 100:
         return None
     rows = tokens(corpus, doc_key, doc_text, stop_words, chars)
-    counts = document_counts(rows, chars).where("df > block").persist()  # a gram of characters counts from two documents on
+    terms = Terms(chars)
+    blocks = [terms.of(r.words or [], r.tokens) for r in asked]
+    own = np.unique(np.concatenate([b[0][0] for b in blocks])).view(np.int64) if blocks else np.zeros(0, dtype=np.int64)
+    mine = F.broadcast(spark.createDataFrame([(int(h), True) for h in own], "h long, mine boolean"))
+    counts = document_counts(rows, chars).join(mine, "h", "left").where("df > 1 or (block = 0 and mine)").select("block", "h", "df").persist()
     try:
         if counts.count() > MAX_TERMS:
             return None
@@ -205,8 +222,7 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, query_text: str, doc_t
         counts.unpersist()
     block, h, df = (found[c].to_numpy() for c in ("block", "h", "df"))
     matrix = Matrix(corpus.count(), [(h[block == b].view(np.uint64), df[block == b]) for b in range(kinds)])
-    terms = Terms(chars)
-    weighed = [matrix.weigh(terms.of(r.words or [], r.tokens)) for r in asked]
+    weighed = [matrix.weigh(b, False) for b in blocks]
     tiles, at = [], 0
     while at < len(weighed):  # as many queries at a time as a matrix may hold
         size = 1
