@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import dates, numbers, text
+from ..functions import sql as sql_functions
 from ..operators import aggregates as agg
 from ..operators import boxes, extraction, features, ml, normalization, workflow
 from ..sources import scans, sinks
 from ..sources.driver import Tables, with_tables
 from ..streaming import jobs
-from .catalog import query
+from .catalog import SQL, query
 
 PO, Q, D, R = with_tables("purchase_orders"), with_tables("quotations"), with_tables("deliveries"), with_tables("requests")
 
@@ -76,6 +77,14 @@ def _(t):
     return _numbered(extraction.text_items(_texts(t)), F.try_element_at("attributes", F.lit("_rejected_gst_value")).alias("rejected"))
 
 
+@query("udtf_text_items", SQL["dom03_text_items"])
+def _(t):
+    sql_functions.register(t.spark)
+    _texts(t).createOrReplaceTempView("bidlake_quotation_texts")
+    rows = t.spark.sql("SELECT q.order_id, i.* FROM bidlake_quotation_texts q, LATERAL text_items(q.text) i")
+    return _numbered(rows, F.try_element_at("attributes", F.lit("_rejected_gst_value")).alias("rejected"))
+
+
 def _numbered(rows: DataFrame, extra: Column) -> DataFrame:
     """Item rows with lines counted from 1 among the items of an order."""
     number = F.row_number().over(W.partitionBy("order_id").orderBy("line"))
