@@ -1,8 +1,7 @@
 """The sums of DOM-20 without a shuffle of terms (JOIN-13).
 
 Terms go by 64-bit hashes. One pass over the corpus counts the documents of each term, added up in each task before the
-shuffle; the second scores each document against all queries at once, by the rows of a dense matrix (terms of the
-queries by queries), and keeps the best of each query in each task. Words and pairs that one document alone holds all weigh
+shuffle; the second scores each document against all queries at once, by lists of the queries of each term, and keeps the best of each query in each task. Words and pairs that one document alone holds all weigh
 the same, so tasks hold only those of two documents or more and the queries' own. So what is shuffled are counts of terms and k rows a
 query and task, whatever the number of documents that share a common term. Two terms with one hash would count as
 one: with a million terms the chance is under one in ten million.
@@ -20,8 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Terms whose document counts tasks hold, cells of the queries' matrix, and passes over the corpus; beyond them terms are joined.
-MAX_TERMS, MAX_CELLS, MAX_PASSES = 6_000_000, 8_000_000, 8
+#: Terms whose document counts tasks hold, queries, and terms of queries with repeats; beyond them terms are joined.
+MAX_TERMS, MAX_QUERIES, MAX_ENTRIES = 6_000_000, 20_000, 4_000_000
 #: Words that a task remembers, and hashes that it gathers before it adds them up.
 REMEMBERED, GATHERED = 200_000, 2_000_000
 LOW, HIGH = 3, 5
@@ -58,12 +57,16 @@ class Terms:
 
     def of(self, words: list[str], tokens: list[str] | None) -> list[tuple[np.ndarray, np.ndarray]]:
         """(distinct hashes, counts) of each block."""
+        return [np.unique(b, return_counts=True) for b in self.all(words, tokens)]
+
+    def all(self, words: list[str], tokens: list[str] | None) -> list[np.ndarray]:
+        """The hashes of each block, with repeats."""
         h = np.fromiter(map(self.words.__getitem__, words), dtype=np.uint64, count=len(words))
         pairs = _mix(h[:-1] * _STEPS[0] + _mix(h[1:]))
         blocks = [np.concatenate([h, pairs])]
         if self.chars:
             blocks.append(self.grams(tokens) if tokens else h[:0])
-        return [np.unique(b, return_counts=True) for b in blocks]
+        return blocks
 
     @staticmethod
     def grams(tokens: list[str]) -> np.ndarray:
@@ -72,11 +75,11 @@ class Terms:
         owner = np.repeat(np.arange(len(tokens)), [len(w) + 2 for w in tokens])
         out = []
         for n in range(LOW, HIGH + 1):
-            inside = np.flatnonzero(owner[: 1 - n] == owner[n - 1 :])
+            inside = owner[: 1 - n] == owner[n - 1 :]
             total = np.full(len(inside), n, dtype=np.uint64)
             for j in range(n):
-                total += c[inside + j] * _STEPS[j]
-            out.append(_mix(total))
+                total += c[j : j + len(inside)] * _STEPS[j]
+            out.append(_mix(total[inside]))
         return np.concatenate(out)
 
 
@@ -111,8 +114,9 @@ def document_counts(corpus: DataFrame, chars: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), block, dtype=np.int32)), pa.array(h.view(np.int64)), pa.array(n)], schema=arrow)
 
         for _, words, spaced in _rows(batches):
-            for block, (h, _) in enumerate(terms.of(words or [], spaced)):
+            for block, h in enumerate(terms.all(words or [], spaced)):
                 if len(h):
+                    h = np.unique(h, sorted=False)
                     held.setdefault(block, []).append((h, np.ones(len(h))))
                     size += len(h)
             if size >= GATHERED:
@@ -123,66 +127,72 @@ def document_counts(corpus: DataFrame, chars: bool) -> DataFrame:
     return corpus.mapInArrow(run, COUNTS).groupBy("block", "h").agg(F.sum("n").alias("df"))
 
 
-class Matrix:
-    """Weights of all terms and of the queries, as tasks hold them."""
+class Weights:
+    """Document counts of terms, and the queries' weights by term, as tasks hold them."""
 
     def __init__(self, n_docs: int, counts: list[tuple[np.ndarray, np.ndarray]]):
-        self.hashes, self.idf, self.counted = [], [], [False] * len(counts)
-        self.alone = np.log((1.0 + n_docs) / 2.0) + 1
-        for h, df in counts:
-            order = np.argsort(h)
-            self.hashes.append(h[order])
-            self.idf.append(np.log((1.0 + n_docs) / (1.0 + df[order])) + 1)
-
-    def weigh(self, blocks: list[tuple[np.ndarray, np.ndarray]], stored: bool) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(places in the list of hashes, weights of a vector of length 1) of each block; empty where nothing counts. In a ``stored`` document a
+        self.n_docs = n_docs
+        order = [np.argsort(h) for h, _ in counts]
+        self.hashes = [h[k] for k, (h, _) in zip(order, counts, strict=True)]
+        self.df = [df[k].astype(np.int32 if n_docs < 2**31 else np.int64) for k, (_, df) in zip(order, counts, strict=True)]
+
+    def idf(self, df: np.ndarray | int) -> np.ndarray:
+        return np.log((1.0 + self.n_docs) / (1.0 + df)) + 1
+
+    def weigh(self, blocks: list[tuple[np.ndarray, np.ndarray]], stored: bool) -> list[tuple[np.ndarray, np.ndarray, bool]]:
+        """(places in the list of hashes, weights of a vector of length 1, whether anything counts) of each block. In a ``stored`` document a
         word or pair that is not in the list is its own alone; elsewhere it is unknown."""
         out = []
-        for block, ((h, n), known, idf) in enumerate(zip(blocks, self.hashes, self.idf, strict=True)):
+        for block, ((h, n), known, df) in enumerate(zip(blocks, self.hashes, self.df, strict=True)):
             at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
             there = known[at] == h if len(known) else np.zeros(len(h), dtype=bool)
-            w = (1 + np.log(n[there])) * idf[at[there]]
+            w = (1 + np.log(n[there])) * self.idf(df[at[there]])
             total = (w * w).sum()
             if stored and not block:
-                own = (1 + np.log(n[~there])) * self.alone
+                own = (1 + np.log(n[~there])) * self.idf(1)
                 total += (own * own).sum()
-            out.append((at[there], w / np.sqrt(total) if len(w) else w))
-            self.counted[block] = total > 0
+            out.append((at[there], w / np.sqrt(total) if len(w) else w, bool(total > 0)))
         return out
 
-    def hold(self, queries: list[list[tuple[np.ndarray, np.ndarray]]]) -> None:
-        """The queries' weights as a dense matrix a block, a row a term that some query has."""
-        held = np.sqrt([max(1, sum(len(w) > 0 for _, w in q)) for q in queries])
-        self.rows, self.dense = [], []
-        for block, known in enumerate(self.hashes):
-            used = np.unique(np.concatenate([q[block][0] for q in queries])).astype(np.int64) if queries else np.zeros(0, dtype=np.int64)
-            rows = np.full(len(known), -1, dtype=np.int32)
-            rows[used] = np.arange(len(used))
-            dense = np.zeros((len(used), len(queries)))
-            for j, q in enumerate(queries):
-                dense[rows[q[block][0]], j] = q[block][1] / held[j]
-            self.rows.append(rows)
-            self.dense.append(dense)
+    def hold(self, queries: list[list[tuple[np.ndarray, np.ndarray, bool]]]) -> None:
+        """The queries' weights by term: places of the terms that some query has, and for each the queries and their weights."""
+        self.n_queries = len(queries)
+        held = np.sqrt([max(1, sum(some for *_, some in q)) for q in queries])
+        self.used, self.starts, self.query, self.weight = [], [], [], []
+        for block in range(len(self.hashes)):
+            place = np.concatenate([q[block][0] for q in queries]).astype(np.int64)
+            query = np.repeat(np.arange(len(queries), dtype=np.int32), [len(q[block][0]) for q in queries])
+            weight = np.concatenate([q[block][1] / x for q, x in zip(queries, held, strict=True)])
+            order = np.argsort(place, kind="stable")
+            used, first = np.unique(place[order], return_index=True)
+            self.used.append(used)
+            self.starts.append(np.append(first, len(place)))
+            self.query.append(query[order])
+            self.weight.append(weight[order])
 
     def scores(self, blocks: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         weighed = self.weigh(blocks, True)
-        held = np.sqrt(max(1, sum(self.counted)))
-        total = np.zeros(self.dense[0].shape[1])
-        for (at, w), rows, dense in zip(weighed, self.rows, self.dense, strict=True):
-            r = rows[at]
-            mine = r >= 0
-            if mine.any():
-                total += w[mine] @ dense[r[mine]]
+        held = np.sqrt(max(1, sum(some for *_, some in weighed)))
+        total = np.zeros(self.n_queries)
+        for (at, w, _), used, starts, query, weight in zip(weighed, self.used, self.starts, self.query, self.weight, strict=True):
+            if not len(used) or not len(at):
+                continue
+            k = np.minimum(np.searchsorted(used, at), len(used) - 1)
+            mine = used[k] == at
+            k, w = k[mine], w[mine]
+            sizes = starts[k + 1] - starts[k]
+            entries = np.repeat(starts[k] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            total += np.bincount(query[entries], weights=np.repeat(w, sizes) * weight[entries], minlength=self.n_queries)
         return total / held
 
 
-def best(corpus: DataFrame, matrix, n_queries: int, k: int, key_type: T.DataType, chars: bool) -> DataFrame:
-    """(query, key, score): of each query the k best documents of each task; ``matrix`` is a broadcast variable."""
+def best(corpus: DataFrame, weights, n_queries: int, k: int, key_type: T.DataType, chars: bool) -> DataFrame:
+    """(query, key, score): of each query the k best documents of each task; ``weights`` is a broadcast variable."""
     schema = T.StructType([T.StructField("query", T.IntegerType()), T.StructField("key", key_type), T.StructField("score", T.DoubleType())])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, held = Terms(chars), matrix.value
+        terms, held = Terms(chars), weights.value
         floor, kept = np.zeros(n_queries), [[] for _ in range(n_queries)]
         for key, words, spaced in _rows(batches):
             s = held.scores(terms.of(words or [], spaced))
@@ -205,12 +215,14 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, query_text: str, doc_t
     """(query_key, doc_key, score): candidates that hold the k best documents of each query; None if a bound is passed."""
     spark = corpus.sparkSession
     kinds = 2 if chars else 1
-    asked = tokens(queries, query_key, query_text, stop_words, chars).take(MAX_CELLS // 100 + 1)
-    if len(asked) > MAX_CELLS // 100:
+    asked = tokens(queries, query_key, query_text, stop_words, chars).take(MAX_QUERIES + 1)
+    if len(asked) > MAX_QUERIES:
         return None
     rows = tokens(corpus, doc_key, doc_text, stop_words, chars)
     terms = Terms(chars)
     blocks = [terms.of(r.words or [], r.tokens) for r in asked]
+    if sum(len(h) for b in blocks for h, _ in b) > MAX_ENTRIES:
+        return None
     own = np.unique(np.concatenate([b[0][0] for b in blocks])).view(np.int64) if blocks else np.zeros(0, dtype=np.int64)
     mine = F.broadcast(spark.createDataFrame([(int(h), True) for h in own], "h long, mine boolean"))
     counts = document_counts(rows, chars).join(mine, "h", "left").where("df > 1 or (block = 0 and mine)").select("block", "h", "df").persist()
@@ -221,27 +233,11 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, query_text: str, doc_t
     finally:
         counts.unpersist()
     block, h, df = (found[c].to_numpy() for c in ("block", "h", "df"))
-    matrix = Matrix(corpus.count(), [(h[block == b].view(np.uint64), df[block == b]) for b in range(kinds)])
-    weighed = [matrix.weigh(b, False) for b in blocks]
-    tiles, at = [], 0
-    while at < len(weighed):  # as many queries at a time as a matrix may hold
-        size = 1
-        used = [set(w[0].tolist()) for w in weighed[at]]
-        while at + size < len(weighed):
-            more = [u | set(w[0].tolist()) for u, w in zip(used, weighed[at + size], strict=True)]
-            if (size + 1) * sum(map(len, more)) > MAX_CELLS:
-                break
-            used, size = more, size + 1
-        tiles.append((at, at + size))
-        at += size
-    if len(tiles) > MAX_PASSES:
-        return None
-    out, key_type = None, corpus.schema[doc_key].dataType
-    query_type = queries.schema[query_key].dataType.simpleString()
-    for low, high in tiles:
-        matrix.hold(weighed[low:high])
-        part = best(rows, spark.sparkContext.broadcast(matrix), high - low, k, key_type, chars)
-        names = spark.createDataFrame([(j - low, asked[j].key) for j in range(low, high)], f"query int, name {query_type}")
-        part = part.join(F.broadcast(names), "query").select(F.col("name").alias(query_key), F.col("key").alias(doc_key), "score")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], T.StructType([T.StructField(query_key, queries.schema[query_key].dataType), T.StructField(doc_key, key_type), T.StructField("score", T.DoubleType())]))
+    weights = Weights(corpus.count(), [(h[block == b].view(np.uint64), df[block == b]) for b in range(kinds)])
+    key_type, query_type = corpus.schema[doc_key].dataType, queries.schema[query_key].dataType
+    if not asked:
+        return spark.createDataFrame([], T.StructType([T.StructField(query_key, query_type), T.StructField(doc_key, key_type), T.StructField("score", T.DoubleType())]))
+    weights.hold([weights.weigh(b, False) for b in blocks])
+    part = best(rows, spark.sparkContext.broadcast(weights), len(asked), k, key_type, chars)
+    names = spark.createDataFrame([(j, r.key) for j, r in enumerate(asked)], f"query int, name {query_type.simpleString()}")
+    return part.join(F.broadcast(names), "query").select(F.col("name").alias(query_key), F.col("key").alias(doc_key), "score")

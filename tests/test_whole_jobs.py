@@ -111,7 +111,7 @@ def test_retrieval_query_uses_both_blocks(spark, small):
 
 
 def test_retrieval_with_and_without_joins(spark, small, monkeypatch):
-    """The same rows from one matrix, from several tiles of queries, and from the join beyond the bounds; ties and odd texts too."""
+    """The same rows from documents where they lie and from the join beyond each bound; ties and odd texts too."""
     q = spark.read.parquet(f"{small}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text").limit(12)
     extra = [(10_001, None), (10_002, ""), (10_003, "!!"), (10_004, "zz"), (10_005, "ßtraße ÉTÉ ﬁ"), (10_006, "word " * 3000)]
     d = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
@@ -121,13 +121,13 @@ def test_retrieval_with_and_without_joins(spark, small, monkeypatch):
     rows = lambda chars: sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 9)) for r in retrieval.search(q, d, chars=chars).collect())
     for chars in (True, False):
         want = rows(chars)
-        with monkeypatch.context() as m:
-            m.setattr(sparse_search, "MAX_CELLS", 12_000 if chars else 2_000)
-            m.setattr(sparse_search, "MAX_PASSES", 20)
-            assert rows(chars) == want
         with monkeypatch.context() as m:
             m.setattr(sparse_search, "MAX_TERMS", 0)
             assert rows(chars) == want
+    for bound in ("MAX_QUERIES", "MAX_ENTRIES"):
+        with monkeypatch.context() as m:
+            m.setattr(sparse_search, bound, 3)
+            assert rows(False) == want
 
 
 def test_bounds_hold_and_leave_pairs_unscored(spark):
