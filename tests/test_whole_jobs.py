@@ -1,10 +1,12 @@
 """Queries do their whole job: nothing is left out of the tables, no candidate goes unscored."""
 
 import collections
+import datetime as dt
 import math
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import functions as F
@@ -167,3 +169,25 @@ def test_one_forest_scores_all_candidates(spark):
         got = [(r.item, str(r.price), r.status, r.score) for r in anomaly.forest_status(c, h, chunk=chunk).collect()]
         assert sorted(map(str, got)) == sorted(map(str, want))
     assert {r[2] for r in want} == {None, "NORMAL", "POSSIBLE_ANOMALY", "HIGH_ANOMALY"}
+
+
+def _shared_numbers(spark, folder):
+    """Lines of two suppliers whose quotations have one number, as from a million orders on; the first order has two lines."""
+    at = dt.datetime(2024, 1, 1)
+    line = lambda order, supplier, number: (order, 1, supplier, number, 1.0, 10.0, 0.0, 0.0, "N", "O", at)
+    rows = [line(1, 2, 1), line(1, 2, 2), line(1_000_001, 1, 1), line(3, 4, 1), line(3, 4, 2), line(2_000_003, 2, 1)]
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/lineitem.parquet")
+    return str(folder)
+
+
+def _by_sql(name, folder):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{folder}/lineitem.parquet/*.parquet'")
+    return sorted(con.execute(registry.oracle_sql()[name]).fetchall(), key=str)
+
+
+def test_awards_of_suppliers_that_share_a_number(spark, tmp_path):
+    folder = _shared_numbers(spark, tmp_path)
+    got = [(r.quotation_id, r.error) for r in registry.queries()["fil13_award_guard"](spark, folder).collect()]
+    assert sorted(got, key=str) == _by_sql("fil13_award_guard", folder) and len(got) == 4
