@@ -191,3 +191,9 @@ def test_awards_of_suppliers_that_share_a_number(spark, tmp_path):
     folder = _shared_numbers(spark, tmp_path)
     got = [(r.quotation_id, r.error) for r in registry.queries()["fil13_award_guard"](spark, folder).collect()]
     assert sorted(got, key=str) == _by_sql("fil13_award_guard", folder) and len(got) == 4
+
+
+def test_comparison_rows_of_suppliers_that_share_a_number(spark, tmp_path):
+    folder = _shared_numbers(spark, tmp_path)
+    got = [(r.quotation_id, r.landed, r.lines_compared) for r in registry.queries()["join11_comparison_row"](spark, folder).collect()]
+    assert sorted(got, key=str) == _by_sql("join11_comparison_row", folder) and len(got) == 3
