@@ -142,3 +142,23 @@ def test_recovery_takes_five_statuses(spark):
     every = ["UPLOADED", "QUEUED", "EXTRACTING", "AI_EXTRACTING", "NORMALIZING", "COMPLETED", "REQUIRES_REVIEW", "FAILED"]
     df = spark.createDataFrame([(s,) for s in every], "processing_status string")
     assert [r[0] for r in scans.pending(df).collect()] == every[:5] and workflow.NOT_COMPLETE == ("FAILED", *every[:5])
+
+
+def test_header_reads_a_text_once(spark):
+    df = spark.createDataFrame([(1, "Quotation\nAcme Tools 7\nTotal Amount: 5")], "id int, text string")
+    plan = extraction.extract_header(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 1  # spaces were made plain for each pattern
+
+
+def test_header_fields_anywhere(spark):
+    texts = {
+        1: "x\ny\nz\n-1-\n\nNo name yet 1\n--- Page 1\n- Acme & Söhne",  # the name beyond the first lines
+        2: "mail:a@b c.d+e@f-g.co.in, @x.y; Tel 0281-2345678 or +91-98765 43210",
+        3: "Quote No: AB​-77\r\nGrand Total : ₹ 1,23,456.50 net total 9; TAXABLE VALUE - INR 100\nGST @ 18 % 12.50\nCarriage: 40",
+        4: "Deliver 3 to 5 working days. credit 5 days; 45 DAYS from date of invoice, 30 % ADVANCE, Validity upto 20 days, ref: none",
+    }
+    got = {r.id: r for r in extraction.extract_header(spark.createDataFrame(list(texts.items()), "id int, text string")).collect()}
+    assert got[1].name == "No name yet 1" and got[1].email is None
+    assert (got[2].email, got[2].phone) == ("c.d+e@f-g.co.in", "0281-2345678")
+    assert (got[3].reference, got[3].total_amount, got[3].subtotal, got[3].tax_percentage, got[3].tax_amount, got[3].transportation_cost, got[3].currency) == ("AB-77", 123456.5, 100.0, 18.0, 12.5, 40.0, "INR")
+    assert (got[4].delivery_days, got[4].delivery_terms, got[4].payment_days, got[4].payment_terms, got[4].validity, got[4].reference) == (5, "Deliver 3 to 5 working days", 45, "30 % ADVANCE", "20 days", None)
