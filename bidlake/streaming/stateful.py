@@ -19,6 +19,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 # Fixed values.
 COMPARABLE = ("COMPLETED", "REQUIRES_REVIEW")
 CLOSED_REQUESTS = ("awarded", "closed", "cancelled")
+#: How many neighbouring numbers of orders or requests share a key of the state store: calls to it cost more than the work on an order.
+NEIGHBOURS = 32
 EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.UTC)
 
 
@@ -99,63 +101,84 @@ class WorkQueue(StatefulProcessor):
         return iter(out)
 
 
+def by(rows: Iterator[Row], name: str) -> dict[int, list[Row]]:
+    """The events of neighbours, apart."""
+    out: dict[int, list[Row]] = {}
+    for r in rows:
+        out.setdefault(r[name], []).append(r)
+    return out
+
+
 class OverdueWatch(StatefulProcessor):
-    """One purchase order: open with an expected time, or asked about already; closed orders hold no state."""
+    """Neighbouring purchase orders: open with an expected time, or asked about already; closed orders hold no state. One timer waits for
+    the earliest expected time among them."""
 
     OUT = "po_id long, organization_id string, po_number string, days_late int, subject string, at timestamp"
     RANKS = {"issued": 0, "asked": 1, "delivered": 2, "closed": 2, "cancelled": 2}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.order = handle.getValueState("order", "organization_id string, po_number string, expected long, due long, asked boolean")
+        self.orders = handle.getValueState("orders", "held array<struct<po_id: long, organization_id: string, po_number: string, expected: long, due: long, asked: boolean>>")
+
+    def _held(self) -> dict[int, tuple]:
+        held = self.orders.get()
+        return {x[0]: tuple(x)[1:] for x in held[0]} if held is not None else {}
 
-    def _ask(self, key, order: tuple | None, now: int, out: list[Row]) -> tuple | None:
+    def _ask(self, po_id, order: tuple | None, now: int, out: list[Row]) -> tuple | None:
         if order is None or order[4] or order[3] is None or order[3] > now:
             return order
         org, number, expected, due, _ = order
         late = (moment(due).date() - moment(expected).date()).days
-        out.append(Row(po_id=key[0], organization_id=org, po_number=number, days_late=late, subject=f"Delivery status: purchase order {number}", at=moment(due)))
+        out.append(Row(po_id=po_id, organization_id=org, po_number=number, days_late=late, subject=f"Delivery status: purchase order {number}", at=moment(due)))
         return (org, number, expected, due, True)
 
-    def _store(self, before: tuple | None, after: tuple | None) -> None:
-        waits = lambda x: x[3] if x is not None and not x[4] else None
+    def _store(self, before: dict[int, tuple], after: dict[int, tuple]) -> None:
+        waits = lambda held: min((x[2] for x in held.values() if x[2] is not None and not x[4]), default=None)
         if before == after:
             return
-        if waits(before) is not None and waits(before) != waits(after):
-            self.handle.deleteTimer(before[3])
-        if after is None:
-            self.order.clear()
+        old, new = waits(before), waits(after)
+        if old is not None and old != new:
+            self.handle.deleteTimer(old)
+        if not after:
+            self.orders.clear()
             return
-        self.order.update(after)
-        if waits(after) is not None and waits(before) != waits(after):
-            self.handle.registerTimer(after[3])
+        self.orders.update(([(k, *x) for k, x in after.items()],))
+        if new is not None and old != new:
+            self.handle.registerTimer(new)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        before = order = tuple(self.order.get()) if self.order.exists() else None
-        out: list[Row] = []
-        for r in in_order(rows, self.RANKS):
-            order = self._ask(key, order, millis(r.at), out)
+        before = self._held()
+        after, out = dict(before), []
+        for po_id, events in by(rows, "po_id").items():
+            order = self._after(po_id, after.pop(po_id, None), events, out)
+            if order is not None:
+                after[po_id] = order
+        self._store(before, after)
+        return iter(out)
+
+    def _after(self, po_id, order: tuple | None, events: list[Row], out: list[Row]) -> tuple | None:
+        for r in in_order(events, self.RANKS):
+            order = self._ask(po_id, order, millis(r.at), out)
             if r.kind == "issued":  # a later one moves the expected time; who was asked is not asked again
                 expected = millis(r.expected) if r.expected is not None else None
                 due = max(expected + 1, millis(r.at)) if expected is not None else None
                 order = (r.organization_id, r.po_number, expected, due, order is not None and order[4])
-                order = self._ask(key, order, millis(r.at), out)
+                order = self._ask(po_id, order, millis(r.at), out)
             elif r.kind == "asked":
                 order = (*order[:4], True) if order is not None else (r.organization_id, r.po_number, None, None, True)
             elif r.kind in self.RANKS:
                 order = None
-        self._store(before, order)
-        return iter(out)
+        return order
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        before = tuple(self.order.get()) if self.order.exists() else None
-        out: list[Row] = []
-        self._store(before, self._ask(key, before, timerValues.getCurrentWatermarkInMs(), out))
+        before, out = self._held(), []
+        now = timerValues.getCurrentWatermarkInMs()
+        self._store(before, {k: self._ask(k, x, now, out) for k, x in before.items()})
         return iter(out)
 
 
 class Autopilot(StatefulProcessor):
-    """One request: its status, its comparable quotations and whether a run is under way."""
+    """Neighbouring requests: of each its status, its comparable quotations and whether a run is under way."""
 
     OUT = "request_id long, organization_id string, quotations int, at timestamp"
     RANKS = {"request": 0, "finished": 1, "quotation": 2, "started": 3}
@@ -164,31 +187,38 @@ class Autopilot(StatefulProcessor):
         self.least = least
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.request = handle.getValueState("request", "organization_id string, status string, ready int, active boolean")
-        self.ready = handle.getMapState("ready", "quotation_id long", "comparable boolean")
+        self.requests = handle.getValueState("requests", "held array<struct<request_id: long, organization_id: string, status: string, active: boolean, ready: array<long>>>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        before = tuple(self.request.get()) if self.request.exists() else (None, None, 0, False)
-        org, status, ready, active = before
-        out: list[Row] = []
-        for r in in_order(rows, self.RANKS):
+        held = self.requests.get()
+        before = {x[0]: (x[1], x[2], x[3], list(x[4])) for x in held[0]} if held is not None else {}
+        after, out = dict(before), []
+        for request_id, events in by(rows, "request_id").items():
+            after[request_id] = self._after(request_id, before.get(request_id, (None, None, False, [])), events, out)
+        if after != before:
+            self.requests.update(([(k, *x) for k, x in after.items()],))
+        return iter(out)
+
+    def _after(self, request_id, request: tuple, events: list[Row], out: list[Row]) -> tuple:
+        org, status, active, ready = request
+        comparable = dict.fromkeys(ready)  # quotations in the order in which they became comparable
+        for r in in_order(events, self.RANKS):
             if r.kind == "request":
                 org, status = r.organization_id, r.status
             elif r.kind in ("started", "finished"):
                 active = r.kind == "started"
+            elif r.kind == "quotation" and r.status not in COMPARABLE:
+                comparable.pop(r.quotation_id, None)
             elif r.kind == "quotation":
-                held, comparable = self.ready.containsKey((r.quotation_id,)), r.status in COMPARABLE
-                if comparable and not held:
-                    self.ready.updateValue((r.quotation_id,), (True,))
-                elif held and not comparable:
-                    self.ready.removeKey((r.quotation_id,))
-                ready += comparable - held
-                if comparable and ready >= self.least and not active and status is not None and status not in CLOSED_REQUESTS:
+                comparable[r.quotation_id] = None
+                if len(comparable) >= self.least and not active and status is not None and status not in CLOSED_REQUESTS:
                     active = True
-                    out.append(Row(request_id=key[0], organization_id=org, quotations=ready, at=r.at))
-        if (org, status, ready, active) != before:
-            self.request.update((org, status, ready, active))
-        return iter(out)
+                    out.append(Row(request_id=request_id, organization_id=org, quotations=len(comparable), at=r.at))
+        return (org, status, active, list(comparable))
+
+
+def _neighbours(events: DataFrame, number: str) -> DataFrame:
+    return events.withColumn("neighbours", F.floor(F.col(number) / NEIGHBOURS))
 
 
 def work_queue(events: DataFrame, lease: dt.timedelta = dt.timedelta(hours=1), attempts: int = 3, late: str = "10 minutes") -> DataFrame:
@@ -204,7 +234,8 @@ def overdue_stream(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """STR-5: one follow-up per order, when its expected time passes. ``events``: po_id, organization_id, po_number, kind, expected, at;
     kinds ``issued`` (again with another expected time moves it), ``delivered``, ``closed``, ``cancelled`` (no follow-up
     any more) and ``asked`` (someone else wrote already). An order that is overdue when it comes is asked about at once."""
-    keyed = events.select("po_id", "organization_id", "po_number", "kind", "expected", "at").withWatermark("at", late).groupBy("po_id")
+    keyed = events.select("po_id", "organization_id", "po_number", "kind", "expected", "at").withWatermark("at", late)
+    keyed = _neighbours(keyed, "po_id").groupBy("neighbours")
     return keyed.transformWithState(OverdueWatch(), OverdueWatch.OUT, "Append", "EventTime")
 
 
@@ -212,7 +243,7 @@ def autopilot_stream(events: DataFrame, least: int = 2) -> DataFrame:
     """STR-4: runs to start. ``events``: request_id, organization_id, kind, quotation_id, status, at; kinds ``quotation`` and ``request`` with
     their status, ``started`` and ``finished`` for runs. A quotation that becomes comparable starts a run if the request
     is known and open, has ``least`` comparable quotations and no run under way. Append mode."""
-    keyed = events.select("request_id", "organization_id", "kind", "quotation_id", "status", "at").groupBy("request_id")
+    keyed = _neighbours(events.select("request_id", "organization_id", "kind", "quotation_id", "status", "at"), "request_id").groupBy("neighbours")
     return keyed.transformWithState(Autopilot(least), Autopilot.OUT, "Append", "None")
 
 

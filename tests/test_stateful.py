@@ -185,3 +185,15 @@ def test_appending_loses_nothing(spark, tmp_path):
     jobs.append_unseen(path)(rows("c", "d"), 0)  # a new checkpoint starts with batch 0 again
     jobs.append_unseen(path)(rows("c", "d"), 0)
     assert sorted(r.reference for r in spark.read.parquet(path).collect()) == ["a", "b", "c", "d"]
+
+
+def test_state_is_called_once_for_neighbours(spark, tmp_path):
+    """Orders and requests of neighbouring numbers share a key of the state store."""
+    base = dt.datetime(2024, 1, 1)
+    rows = [(n, "1", str(n), "issued", None, base) for n in range(64)]
+    events = spark.createDataFrame(rows, ORDERS)
+    assert stateful._neighbours(events, "po_id").select("neighbours").distinct().count() == 2
+    first = [(n, "1", str(n), "issued", base + n * HOUR, base) for n in range(40)]
+    then = [(39, "1", "39", "closed", None, base + HOUR), (-1, "1", "-1", "issued", None, base + 100 * HOUR)]
+    got = replay(spark, tmp_path, ORDERS, [first, then], stateful.overdue_stream, "near")
+    assert sorted(r[0] for r in got) == list(range(39))  # one timer after another, up to the watermark
