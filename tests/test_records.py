@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from bidlake.functions import text
 from bidlake.operators import extraction, matching, ml, normalization, timeseries, workflow
 from bidlake.sources import scans, sinks
 from bidlake.streaming import jobs
@@ -162,3 +163,19 @@ def test_header_fields_anywhere(spark):
     assert (got[2].email, got[2].phone) == ("c.d+e@f-g.co.in", "0281-2345678")
     assert (got[3].reference, got[3].total_amount, got[3].subtotal, got[3].tax_percentage, got[3].tax_amount, got[3].transportation_cost, got[3].currency) == ("AB-77", 123456.5, 100.0, 18.0, 12.5, 40.0, "INR")
     assert (got[4].delivery_days, got[4].delivery_terms, got[4].payment_days, got[4].payment_terms, got[4].validity, got[4].reference) == (5, "Deliver 3 to 5 working days", 45, "30 % ADVANCE", "20 days", None)
+
+
+def test_units_of_lines_are_looked_up_once(spark):
+    df = spark.createDataFrame([(1, "1. PVC pipe 2 Kgs 3 4.5 13.50")], "quotation_id int, text string")
+    rows = normalization.normalize(extraction.with_items(extraction.extract_header(df), extraction.text_items(df), "quotation_id"), "2024-03-10")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    spelling = "regexp_replace(lower(trim("
+    assert plan.count(spelling) <= 2  # in both attempts of one look-up
+    item = rows.first()["data"]["items"][0]
+    assert (item.normalized_unit, item.normalized_quantity) == (item.unit and "kg", item.quantity)
+
+
+def test_folding_of_plain_text(spark):
+    for s in ('G.I. Pipe-2"', "a\tb\x0cc\x1fd_e", "10KGS 5x3 (M.S.)", "A/B – 2″"):
+        wide = text.fold_text(s + " é").split(" ")
+        assert text.fold_text(s) == " ".join(wide[:-1])
