@@ -179,3 +179,10 @@ def test_folding_of_plain_text(spark):
     for s in ('G.I. Pipe-2"', "a\tb\x0cc\x1fd_e", "10KGS 5x3 (M.S.)", "A/B – 2″"):
         wide = text.fold_text(s + " é").split(" ")
         assert text.fold_text(s) == " ".join(wide[:-1])
+
+
+def test_refused_corrections_read_the_texts_once(spark, small):
+    from bidlake import registry
+
+    plan = registry.queries()["dom06_refused"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(" Traders") == 2  # for the header and for the items, not again to know the records
