@@ -91,7 +91,8 @@ class KeyedTable:
     def _write(self, rows: DataFrame) -> dict[str, str]:
         """The folder of each bucket that has rows."""
         token = f"data/{uuid.uuid4().hex}"
-        rows.withColumn("_bucket", self.bucket()).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{token}")
+        # a bucket beyond the advised size goes to several tasks, so that none grows with the table
+        rows.withColumn("_bucket", self.bucket()).hint("rebalance", F.col("_bucket")).write.partitionBy("_bucket").parquet(f"{self.path}/{token}")
         jvm, fs, _, _ = self._hadoop()
         names = [s.getPath().getName() for s in fs.listStatus(jvm.Path(f"{self.path}/{token}")) if s.isDirectory()]
         return {n.partition("=")[2]: f"{token}/{n}" for n in names if n.startswith("_bucket=")}
