@@ -132,6 +132,25 @@ def test_retrieval_with_and_without_joins(spark, small, monkeypatch):
             assert rows(False) == want
 
 
+def test_search_holds_no_pairs_of_words(spark, monkeypatch):
+    """Pairs of words that two documents or more share may pass what tasks hold, without a join; near copies, copies and ties score as by the join."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 6))) for _ in range(250)]
+    docs = [[rng.choice(words) for _ in range(rng.randint(1, 60))] for _ in range(300)]
+    docs += [d[: len(d) // 2] + [rng.choice(words)] + d[len(d) // 2 :] for d in docs] + docs[:20] * 6 + [["\u0870a", "日本", *docs[0]]]
+    d = spark.createDataFrame([(k, " ".join(ws)) for k, ws in enumerate(docs)], "doc_id int, text string").repartition(3)
+    q = spark.createDataFrame([(k, " ".join(rng.sample(docs[k], len(docs[k]) // 2))) for k in range(0, 60, 2)] + [(k, " ".join(docs[k])) for k in (1, 3, 720)], "query_id int, text string")
+    shared = retrieval.word_terms(d, "doc_id", "text").groupBy("term").count().where("count > 1").count()
+    monkeypatch.setattr(sparse_search, "MAX_TERMS", 7000)
+    assert shared > 7000
+    rows = lambda: sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 8)) for r in retrieval.search(q, d, chars=True, stop_words=()).collect())
+    with monkeypatch.context() as m:
+        m.setattr(sparse_search, "search", lambda *_: None)
+        want = rows()
+    monkeypatch.setattr(retrieval, "_joined", None)
+    assert rows() == want and len(want) > 80
+
+
 def test_bounds_hold_and_leave_pairs_unscored(spark):
     """No score passes its bound; what is left unscored is neither best nor second; most pairs are left."""
     rng = random.Random(6)
