@@ -27,6 +27,17 @@ def test_text_items(spark):
     assert {len(r[-1]) for r in want} == {0, 1, 2}
 
 
+def test_text_items_of_odd_digits_and_endings(spark, monkeypatch):
+    """Digits and unit letters outside ASCII are none, as in the columns; of a text without lines that may be items nothing else is worked out."""
+    odd = ["PVC pipe \u0967\u0966 20 30", "PVC pipe 10 20 \u0969", "PVC pipe 10 \u212ags 20 30", "PVC pipe 10 kgs 20 30,", "PVC pipe 10 20 30\t", "PVC pipe 10 20 30 \u00a0", "PVC pipe 10 20 30 nos", "PVC pipe 10 20 30."]
+    df = spark.createDataFrame(list(enumerate(odd)), "id int, text string")
+    want = sorted((r.id, *[r[c] for c in ("line", "original_name", "quantity", "unit", "unit_price", "total_price", "attributes")]) for r in extraction.text_items(df).collect())
+    got = sorted((k, *[r[i] for i in (0, 1, 2, 3, 4, 6, 7)]) for k, raw in enumerate(odd) for r in sql.text_items_of(raw))
+    assert got == want and {r[0] for r in want} >= {3, 4, 5}
+    monkeypatch.setattr(sql, "_roles", None)
+    assert list(sql.text_items_of("Qty Rate Amount\nDelivery within 7 days\nPVC pipe 10 nos each\nDate: 05/03/2024")) == []
+
+
 def test_units(spark):
     sql.register(spark)
     units = [(k, u) for k, u in enumerate(["Nos", "PCS.", "Btl", "नग", "kgs", "Ltr", "ML", "inch", '"', "dozen", "banana", " TON ", "", None, "feets", "mm"])]
