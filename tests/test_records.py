@@ -186,3 +186,46 @@ def test_refused_corrections_read_the_texts_once(spark, small):
 
     plan = registry.queries()["dom06_refused"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(" Traders") == 2  # for the header and for the items, not again to know the records
+
+
+def test_texts_are_read_in_one_pass(spark, small):
+    df = spark.createDataFrame([(1, TEXT), (2, None), (3, "word\n\n")], "quotation_id int, text string")
+    apart = extraction.with_items(extraction.extract_header(df), extraction.text_items(df), "quotation_id")
+    assert sorted(map(str, extraction.read_texts(df).select(*apart.columns).collect())) == sorted(map(str, apart.collect()))
+    from bidlake import registry
+
+    for name in ("dom05_records", "dom06_corrections", "dom06_audit"):
+        plan = registry.queries()[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(" Traders") == 1, name  # were made and read twice, for the header and for the items
+
+
+def test_records_look_for_no_more_than_is_asked(spark, small):
+    from bidlake import registry
+
+    plan = registry.queries()["dom05_records"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert extraction.PHONE not in plan and extraction.EMAIL in plan and "_fold_lines" not in plan
+
+
+def test_only_corrected_records_are_audited(spark, small):
+    from bidlake import registry
+
+    for name in ("dom06_audit", "dom06_refused"):
+        plan = registry.queries()[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftSemi" in plan[: plan.index(" Traders")], name  # all records were worked out
+
+
+def test_names_fold_in_arrays(spark):
+    df = spark.createDataFrame([(1, ["PVC Pipe 2 Kgs", None, "", "b a b"]), (2, None), (3, []), (4, ["PVC Pipe 2 Kgs"])], "id int, names array<string>")
+    got = {r.id: r.f for r in df.select("id", normalization.fold_lines(F.col("names")).alias("f")).collect()}
+    assert got[1].names == ["pvc pipe 2 kg", None, "", "b b"] and got[1].tokens == [["2", "kg", "pipe", "pvc"], None, [], ["b"]]
+    assert (got[2].names, got[2].tokens, got[3].names, got[4].names) == (None, None, [], ["pvc pipe 2 kg"])
+
+
+def test_lines_with_rare_breaks(spark):
+    texts = ["a\r\nb\x0bc\x1cd e\n", "Bolt\tM8 x  5\tnos  1,0 2.50\t25 \x1e12) Nut - 3 4 5\n2 7 8\nİİİ Total 5 6"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    assert [r.l for r in df.orderBy("id").select(extraction.lines(F.col("text")).alias("l")).limit(1).collect()] == [["a", "b", "c", "d", "e", ""]]
+    rows = extraction.text_items(df).orderBy("line").collect()
+    assert [(r.line, r.original_name, r.quantity, r.unit, r.unit_price, r.total_price) for r in rows] == [
+        (0, "Bolt M8 x", 5.0, "nos", 10.0, 25.0), (1, "Nut", 3.0, None, 4.0, 5.0), (3, "İİİ Total", None, None, None, None),
+    ]
